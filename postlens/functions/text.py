@@ -33,6 +33,16 @@ SPECIAL_ASCII_WORD = rf"[^a-zA-Z0-9{WS_CHARS}_]"
 ASCII_PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"   # string.punctuation
 CJK = r"\p{IsHan}"
 
+# HTML stripping steps (pattern, replacement) and entities.
+HTML_STEPS = [
+    (r"(?is)<script[^>]*>.*?</script\s*>", " "),
+    (r"(?is)<style[^>]*>.*?</style\s*>", " "),
+    (r"(?s)<!--.*?-->", " "),
+    (r"(?s)<[^>]*>", ""),
+]
+HTML_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
+                 ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
+
 # Emoji code points removed by T8 (fixed values: the pictographic blocks,
 # dingbats, misc symbols/technical, arrows, keycap / variation / joiner /
 # tag characters and the few BMP symbols with emoji presentation).
@@ -103,11 +113,10 @@ def remove_urls(c, repl: str = "", scheme_only: bool = False) -> Column:
 
 def strip_html(c) -> Column:
     """Drop script/style/comment blocks, then tags, then basic entities."""
-    x = F.regexp_replace(_c(c), r"(?is)<(script|style)[^>]*>.*?</\1\s*>", " ")
-    x = F.regexp_replace(x, r"(?s)<!--.*?-->", " ")
-    x = F.regexp_replace(x, r"(?s)<[^>]*>", "")
-    for ent, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-                    ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+    x = _c(c)
+    for pat, rep in HTML_STEPS:
+        x = F.regexp_replace(x, pat, rep)
+    for ent, ch in HTML_ENTITIES:
         x = F.replace(x, F.lit(ent), F.lit(ch))
     return x
 
@@ -161,11 +170,18 @@ def squeeze_ws(c) -> Column:
     return F.trim(F.regexp_replace(_c(c), MULTI_WS, " "))
 
 
-def split_contractions(c) -> Column:
-    x = _c(c)
-    for a, b in CONTRACTION_SPLITS:
-        x = F.regexp_replace(x, f"(?<!{WORD})({a})({b})(?!{WORD})", "$1 $2")
-    return x
+def split_contractions(tokens) -> Column:
+    """Whole-token contraction splits of the word tokenizer (tokens hold
+    only word characters here, so a whole token is a whole word)."""
+    t = _c(tokens)
+
+    def split(x):
+        e = None
+        for a, b in CONTRACTION_SPLITS:
+            cond = x == F.lit(a + b)
+            e = F.when(cond, F.array(F.lit(a), F.lit(b))) if e is None else e.when(cond, F.array(F.lit(a), F.lit(b)))
+        return e.otherwise(F.array(x))
+    return F.flatten(F.transform(t, split))
 
 
 # --- T14 - T20 --------------------------------------------------------------
@@ -220,7 +236,7 @@ def lda_tokens(c, stopwords: Iterable[str], min_len_exclusive: int = 2) -> Colum
     stop words and tokens longer than ``min_len_exclusive`` characters."""
     x = F.coalesce(_c(c), F.lit(""))
     x = remove_numbers(remove_punctuation(remove_mentions(remove_urls(lower(x)))))
-    toks = tokenize_ws(split_contractions(x))
+    toks = split_contractions(tokenize_ws(x))
     words = sorted(set(stopwords))
     return F.filter(toks, lambda t: (~t.isin(words)) & (F.length(t) > min_len_exclusive))
 
@@ -230,6 +246,6 @@ def embed_text(c, stopwords: Iterable[str]) -> Column:
     whitespace, stop words and 1-character tokens dropped, re-joined."""
     x = F.coalesce(_c(c), F.lit(""))
     x = remove_numbers(remove_punctuation(remove_mentions(remove_urls(lower(x), " "), " ")))
-    toks = tokenize_ws(split_contractions(squeeze_ws(x)))
+    toks = split_contractions(tokenize_ws(x))
     words = sorted(set(stopwords))
     return join_tokens(F.filter(toks, lambda t: (~t.isin(words)) & (F.length(t) > 1)))

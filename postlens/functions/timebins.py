@@ -33,7 +33,7 @@ def parse_timestamp(c) -> Column:
     return F.coalesce(
         F.try_to_timestamp(x.cast("string")),
         F.try_to_timestamp(x.cast("string"), F.lit("yyyy-MM-dd HH:mm:ssXXX")),
-        F.try_to_timestamp(x.cast("string"), F.lit("EEE MMM dd HH:mm:ss Z yyyy")),
+        F.try_to_timestamp(x.cast("string"), F.lit("MM/dd/yyyy HH:mm")),
     )
 
 

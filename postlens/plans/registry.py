@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["catalog_users"]
+_MODULES = ["catalog_users", "catalog_text"]
 
 
 def _collect():
