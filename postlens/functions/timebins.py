@@ -47,6 +47,12 @@ def _col_sql(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def mean_timestamp(ts) -> Column:
-    """Aggregate: mean instant of a group, truncated to the microsecond."""
-    return F.timestamp_micros(F.floor(F.avg(F.unix_micros(_c(ts).cast("timestamp")))).cast("long"))
+def mean_timestamp(ts: str) -> Column:
+    """Aggregate: mean instant of a group, floored to the microsecond.
+
+    Summed exactly as DECIMAL(38,0) and divided with integral ``div``; the
+    result keeps the input's NTZ type (a session-zone round trip).
+    """
+    c = _col_sql(ts)
+    q = F.expr(f"sum(cast(unix_micros(cast({c} AS TIMESTAMP)) AS DECIMAL(38,0))) div count({c})")
+    return F.timestamp_micros(q.cast("long")).cast("timestamp_ntz")
