@@ -22,8 +22,14 @@ EVENT_TOPIC_IDS_SQL = """
   FROM (SELECT DISTINCT event_type FROM events)"""
 
 
-def scores_sql(probs_cte: str) -> str:
+def scores_sql(probs_cte: str, digits: int | None = 6) -> str:
     """User score SELECT over a CTE ``p(user_id, n, topic_id, p)`` holding all k topics."""
+    if digits is None:
+        return _scores_sql(probs_cte).replace("ROUND(", "(").replace(", 6) AS", ") AS")
+    return _scores_sql(probs_cte)
+
+
+def _scores_sql(probs_cte: str) -> str:
     return f"""
 WITH p AS ({probs_cte}),
 r AS (

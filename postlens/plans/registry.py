@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["catalog_users", "catalog_text", "catalog_docs"]
+_MODULES = ["catalog_users", "catalog_text", "catalog_docs", "catalog_suspicion"]
 
 
 def _collect():

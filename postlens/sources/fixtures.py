@@ -69,3 +69,22 @@ def doc_topics_embed(spark: SparkSession, sf_dir: str, k: int = 8):
                    F.when(tot > 0, F.transform(head, lambda v: v / tot))
                     .otherwise(F.transform(head, lambda v: F.lit(0.0))).alias("probs"))
     return docs, dt, k
+
+
+def doc_topics_from_post_events(spark: SparkSession, sf_dir: str, post_docs: DataFrame):
+    """Fixed topic vectors for post-built documents: the share of each
+    event type among a document's posts (post_id = event_id).
+
+    Returns ``(doc_topics(doc_id, probs), k)``.
+    """
+    ev = table(spark, sf_dir, "events")
+    ids = event_topic_ids(ev).cache()
+    k = ids.count()
+    j = post_docs.select("doc_id", "post_id").join(
+        ev.select(F.col("event_id").alias("post_id"), "event_type"), "post_id").join(ids, "event_type")
+    c = j.groupBy("doc_id", "topic_id").agg(F.count("*").alias("c"))
+    per_doc = c.groupBy("doc_id").agg(
+        F.sum("c").alias("n"), F.map_from_entries(F.collect_list(F.struct("topic_id", "c"))).alias("m"))
+    probs = F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
+                        lambda i: F.coalesce(F.element_at("m", i), F.lit(0)).cast("double") / F.col("n"))
+    return per_doc.select("doc_id", probs.alias("probs")), k
