@@ -25,6 +25,7 @@ MENTION = f"@{WORD}+"
 HASHTAG = f"#{WORD}+"
 PUNCT = f"[^{WORD_CHARS}{WS_CHARS}]"              # [^\w\s]
 NUMBER = r"\p{Nd}+"                                # \d+
+PUNCT_OR_DIGIT = f"{PUNCT}|\\p{{Nd}}"               # one pass: deleting a char set is order-free
 MULTI_WS = f"{WS}+"
 HTML_TAG = "<.*?>"
 # [^A-Za-z0-9\s.,!?:;'-@#_]: "'-@" is a range 0x27-0x40, kept as written.
@@ -184,6 +185,13 @@ def split_contractions(tokens) -> Column:
     return F.flatten(F.transform(t, split))
 
 
+def split_contractions_text(c) -> Column:
+    """Same splits in one regex pass over text (Java lookarounds): a space
+    is inserted after the prefix of each whole-word contraction."""
+    alts = "|".join(f"{a}(?={b}(?!{WORD}))" for a, b in CONTRACTION_SPLITS)
+    return F.regexp_replace(_c(c), f"(?<!{WORD})(?:{alts})", "$0 ")
+
+
 # --- T14 - T20 --------------------------------------------------------------
 def tokenize_ws(c) -> Column:
     """Whitespace tokens, empties dropped."""
@@ -235,8 +243,8 @@ def lda_tokens(c, stopwords: Iterable[str], min_len_exclusive: int = 2) -> Colum
     """LDA path: lower, URLs, mentions, punctuation, numbers, tokens,
     stop words and tokens longer than ``min_len_exclusive`` characters."""
     x = F.coalesce(_c(c), F.lit(""))
-    x = remove_numbers(remove_punctuation(remove_mentions(remove_urls(lower(x)))))
-    toks = split_contractions(tokenize_ws(x))
+    x = F.regexp_replace(remove_mentions(remove_urls(lower(x))), PUNCT_OR_DIGIT, "")
+    toks = tokenize_ws(split_contractions_text(x))
     words = sorted(set(stopwords))
     return F.filter(toks, lambda t: (~t.isin(words)) & (F.length(t) > min_len_exclusive))
 
@@ -245,7 +253,7 @@ def embed_text(c, stopwords: Iterable[str]) -> Column:
     """Embedding path: same cleaning with URL / mention -> ' ', squeezed
     whitespace, stop words and 1-character tokens dropped, re-joined."""
     x = F.coalesce(_c(c), F.lit(""))
-    x = remove_numbers(remove_punctuation(remove_mentions(remove_urls(lower(x), " "), " ")))
-    toks = split_contractions(tokenize_ws(x))
+    x = F.regexp_replace(remove_mentions(remove_urls(lower(x), " "), " "), PUNCT_OR_DIGIT, "")
+    toks = tokenize_ws(split_contractions_text(x))
     words = sorted(set(stopwords))
     return join_tokens(F.filter(toks, lambda t: (~t.isin(words)) & (F.length(t) > 1)))

@@ -135,7 +135,7 @@ def multilingual_tokens(df: DataFrame, col: str, lang_col: str,
     if opts.remove_numbers:
         x = T.remove_numbers(x)
     lang = F.col(lang_col)
-    ws = T.split_contractions(T.tokenize_ws(x))
+    ws = T.tokenize_ws(T.split_contractions_text(x))
     toks = F.when(lang.isin(list(opts.cjk_langs)), T.cjk_bigrams(T.tokenize_ws(x))).otherwise(ws)
     if opts.remove_stopwords:
         custom = [w.strip() for w in opts.custom_stopwords.split(",") if w.strip()]

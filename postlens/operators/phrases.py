@@ -30,14 +30,14 @@ def learn_phrases(tokens: DataFrame, min_count: int = 5, threshold: float = 10.0
     uni = tokens.select(F.explode(col).alias("k"))
     pairs = _pairs(tokens, key, col)
     bi = pairs.select(F.concat_ws(DELIM, "a", "b").alias("k"))
-    vocab = uni.unionAll(bi).groupBy("k").agg(F.count("*").alias("c")).cache()
-    v_size = vocab.count()
+    vocab = uni.unionAll(bi).groupBy("k").agg(F.count("*").alias("c"))
+    v_size = vocab.agg(F.count("*").cast("double")).scalar()   # scalar subquery, no driver round trip
     cand = pairs.select("a", "b").distinct().withColumn("phrase", F.concat_ws(DELIM, "a", "b"))
     va = vocab.select(F.col("k").alias("a"), F.col("c").alias("ca"))
     vb = vocab.select(F.col("k").alias("b"), F.col("c").alias("cb"))
     vab = vocab.select(F.col("k").alias("phrase"), F.col("c").alias("cab"))
     scored = cand.join(va, "a").join(vb, "b").join(vab, "phrase").withColumn(
-        "score", (F.col("cab") - F.lit(min_count)) / (F.col("ca") * F.col("cb")).cast("double") * F.lit(float(v_size)))
+        "score", (F.col("cab") - F.lit(min_count)) / (F.col("ca") * F.col("cb")).cast("double") * v_size)
     return scored.filter(F.col("score") > F.lit(float(threshold))).select("a", "b", "phrase", "score")
 
 

@@ -14,35 +14,88 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 
+def _valid(col: str):
+    v = F.col(col).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
+def exact_quantiles(df: DataFrame, specs: list[tuple[str, float]],
+                    accuracy: int = 100_000) -> list[float | None]:
+    """Linear-interpolation quantiles (numpy default) of non-null, non-NaN values.
+
+    Job 1: counts + approximate brackets for every spec.  Job 2: per spec,
+    counts below / at / inside / at the top of the bracket.  Ranks landing
+    on a bracket end resolve to that value; only ranks strictly inside
+    need job 3, which sorts just the interior (about 4n/accuracy values).
+    """
+    out: list[float | None] = [None] * len(specs)
+    eps = [2.0 / accuracy] * len(specs)
+    first = df.agg(*[F.count(_valid(c)).alias(f"n{i}") for i, (c, _) in enumerate(specs)]).first()
+    todo = [i for i in range(len(specs)) if first[f"n{i}"] > 0]
+    while todo:
+        brackets = {}
+        aggs = []
+        for i in todo:
+            c, q = specs[i]
+            ql, qh = max(0.0, q - eps[i]), min(1.0, q + eps[i])
+            aggs.append(F.percentile_approx(_valid(c), [ql, qh], accuracy).alias(f"b{i}"))
+        b = df.agg(*aggs).first()
+        cnt = []
+        for i in todo:
+            c, q = specs[i]
+            lo, hi = b[f"b{i}"]
+            if q - eps[i] <= 0:
+                lo = None
+            if q + eps[i] >= 1:
+                hi = None
+            brackets[i] = (lo, hi)
+            v = _valid(c)
+            lo_c = F.lit(lo if lo is not None else float("-inf"))
+            hi_c = F.lit(hi if hi is not None else float("inf"))
+            cnt += [F.count_if(v < lo_c).alias(f"below{i}"), F.count_if(v == lo_c).alias(f"eqlo{i}"),
+                    F.count_if((v > lo_c) & (v < hi_c)).alias(f"in{i}"), F.count_if(v == hi_c).alias(f"eqhi{i}")]
+        st = df.agg(*cnt).first()
+        retry = []
+        for i in todo:
+            c, q = specs[i]
+            n = first[f"n{i}"]
+            lo, hi = brackets[i]
+            below, eqlo, inside, eqhi = (st[f"below{i}"], st[f"eqlo{i}"], st[f"in{i}"], st[f"eqhi{i}"])
+            if lo is not None and lo == hi:
+                eqhi, inside = 0, 0
+            pos = q * (n - 1)
+            ranks = sorted({int(math.floor(pos)), min(int(math.floor(pos)) + 1, n - 1)})
+            if ranks[0] < below or ranks[-1] >= below + eqlo + inside + eqhi:
+                eps[i] *= 4
+                retry.append(i)
+                continue
+            vals = {}
+            need = []
+            for r in ranks:
+                if r < below + eqlo:
+                    vals[r] = lo
+                elif r < below + eqlo + inside:
+                    need.append(r - below - eqlo)
+                else:
+                    vals[r] = hi
+            if need:
+                v = _valid(c)
+                lo_c = F.lit(lo if lo is not None else float("-inf"))
+                hi_c = F.lit(hi if hi is not None else float("inf"))
+                rows = (df.select(v.alias("v")).filter((F.col("v") > lo_c) & (F.col("v") < hi_c))
+                          .orderBy("v").offset(min(need)).limit(max(need) - min(need) + 1).collect())
+                for r in ranks:
+                    if r not in vals:
+                        vals[r] = rows[r - below - eqlo - min(need)]["v"]
+            a, bb = vals[ranks[0]], vals[ranks[-1]]
+            frac = pos - math.floor(pos)
+            out[i] = a + (bb - a) * frac
+        todo = retry
+    return out
+
+
 def exact_quantile(df: DataFrame, col: str, q: float, accuracy: int = 100_000) -> float | None:
-    """Linear-interpolation quantile (numpy default) of non-null, non-NaN values."""
-    vals = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    n = vals.count()
-    if n == 0:
-        return None
-    pos = q * (n - 1)
-    r_lo = int(math.floor(pos))
-    r_hi = min(r_lo + 1, n - 1)
-    frac = pos - r_lo
-    eps = 2.0 / accuracy
-    while True:
-        ql, qh = max(0.0, q - eps), min(1.0, q + eps)
-        lo_v, hi_v = vals.agg(F.percentile_approx("v", [ql, qh], accuracy).alias("b")).first()["b"]
-        if ql == 0.0:
-            lo_v = float("-inf")
-        if qh == 1.0:
-            hi_v = float("inf")
-        stats = vals.agg(F.count_if(F.col("v") < F.lit(lo_v)).alias("below"),
-                         F.count_if((F.col("v") >= F.lit(lo_v)) & (F.col("v") <= F.lit(hi_v))).alias("band")).first()
-        below, band = stats["below"], stats["band"]
-        if below <= r_lo and r_hi < below + band:
-            break
-        eps *= 4
-    picked = (vals.filter((F.col("v") >= F.lit(lo_v)) & (F.col("v") <= F.lit(hi_v)))
-                  .orderBy("v").offset(r_lo - below).limit(r_hi - r_lo + 1).collect())
-    a = picked[0]["v"]
-    b = picked[-1]["v"]
-    return a + (b - a) * frac
+    return exact_quantiles(df, [(col, q)], accuracy)[0]
 
 
 def cutoffs(scores: DataFrame, freq_q: float = 0.95, narrow_q: float = 0.95,
@@ -55,8 +108,7 @@ def cutoffs(scores: DataFrame, freq_q: float = 0.95, narrow_q: float = 0.95,
     """
     fq = freq_q / 100.0 if compat else freq_q
     nq = narrow_q / 100.0 if compat else narrow_q
-    post_cut = exact_quantile(scores, "post_count", fq)
-    gini_cut = exact_quantile(scores, "gini_coefficient", nq)
+    post_cut, gini_cut = exact_quantiles(scores, [("post_count", fq), ("gini_coefficient", nq)])
     return (post_cut if post_cut is not None else math.inf,
             gini_cut if gini_cut is not None else math.inf)
 

@@ -23,7 +23,7 @@ def document_frequency(dterms: DataFrame, key: str = "doc_id") -> DataFrame:
     return dterms.groupBy("term").agg(F.count(key).alias("df"))
 
 
-def filter_extremes(dfreq: DataFrame, n_docs: int, no_below: int = 3, no_above: float = 0.6,
+def filter_extremes(dfreq: DataFrame, n_docs, no_below: int = 3, no_above: float = 0.6,
                     keep_n: int | None = 100_000) -> DataFrame:
     """V6: keep ``no_below <= df <= int(no_above * N)``, then the ``keep_n``
     most frequent (df desc, term asc), indexed 0..n-1 in that order.
@@ -31,7 +31,7 @@ def filter_extremes(dfreq: DataFrame, n_docs: int, no_below: int = 3, no_above:
     The top-``keep_n`` cut is a ``TakeOrderedAndProject`` (per-partition
     top-k, then merge), so the index window only ever sees ``keep_n`` rows.
     """
-    no_above_abs = int(no_above * n_docs)
+    no_above_abs = F.floor(F.lit(no_above) * n_docs)   # n_docs: int or scalar-subquery Column
     kept = dfreq.filter((F.col("df") >= no_below) & (F.col("df") <= no_above_abs))
     ordered = kept.orderBy(F.col("df").desc(), F.col("term"))
     if keep_n is not None:
@@ -53,11 +53,11 @@ def tfidf(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
     Tokens are runs of >= 2 word characters; idf = ln((1+n)/(1+df)) + 1;
     weights L2-normalised per document. Returns ``(key, term, weight)``.
     """
-    n = docs.count()
+    n = docs.agg(F.count("*").cast("double")).scalar()
     toks = docs.select(key, T.tokenize_words(text_col, 2).alias("tokens"))
     dt = doc_terms(toks, key)
     dfreq = document_frequency(dt, key)
-    keep = dfreq.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.lit(n)))
+    keep = dfreq.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n))
     w = dt.join(keep, "term").withColumn(
         "w", F.col("tf") * (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0))
     norms = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
