@@ -91,3 +91,51 @@ def positions_cte() -> str:
     return """
 posn AS (SELECT doc_id, CAST(ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY timestamp, post_id, p) - 1 AS BIGINT) AS pos, term
          FROM (SELECT doc_id, timestamp, post_id, unnest(range(0, len(tokens))) AS p, unnest(tokens) AS term FROM pd))"""
+
+
+def cv_ctes(p: str, posn: str, doclen: str, tw: str, w: int = 110) -> str:
+    """c_v by naive window explosion; defines ``{p}coh(topic_id, coherence)``.
+
+    ``posn(doc_id, pos, term)``, ``doclen(doc_id, L)``, ``tw(topic_id, word)``.
+    """
+    return f"""
+{p}rw AS (SELECT DISTINCT word FROM {tw}),
+{p}occp AS (SELECT x.doc_id, x.pos, x.term FROM {posn} x JOIN {p}rw ON {p}rw.word = x.term),
+{p}dw AS (SELECT DISTINCT doc_id, term, s FROM (
+         SELECT o.doc_id, o.term, unnest(range(GREATEST(0, o.pos - {w - 1}), LEAST(o.pos, GREATEST(0, l.L - {w})) + 1)) AS s
+         FROM {p}occp o JOIN {doclen} l USING (doc_id))),
+{p}nw AS (SELECT SUM(GREATEST(0, L - {w}) + 1) * 1.0 AS n FROM {doclen} WHERE doc_id IN (SELECT DISTINCT doc_id FROM {p}occp)),
+{p}occ AS (SELECT term, COUNT(*) AS n FROM {p}dw GROUP BY term),
+{p}tp AS (SELECT DISTINCT x.word AS t1, y.word AS t2 FROM {tw} x JOIN {tw} y ON x.topic_id = y.topic_id AND x.word < y.word),
+{p}co AS (SELECT a.term AS t1, b.term AS t2, COUNT(*) AS n FROM {p}dw a JOIN {p}dw b ON a.doc_id = b.doc_id AND a.s = b.s
+       JOIN {p}tp q ON q.t1 = a.term AND q.t2 = b.term GROUP BY 1, 2),
+{p}m AS (SELECT x.topic_id, x.word AS wi, y.word AS wj FROM {tw} x JOIN {tw} y ON x.topic_id = y.topic_id),
+{p}mm AS (SELECT m.*, oi.n AS ni, oj.n AS nj,
+              CASE WHEN m.wi = m.wj THEN oi.n ELSE COALESCE(co.n, 0) END AS nij
+       FROM {p}m m LEFT JOIN {p}occ oi ON oi.term = m.wi LEFT JOIN {p}occ oj ON oj.term = m.wj
+       LEFT JOIN {p}co co ON co.t1 = LEAST(m.wi, m.wj) AND co.t2 = GREATEST(m.wi, m.wj)),
+{p}v AS (SELECT topic_id, wi, wj,
+             ln((nij / nw.n + 1e-12) / ((ni / nw.n) * (nj / nw.n))) / -ln(nij / nw.n + 1e-12) AS v FROM {p}mm, {p}nw nw),
+{p}vec AS (SELECT topic_id, wj, SUM(v) AS vv FROM {p}v GROUP BY 1, 2),
+{p}pw AS (SELECT v.topic_id, v.wi, SUM(v.v * vec.vv) AS dot, sqrt(SUM(v.v * v.v)) AS nrm
+       FROM {p}v v JOIN {p}vec vec USING (topic_id, wj) GROUP BY 1, 2),
+{p}vn AS (SELECT topic_id, sqrt(SUM(vv * vv)) AS vn FROM {p}vec GROUP BY 1),
+{p}coh AS (SELECT topic_id, AVG(dot / (nrm * vn)) AS coherence FROM {p}pw JOIN {p}vn USING (topic_id) GROUP BY topic_id)"""
+
+
+def doc_token_ctes() -> str:
+    """Per-document LDA tokens of ``documents`` (no phrases), >= 3 tokens:
+    ``t3(doc_id, lang, source, tokens)``, ``dposn``, ``dlen``, and the two
+    fixed word tables ``twa`` (top 20 per lang) / ``twb`` (top 10 per source mod 4)."""
+    return f"""
+t0 AS (SELECT doc_id, lang, source, {S.lda_tokens('text', STOPS)} AS tokens FROM documents),
+t3 AS (SELECT * FROM t0 WHERE len(tokens) >= 3),
+dposn AS (SELECT doc_id, unnest(range(0, len(tokens))) AS pos, unnest(tokens) AS term FROM t3),
+dlen AS (SELECT doc_id, len(tokens) AS L FROM t3),
+ga AS (SELECT lang AS g, term, COUNT(*) AS c FROM (SELECT lang, unnest(tokens) AS term FROM t3) GROUP BY 1, 2),
+twa AS (SELECT CAST(DENSE_RANK() OVER (ORDER BY g) - 1 AS INTEGER) AS topic_id, term AS word, CAST(r AS INTEGER) AS rank
+        FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY g ORDER BY c DESC, term) AS r FROM ga) WHERE r <= 20),
+gb AS (SELECT CAST(substr(source, 4) AS INTEGER) % 4 AS g, term, COUNT(*) AS c
+       FROM (SELECT source, unnest(tokens) AS term FROM t3) GROUP BY 1, 2),
+twb AS (SELECT CAST(g AS INTEGER) AS topic_id, term AS word, CAST(r AS INTEGER) AS rank
+        FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY g ORDER BY c DESC, term) AS r FROM gb) WHERE r <= 10)"""
