@@ -144,8 +144,13 @@ def extract_mentions(c, keep_symbol: bool = True) -> Column:
     return F.regexp_extract_all(_c(c), F.lit(f"@({WORD}+)"), F.lit(0 if keep_symbol else 1))
 
 
+# Java-only fast form of the same class: characters below U+00A9 (most text)
+# fail the leading range at once instead of walking the whole union.
+EMOJI_CLASS_JAVA = r"[[\x{00A9}\x{00AE}\x{200D}-\x{E007F}]&&" + EMOJI_CLASS + "]"
+
+
 def remove_emoji(c) -> Column:
-    return F.regexp_replace(_c(c), EMOJI_CLASS, "")
+    return F.regexp_replace(_c(c), EMOJI_CLASS_JAVA, "")
 
 
 def remove_punctuation(c) -> Column:
@@ -188,8 +193,13 @@ def split_contractions(tokens) -> Column:
 def split_contractions_text(c) -> Column:
     """Same splits in one regex pass over text (Java lookarounds): a space
     is inserted after the prefix of each whole-word contraction."""
+    x = _c(c)
     alts = "|".join(f"{a}(?={b}(?!{WORD}))" for a, b in CONTRACTION_SPLITS)
-    return F.regexp_replace(_c(c), f"(?<!{WORD})(?:{alts})", "$0 ")
+    guard = None
+    for a, b in CONTRACTION_SPLITS:          # cheap byte scans skip the regex for most rows
+        g = x.contains(a + b)
+        guard = g if guard is None else guard | g
+    return F.when(guard, F.regexp_replace(x, f"(?<!{WORD})(?:{alts})", "$0 ")).otherwise(x)
 
 
 # --- T14 - T20 --------------------------------------------------------------
@@ -239,21 +249,38 @@ def join_tokens(tokens) -> Column:
 
 
 # --- composed cleaners of the two topic paths --------------------------------
-def lda_tokens(c, stopwords: Iterable[str], min_len_exclusive: int = 2) -> Column:
-    """LDA path: lower, URLs, mentions, punctuation, numbers, tokens,
-    stop words and tokens longer than ``min_len_exclusive`` characters."""
+# Each path is split in two projections: the cleaned text is materialised
+# as a column first, so the contraction guard (several cheap scans of the
+# same value) reads a column instead of re-running the regex chain.
+def lda_clean_text(c) -> Column:
+    """LDA path up to tokenisation: lower, URLs, mentions, punctuation, digits."""
     x = F.coalesce(_c(c), F.lit(""))
-    x = F.regexp_replace(remove_mentions(remove_urls(lower(x))), PUNCT_OR_DIGIT, "")
-    toks = tokenize_ws(split_contractions_text(x))
+    return F.regexp_replace(remove_mentions(remove_urls(lower(x))), PUNCT_OR_DIGIT, "")
+
+
+def lda_tokens_from_clean(clean, stopwords: Iterable[str], min_len_exclusive: int = 2) -> Column:
+    toks = tokenize_ws(split_contractions_text(clean))
     words = sorted(set(stopwords))
     return F.filter(toks, lambda t: (~t.isin(words)) & (F.length(t) > min_len_exclusive))
 
 
-def embed_text(c, stopwords: Iterable[str]) -> Column:
-    """Embedding path: same cleaning with URL / mention -> ' ', squeezed
-    whitespace, stop words and 1-character tokens dropped, re-joined."""
+def lda_tokens(c, stopwords: Iterable[str], min_len_exclusive: int = 2) -> Column:
+    """Single-expression form (small inputs / tests); operators use the two-step form."""
+    return lda_tokens_from_clean(lda_clean_text(c), stopwords, min_len_exclusive)
+
+
+def embed_clean_text(c) -> Column:
     x = F.coalesce(_c(c), F.lit(""))
-    x = F.regexp_replace(remove_mentions(remove_urls(lower(x), " "), " "), PUNCT_OR_DIGIT, "")
-    toks = tokenize_ws(split_contractions_text(x))
+    return F.regexp_replace(remove_mentions(remove_urls(lower(x), " "), " "), PUNCT_OR_DIGIT, "")
+
+
+def embed_text_from_clean(clean, stopwords: Iterable[str]) -> Column:
+    toks = tokenize_ws(split_contractions_text(clean))
     words = sorted(set(stopwords))
     return join_tokens(F.filter(toks, lambda t: (~t.isin(words)) & (F.length(t) > 1)))
+
+
+def embed_text(c, stopwords: Iterable[str]) -> Column:
+    """Embedding path: same cleaning with URL / mention -> ' ', stop words and
+    1-character tokens dropped, re-joined with single spaces."""
+    return embed_text_from_clean(embed_clean_text(c), stopwords)
