@@ -59,13 +59,14 @@ class MultilingualOptions:
     cjk_langs: tuple[str, ...] = ("zh",)
 
 
-def _fence(df: DataFrame, col: str) -> DataFrame:
+def fence(df: DataFrame, col: str) -> DataFrame:
     """Keep later filters on ``col`` above this point.
 
     Without it the optimizer pushes e.g. ``size(tokens) >= 3`` below the
     projection and re-inlines the whole regex chain into the predicate
     (measured 4-6x slower).  A one-element generator is a boundary that
-    predicate push-down does not cross.
+    predicate push-down does not cross.  Filters inferred from a later
+    ``explode`` (``size(tokens) > 0``) are stopped the same way.
     """
     others = [c for c in df.columns if c != col]
     return df.select(*others, F.inline(F.array(F.struct(F.col(col).alias(col)))))
@@ -79,7 +80,8 @@ def lda_tokenize(posts: DataFrame, cfg: TokenConfig = TokenConfig(), text_col: s
     out = out.withColumn("tokens", T.lda_tokens_from_clean(F.col("_clean"), stops, cfg.min_token_len_exclusive)) \
              .drop("_clean")
     n = cfg.min_tokens if min_tokens is None else min_tokens
-    return _fence(out, "tokens").filter(F.size("tokens") >= n) if n > 0 else out
+    out = fence(out, "tokens")
+    return out.filter(F.size("tokens") >= n) if n > 0 else out
 
 
 def embed_preprocess(posts: DataFrame, extra_stopwords=(), min_words: int = 3,
@@ -88,7 +90,7 @@ def embed_preprocess(posts: DataFrame, extra_stopwords=(), min_words: int = 3,
     stops = T.stopword_set(extra_stopwords)
     out = posts.withColumn("_clean", T.embed_clean_text(text_col))
     out = out.withColumn("processed_text", T.embed_text_from_clean(F.col("_clean"), stops)).drop("_clean")
-    out = _fence(out, "processed_text").withColumn("tokens", T.tokenize_ws("processed_text"))
+    out = fence(out, "processed_text").withColumn("tokens", T.tokenize_ws("processed_text"))
     return out.filter(F.size("tokens") >= min_words)
 
 
@@ -163,7 +165,7 @@ def multilingual_tokens(df: DataFrame, col: str, lang_col: str,
         default = T.drop_stopwords(toks, custom)
         toks = expr.otherwise(default) if expr is not None else default
     toks = T.min_length(toks, opts.min_token_length)
-    return df.withColumn("tokens", toks).drop("_clean")
+    return fence(df.withColumn("tokens", toks).drop("_clean"), "tokens")
 
 
 def normalize_tokens(tok: DataFrame, lemmas: DataFrame, key: str = "post_id",

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
 from ..session import cut_lineage
+from .clean import fence
 
 
 def reduce_dims(emb: DataFrame, key: str = "doc_id", col: str = "embedding", k: int = 5) -> DataFrame:
@@ -59,7 +60,7 @@ def class_terms(docs: DataFrame, assignment: DataFrame, key: str = "doc_id",
                 text_col: str = "processed_text", stopwords=None) -> DataFrame:
     """Per-document term counts with the document's class: ``(key, topic_id, term, tf)``."""
     stops = sorted(set(stopwords if stopwords is not None else T.ENGLISH_STOPWORDS))
-    toks = docs.select(key, T.drop_stopwords(T.tokenize_words(F.lower(F.col(text_col)), 2), stops).alias("t"))
+    toks = fence(docs.select(key, T.drop_stopwords(T.tokenize_words(F.lower(F.col(text_col)), 2), stops).alias("t")), "t")
     ex = toks.select(key, F.explode("t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     return ex.join(assignment.select(key, "topic_id"), key)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
+from .clean import fence
 
 
 def doc_terms(tokens: DataFrame, key: str = "doc_id", col: str = "tokens") -> DataFrame:
@@ -54,7 +55,7 @@ def tfidf(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
     weights L2-normalised per document. Returns ``(key, term, weight)``.
     """
     n = docs.agg(F.count("*").cast("double")).scalar()
-    toks = docs.select(key, T.tokenize_words(text_col, 2).alias("tokens"))
+    toks = fence(docs.select(key, T.tokenize_words(text_col, 2).alias("tokens")), "tokens")
     dt = doc_terms(toks, key)
     dfreq = document_frequency(dt, key)
     keep = dfreq.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n))
