@@ -26,17 +26,25 @@ def _pairs(tokens: DataFrame, key: str, col: str) -> DataFrame:
 
 def learn_phrases(tokens: DataFrame, min_count: int = 5, threshold: float = 10.0,
                   key: str = "post_id", col: str = "tokens") -> DataFrame:
-    """V1: ``(a, b, phrase, score)`` for every adjacent pair that scores above threshold."""
-    uni = tokens.select(F.explode(col).alias("k"))
-    pairs = _pairs(tokens, key, col)
-    bi = pairs.select(F.concat_ws(DELIM, "a", "b").alias("k"))
-    vocab = uni.unionAll(bi).groupBy("k").agg(F.count("*").alias("c"))
+    """V1: ``(a, b, phrase, score)`` for every adjacent pair that scores above threshold.
+
+    Counts are pre-aggregated (unigrams, bigram pairs) before the
+    string-keyed vocabulary is formed; the phrase count is joined first and
+    filtered (a score above a non-negative threshold needs c(ab) > min_count),
+    so the two unigram lookups only see the few surviving candidates.
+    """
+    uni = tokens.select(F.explode(col).alias("k")).groupBy("k").agg(F.count("*").alias("c"))
+    bi = _pairs(tokens, key, col).groupBy("a", "b").agg(F.count("*").alias("c"))
+    bi = bi.withColumn("phrase", F.concat_ws(DELIM, "a", "b"))
+    vocab = uni.unionAll(bi.select(F.col("phrase").alias("k"), "c")).groupBy("k").agg(F.sum("c").alias("c"))
     v_size = vocab.agg(F.count("*").cast("double")).scalar()   # scalar subquery, no driver round trip
-    cand = pairs.select("a", "b").distinct().withColumn("phrase", F.concat_ws(DELIM, "a", "b"))
+    vab = vocab.select(F.col("k").alias("phrase"), F.col("c").alias("cab"))
+    cand = bi.select("a", "b", "phrase").join(vab, "phrase")
+    if threshold >= 0:
+        cand = cand.filter(F.col("cab") > min_count)
     va = vocab.select(F.col("k").alias("a"), F.col("c").alias("ca"))
     vb = vocab.select(F.col("k").alias("b"), F.col("c").alias("cb"))
-    vab = vocab.select(F.col("k").alias("phrase"), F.col("c").alias("cab"))
-    scored = cand.join(va, "a").join(vb, "b").join(vab, "phrase").withColumn(
+    scored = cand.join(va, "a").join(vb, "b").withColumn(
         "score", (F.col("cab") - F.lit(min_count)) / (F.col("ca") * F.col("cb")).cast("double") * v_size)
     return scored.filter(F.col("score") > F.lit(float(threshold))).select("a", "b", "phrase", "score")
 
