@@ -11,6 +11,7 @@ at even offsets.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 DELIM = "_"
@@ -28,22 +29,47 @@ def learn_phrases(tokens: DataFrame, min_count: int = 5, threshold: float = 10.0
                   key: str = "post_id", col: str = "tokens") -> DataFrame:
     """V1: ``(a, b, phrase, score)`` for every adjacent pair that scores above threshold.
 
-    Counts are pre-aggregated (unigrams, bigram pairs) before the
-    string-keyed vocabulary is formed; the phrase count is joined first and
-    filtered (a score above a non-negative threshold needs c(ab) > min_count),
-    so the two unigram lookups only see the few surviving candidates.
+    The vocabulary is keyed by string: a bigram ``a_b`` and a unigram that
+    happens to be spelled ``a_b`` share one count, as do two pairs with the
+    same joined spelling.  Such collisions need a ``_`` inside a token, so
+    only those (tiny) key sets are regrouped; all other counts come straight
+    from the two pre-aggregated tables.  A score above a non-negative
+    threshold needs c(ab) > min_count, which prunes candidates before the
+    unigram lookups.
     """
+    has_us = lambda c: F.instr(c, DELIM) > 0
     uni = tokens.select(F.explode(col).alias("k")).groupBy("k").agg(F.count("*").alias("c"))
-    bi = _pairs(tokens, key, col).groupBy("a", "b").agg(F.count("*").alias("c"))
-    bi = bi.withColumn("phrase", F.concat_ws(DELIM, "a", "b"))
-    vocab = uni.unionAll(bi.select(F.col("phrase").alias("k"), "c")).groupBy("k").agg(F.sum("c").alias("c"))
-    v_size = vocab.agg(F.count("*").cast("double")).scalar()   # scalar subquery, no driver round trip
-    vab = vocab.select(F.col("k").alias("phrase"), F.col("c").alias("cab"))
-    cand = bi.select("a", "b", "phrase").join(vab, "phrase")
+    bi = _pairs(tokens, key, col).groupBy("a", "b").agg(F.count("*").alias("c")) \
+                                 .withColumn("phrase", F.concat_ws(DELIM, "a", "b"))
+    uni = uni.persist(StorageLevel.MEMORY_AND_DISK)
+    bi = bi.persist(StorageLevel.MEMORY_AND_DISK)
+    u_us = uni.filter(has_us(F.col("k"))).select(F.col("k").alias("phrase"), F.col("c").alias("u"))
+    # pairs spelled like an underscore unigram (the unigram side is tiny)
+    hit_u = bi.join(F.broadcast(u_us.select("phrase")), "phrase")
+    # spellings shared by several pairs need '_' inside a or b
+    shared = bi.filter(has_us(F.col("a")) | has_us(F.col("b"))).groupBy("phrase").agg(
+        F.sum("c").alias("cs"), F.count("*").alias("npairs"))
+    n_uni = uni.agg(F.count("*")).scalar()
+    n_bi = bi.agg(F.count("*")).scalar()
+    n_overlap = hit_u.agg(F.countDistinct("phrase")).scalar()
+    n_dup = shared.agg(F.coalesce(F.sum(F.col("npairs") - 1), F.lit(0))).scalar()
+    v_size = (n_uni + n_bi - n_overlap - n_dup).cast("double")
+    # string-keyed count of a phrase: its pairs' counts + a same-spelled unigram
+    cand = bi.filter(F.col("c") > min_count) if threshold >= 0 else bi
+    cand = cand.select("a", "b", "phrase").unionByName(hit_u.select("a", "b", "phrase")) \
+               .unionByName(bi.filter(has_us(F.col("a")) | has_us(F.col("b"))).select("a", "b", "phrase")).distinct()
+    cand = cand.join(bi.select("a", "b", F.col("c").alias("own")), ["a", "b"]) \
+               .join(shared, "phrase", "left").join(u_us, "phrase", "left")
+    cab = F.coalesce("cs", "own") + F.coalesce("u", F.lit(0))
+    cand = cand.select("a", "b", "phrase", cab.alias("cab"))
     if threshold >= 0:
         cand = cand.filter(F.col("cab") > min_count)
-    va = vocab.select(F.col("k").alias("a"), F.col("c").alias("ca"))
-    vb = vocab.select(F.col("k").alias("b"), F.col("c").alias("cb"))
+    # string-keyed count of a unigram: plus pairs spelled like it (underscore tokens only)
+    extra = hit_u.groupBy("phrase").agg(F.sum("c").alias("x"))
+    ucnt = uni.join(extra.withColumnRenamed("phrase", "k"), "k", "left") \
+              .select("k", (F.col("c") + F.coalesce("x", F.lit(0))).alias("c"))
+    va = ucnt.select(F.col("k").alias("a"), F.col("c").alias("ca"))
+    vb = ucnt.select(F.col("k").alias("b"), F.col("c").alias("cb"))
     scored = cand.join(va, "a").join(vb, "b").withColumn(
         "score", (F.col("cab") - F.lit(min_count)) / (F.col("ca") * F.col("cb")).cast("double") * v_size)
     return scored.filter(F.col("score") > F.lit(float(threshold))).select("a", "b", "phrase", "score")

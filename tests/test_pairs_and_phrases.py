@@ -108,3 +108,33 @@ def test_exact_quantiles_match_numpy(spark):
         ga, gb = SU.exact_quantiles(df, [("a", q), ("b", q)], accuracy=50)
         assert abs(ga - np.percentile(a, q * 100)) < 1e-12
         assert abs(gb - np.percentile(b, q * 100)) < 1e-12
+
+
+def brute_phrases(sentences, min_count, threshold):
+    """String-keyed vocabulary scoring, stated directly."""
+    from collections import Counter
+    vocab = Counter()
+    for s in sentences:
+        vocab.update(s)
+        vocab.update(a + "_" + b for a, b in zip(s, s[1:]))
+    v = len(vocab)
+    out = {}
+    for s in sentences:
+        for a, b in zip(s, s[1:]):
+            sc = (vocab[a + "_" + b] - min_count) / (vocab[a] * vocab[b]) * v
+            if sc > threshold:
+                out[(a, b)] = sc
+    return out
+
+
+def test_learn_phrases_string_keyed_with_underscores(spark):
+    rng = random.Random(9)
+    words = ["x", "y", "z", "x_y", "y_z", "q"]
+    rows = [(i, [rng.choice(words) for _ in range(rng.randint(0, 9))]) for i in range(400)]
+    tok = spark.createDataFrame(rows, "post_id long, tokens array<string>")
+    for mc, th in [(5, 10.0), (2, 0.5), (0, -1.0)]:
+        got = {(r.a, r.b): r.score for r in P.learn_phrases(tok, min_count=mc, threshold=th).collect()}
+        exp = brute_phrases([t for _, t in rows], mc, th)
+        assert set(got) == set(exp), (mc, th)
+        for k in exp:
+            assert abs(got[k] - exp[k]) < 1e-9
