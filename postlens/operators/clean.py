@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
@@ -29,7 +31,7 @@ class CleanOptions:
     lowercase: bool = True
     remove_html: bool = True
     remove_urls: bool = True
-    emoji: str = "remove"              # 'remove' | 'keep'
+    emoji: str = "remove"              # 'remove' | 'demojize' | 'keep'
     hashtags: str = "remove"           # 'remove' | 'extract' | 'keep'
     mentions: str = "remove"           # 'remove' | 'extract' | 'keep'
     remove_special_chars: bool = False
@@ -106,6 +108,8 @@ def clean_chain(df: DataFrame, col: str, opts: CleanOptions = CleanOptions()) ->
         x = T.remove_urls(x)
     if opts.emoji == "remove":
         x = T.remove_emoji(x)
+    elif opts.emoji == "demojize":
+        x = demojize(x)
     if opts.hashtags == "extract":
         extra["extracted_hashtags"] = T.extract_hashtags(x, keep_symbol=True)
     elif opts.hashtags == "remove":
@@ -191,3 +195,46 @@ def drop_blank(df: DataFrame, col: str = "post_content", stripped: bool = True)
     """F2."""
     c = F.trim(F.col(col)) if stripped else F.col(col)
     return df.filter(c.isNotNull() & (c != ""))
+
+
+def observed_counts(df: DataFrame, name: str):
+    """Attach a row counter to ``df`` without an extra pass.
+
+    Returns ``(df, observation)``; ``observation.get`` holds ``{name: n}``
+    after the first action on the returned DataFrame.
+    """
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    return df.observe(obs, F.count(F.lit(1)).alias(name)), obs
+
+
+def _demojize_series(s: pd.Series) -> pd.Series:
+    import re
+    import unicodedata
+    pat = re.compile("[" + "".join(_EMOJI_PY_RANGES) + "]")
+    skip = "\u200d\ufe0e\ufe0f"
+
+    def one(t):
+        if t is None:
+            return None
+        return pat.sub(lambda m: "" if m.group(0) in skip else
+                       ":" + unicodedata.name(m.group(0), "emoji").lower().replace(" ", "_") + ":", t)
+    return s.map(one)
+
+
+def demojize(c) -> Column:
+    """Emoji -> ``:name:`` (Unicode character names, lower-case, '_' for
+    spaces).  A small Arrow-batched helper: only rows holding a character
+    from the emoji class reach Python."""
+    udf = F.pandas_udf(_demojize_series, "string")
+    x = F.col(c) if isinstance(c, str) else c
+    return F.when(x.rlike(T.EMOJI_CLASS_JAVA), udf(x)).otherwise(x)
+
+
+# Python-side spelling of the same emoji ranges (fixed values, see text.EMOJI_CLASS).
+_EMOJI_PY_RANGES = [
+    "\U0001F000-\U0001FAFF", "\u2600-\u27BF", "\u2300-\u23FF", "\u2B00-\u2BFF",
+    "\U000E0020-\U000E007F", "\uFE0E\uFE0F\u200D\u20E3\u3030\u303D\u3297\u3299",
+    "\u00A9\u00AE\u203C\u2049\u2122\u2139\u2194-\u2199\u21A9\u21AA\u24C2",
+    "\u25AA\u25AB\u25B6\u25C0\u25FB-\u25FE\u2934\u2935",
+]

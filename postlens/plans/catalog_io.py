@@ -13,6 +13,7 @@ from ..sources import files as FS
 from ..sources import fixtures as FX
 from ..streaming import ingest as ST
 from . import sinks as K
+from . import sqlpipe as SP
 from . import sqltext as S
 
 QUERIES = {}
@@ -65,3 +66,32 @@ def q_stream_tokens_documents(spark, sf):
     q = ST.run_to_table(stream, out, _scratch(spark, "stream-ckpt"))
     q.awaitTermination()
     return spark.read.parquet(out).drop("batch_id")
+
+
+ROWS_ONLY = {"clean_chain_pages_demojize"}
+
+
+@_reg("clean_chain_pages_demojize")
+def q_clean_chain_pages_demojize(spark, sf):
+    """T9 inside the cleaning chain: emoji -> :name: instead of removal."""
+    from ..operators import clean as C
+    opts = C.CleanOptions(emoji="demojize")
+    return C.clean_chain(FX.table(spark, sf, "pages"), "html", opts).select("page_id", "cleaned_html")
+
+
+@_reg("drop_counters_posts", f"""
+WITH {SP.tokens_ctes()}
+SELECT (SELECT COUNT(*) FROM posts) AS posts_in, (SELECT COUNT(*) FROM tok1) AS after_min_tokens,
+       (SELECT COUNT(*) FROM tok) AS after_phrases
+""")
+def q_drop_counters_posts(spark, sf):
+    """Rows kept per step, gathered with ``observe`` in a single pass."""
+    from ..operators import clean as C
+    from ..operators import phrases as P
+    posts, o1 = C.observed_counts(FX.posts(spark, sf), "posts_in")
+    tok, o2 = C.observed_counts(C.lda_tokenize(posts).drop("post_content"), "after_min_tokens")
+    phr = P.learn_phrases(FX.posts(spark, sf).transform(lambda d: C.lda_tokenize(d).drop("post_content")))
+    out, o3 = C.observed_counts(P.apply_phrases(tok, phr).filter(F.size("tokens") >= 3), "after_phrases")
+    out.write.format("noop").mode("overwrite").save()
+    row = (o1.get["posts_in"], o2.get["after_min_tokens"], o3.get["after_phrases"])
+    return spark.createDataFrame([row], "posts_in long, after_min_tokens long, after_phrases long")

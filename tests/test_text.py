@@ -91,3 +91,15 @@ def test_normalize_tokens(spark):
     lem = spark.createDataFrame([("cats", "cat")], "token string, lemma string")
     got = {r.post_id: r.tokens for r in C.normalize_tokens(tok, lem).collect()}
     assert got == {1: ["cat", "ran", "cat"], 2: []}
+
+
+def test_demojize(spark):
+    df = spark.createDataFrame([("hi 😀 there 👍",), ("plain",), (None,)], "t string")
+    got = [r.d for r in df.select(C.demojize("t").alias("d")).collect()]
+    assert got == ["hi :grinning_face: there :thumbs_up_sign:", "plain", None]
+
+
+def test_observed_counts(spark):
+    df = spark.range(10)
+    out, obs = C.observed_counts(df.filter("id > 3"), "kept")
+    assert out.count() == 6 and obs.get == {"kept": 6}
