@@ -19,6 +19,22 @@ def read_csv(spark: SparkSession, path: str, schema=None, header: bool = True) -
     return r.csv(path)
 
 
+def read_headerless(spark: SparkSession, path: str, schema, skip_lines: int = 3) -> DataFrame:
+    """Headerless CSV whose first ``skip_lines`` lines are junk; the first
+    schema fields are kept, lines that do not parse are dropped.
+
+    Each file is read as one value (like any multi-line CSV file, a file is
+    one task) and split into lines; only the leading lines are skipped.
+    """
+    raw = spark.read.text(path, wholetext=True)
+    lines = raw.select(F.posexplode(F.split("value", "\r?\n")).alias("i", "line")) \
+               .filter((F.col("i") >= skip_lines) & (F.trim("line") != ""))
+    parsed = lines.select(F.from_csv("line", schema.simpleString(), {"mode": "PERMISSIVE"}).alias("r"))
+    out = parsed.select("r.*")
+    first = schema.fieldNames()[0]
+    return out.filter(F.col(first).isNotNull())
+
+
 def read_jsonl(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """One object per line; malformed lines are dropped."""
     r = spark.read.option("mode", "DROPMALFORMED")

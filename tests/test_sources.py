@@ -58,3 +58,14 @@ def test_adapters(spark):
     g = A.guess_columns(raw)
     assert g == {"user_id": "author", "post_content": "content", "timestamp": "date"}
     assert [r.user_id for r in A.map_roles(raw, g["user_id"], g["timestamp"], g["post_content"]).collect()] == ["v"]
+
+
+def test_headerless_with_junk_lines(spark):
+    from postlens.sources import adapters as A
+    p = _tmp("junk line one\nanother, junk\nthird\nalice,2024-01-01 10:00:00,hello world,3,4\n"
+             "bob,2024-01-02 11:00:00,second post,0,1\n", ".csv")
+    schema = "screenname string, date_sent string, text string, retweets int, favorites int"
+    from pyspark.sql.types import _parse_datatype_string
+    raw = FS.read_headerless(spark, p, _parse_datatype_string(schema))
+    out = sorted(A.map_source(raw, "tweets_b").collect(), key=lambda r: r.user_id)
+    assert [(r.user_id, r.post_content) for r in out] == [("alice", "hello world"), ("bob", "second post")]
