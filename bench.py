@@ -46,16 +46,22 @@ def main():
     qs = all_queries()
     names = os.environ.get("BENCH_QUERIES")
     names = names.split(",") if names else [n for n in HEADLINE if n in qs]
-    times = {}
+    times, failed = {}, {}
     for name in names:
         t0 = time.time()
-        df = qs[name](spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
+        try:
+            df = qs[name](spark, sf_dir)
+            df.write.format("noop").mode("overwrite").save()
+        except Exception as e:  # keep measuring the others; report the failure
+            failed[name] = f"{type(e).__name__}: {str(e)[:200]}"
+            print(f"# {name}: FAILED {failed[name]}", file=sys.stderr, flush=True)
+            continue
         times[name] = round(time.time() - t0, 3)
         print(f"# {name}: {times[name]}s", file=sys.stderr, flush=True)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_total_wall", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": float(m.group(1)) if m else sf_dir, "cpus": cpus}))
+                      "queries": times, "sf": float(m.group(1)) if m else sf_dir, "cpus": cpus,
+                      **({"failed": failed} if failed else {})}))
 
 
 if __name__ == "__main__":
