@@ -106,7 +106,8 @@ def representative_docs(dterms: DataFrame, ctfidf: DataFrame, idf: DataFrame, n:
         F.sum(F.col("wd") * F.col("weight")).alias("dot"))
     sim = dot.join(dn, key).join(tn, "topic_id").select(
         key, "topic_id", (F.col("dot") / (F.col("dn") * F.col("tn"))).alias("similarity"))
-    w = Window.partitionBy("topic_id").orderBy(F.col("similarity").desc(), key)
+    # rank on 9 decimals: equal similarities summed in another order must tie
+    w = Window.partitionBy("topic_id").orderBy(F.round("similarity", 9).desc(), key)
     r = sim.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
     return r.select("topic_id", F.col("rank").cast("int"), key, "similarity")
 

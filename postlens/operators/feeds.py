@@ -57,7 +57,7 @@ def temporal_top(temporal: DataFrame, top_n: int = 5) -> DataFrame:
     the rest sum into 'Other' per time bin: ``(user_id, time_bin, label, prob)``."""
     avg = temporal.groupBy("user_id", "topic_id").agg(F.avg("prob").alias("m"))
     rk = avg.withColumn("r", F.row_number().over(
-        Window.partitionBy("user_id").orderBy(F.col("m").desc(), "topic_id"))).select("user_id", "topic_id", "r")
+        Window.partitionBy("user_id").orderBy(F.round("m", 9).desc(), "topic_id"))).select("user_id", "topic_id", "r")
     j = temporal.join(rk, ["user_id", "topic_id"])
     label = F.when(F.col("r") <= top_n, F.concat(F.lit("Topic_"), F.col("topic_id").cast("string"))).otherwise("Other")
     return j.groupBy("user_id", "time_bin", label.alias("label")).agg(F.sum("prob").alias("prob"))
@@ -139,7 +139,7 @@ def cluster_topics(assign: DataFrame, user_vec: DataFrame, top: int = 3) -> Data
     """Mean topic weight per cluster x topic with its rank (rank <= top kept)."""
     m = _long(user_vec).join(assign, "user_id").groupBy("cluster", "topic_id").agg(F.avg("p").alias("mean_prob"))
     r = m.withColumn("rank", F.row_number().over(
-        Window.partitionBy("cluster").orderBy(F.col("mean_prob").desc(), "topic_id")).cast("int"))
+        Window.partitionBy("cluster").orderBy(F.round("mean_prob", 9).desc(), "topic_id")).cast("int"))
     return r.filter(F.col("rank") <= top)
 
 
@@ -155,7 +155,7 @@ def coherence_band(c) -> F.Column:
 
 def top_users(scores: DataFrame, n: int = 5, by: str = "gini_coefficient") -> DataFrame:
     """O3: the n users with the highest metric (a top-k report)."""
-    return scores.orderBy(F.col(by).desc_nulls_last(), "user_id").limit(n)
+    return scores.orderBy(F.round(by, 9).desc_nulls_last(), "user_id").limit(n)
 
 
 def membership(df: DataFrame, flags: DataFrame) -> DataFrame:

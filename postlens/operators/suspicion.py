@@ -133,7 +133,7 @@ def suspicious_users(scores: DataFrame, duplicates: DataFrame | None = None,
 
 def sort_suspicious(df: DataFrame) -> DataFrame:
     """D4 order: flag, Gini, count descending (undefined Gini last)."""
-    return df.orderBy(F.col("suspicious").desc(), F.col("gini_coefficient").desc_nulls_last(),
+    return df.orderBy(F.col("suspicious").desc(), F.round("gini_coefficient", 9).desc_nulls_last(),
                       F.col("post_count").desc(), "user_id")
 
 

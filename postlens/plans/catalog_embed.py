@@ -103,7 +103,7 @@ tn AS (SELECT topic_id, sqrt(SUM(weight * weight)) AS tn FROM w GROUP BY 1),
 dot AS (SELECT dw.doc_id, dw.topic_id, SUM(dw.wd * w.weight) AS dot FROM dw JOIN w USING (topic_id, term) GROUP BY 1, 2),
 sim AS (SELECT dot.doc_id, dot.topic_id, dot.dot / (dn.dn * tn.tn) AS similarity
         FROM dot JOIN dn USING (doc_id) JOIN tn USING (topic_id)),
-r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY topic_id ORDER BY similarity DESC, doc_id) AS INTEGER) AS rank FROM sim)
+r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY topic_id ORDER BY ROUND(similarity, 9) DESC, doc_id) AS INTEGER) AS rank FROM sim)
 SELECT topic_id, rank, doc_id, ROUND(similarity, 6) AS similarity FROM r WHERE rank <= 3
 """)
 def q_representative_docs_label_topics(spark, sf):

@@ -84,7 +84,7 @@ n AS (SELECT user_id, time_bin, COUNT(*) AS n FROM ev GROUP BY 1, 2),
 c AS (SELECT user_id, time_bin, topic_id, COUNT(*) AS c FROM ev JOIN ids USING (event_type) GROUP BY 1, 2, 3),
 t AS (SELECT n.user_id, n.time_bin, i.topic_id, COALESCE(c.c, 0) * 1.0 / n.n AS prob
       FROM n CROSS JOIN ids i LEFT JOIN c ON c.user_id = n.user_id AND c.time_bin = n.time_bin AND c.topic_id = i.topic_id),
-m AS (SELECT user_id, topic_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY AVG(prob) DESC, topic_id) AS r
+m AS (SELECT user_id, topic_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ROUND(AVG(prob), 9) DESC, topic_id) AS r
       FROM t GROUP BY user_id, topic_id)
 SELECT t.user_id, t.time_bin, CASE WHEN m.r <= 5 THEN 'Topic_' || CAST(t.topic_id AS VARCHAR) ELSE 'Other' END AS label,
        ROUND(SUM(t.prob), 6) AS prob
@@ -187,7 +187,7 @@ def q_cluster_stats_dominant(spark, sf):
 @_reg("cluster_topics_dominant", f"""
 WITH {SCORES}, {P},
 m AS (SELECT sc.dominant_topic AS cluster, p.topic_id, AVG(p.p) AS mean_prob FROM p JOIN sc USING (user_id) GROUP BY 1, 2),
-r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY mean_prob DESC, topic_id) AS INTEGER) AS rank FROM m)
+r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY ROUND(mean_prob, 9) DESC, topic_id) AS INTEGER) AS rank FROM m)
 SELECT cluster, topic_id, ROUND(mean_prob, 6) AS mean_prob, rank FROM r WHERE rank <= 3
 """)
 def q_cluster_topics_dominant(spark, sf):
@@ -199,7 +199,7 @@ def q_cluster_topics_dominant(spark, sf):
 @_reg("top_users_by_gini_events", f"""
 WITH {SCORES}
 SELECT user_id, post_count, ROUND(gini_coefficient, 6) AS gini_coefficient FROM sc
-ORDER BY gini_coefficient DESC NULLS LAST, user_id LIMIT 5
+ORDER BY ROUND(gini_coefficient, 9) DESC NULLS LAST, user_id LIMIT 5
 """)
 def q_top_users_by_gini_events(spark, sf):
     _, scores, _ = _scores_flags(spark, sf)
@@ -209,7 +209,7 @@ def q_top_users_by_gini_events(spark, sf):
 @_reg("first_flagged_users_compat", f"""
 WITH {FLAGS}
 SELECT user_id, post_count, ROUND(gini_coefficient, 6) AS gini_coefficient FROM fl WHERE suspicious
-ORDER BY gini_coefficient DESC NULLS LAST, post_count DESC, user_id LIMIT 10
+ORDER BY ROUND(gini_coefficient, 9) DESC NULLS LAST, post_count DESC, user_id LIMIT 10
 """)
 def q_first_flagged_users_compat(spark, sf):
     _, _, flags = _scores_flags(spark, sf)
