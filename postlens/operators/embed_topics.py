@@ -146,3 +146,14 @@ def reduce_topics(dterms: DataFrame, nr_topics: int) -> DataFrame:
         src, dst = (a, b) if sizes.get(a, 0) < sizes.get(b, 0) else (b, a)
         cur = cut_lineage(cur.withColumn("topic_id", F.when(F.col("topic_id") == src, F.lit(dst))
                                          .otherwise(F.col("topic_id"))))
+
+
+def topic_embeddings(emb: DataFrame, assignment: DataFrame, key: str = "doc_id",
+                     col: str = "embedding") -> DataFrame:
+    """K6: mean embedding per topic, long form ``(topic_id, dim, value)``.
+
+    Partial aggregation per (topic, dimension); nothing per topic is collected.
+    """
+    ex = emb.select(key, F.posexplode(col).alias("dim", "v")).join(assignment.select(key, "topic_id"), key)
+    return ex.groupBy("topic_id", "dim").agg(F.avg(F.col("v").cast("double")).alias("value")) \
+             .withColumn("dim", F.col("dim").cast("int"))

@@ -172,3 +172,16 @@ def q_embed_run_summary(spark, sf):
     return assign.agg(F.count("*").alias("num_documents"),
                       F.countDistinct(F.when(F.col("topic_id") != -1, F.col("topic_id"))).alias("num_topics"),
                       F.sum((F.col("topic_id") == -1).cast("int")).alias("num_outliers"))
+
+
+@_reg("topic_embeddings_label", """
+WITH e AS (SELECT vec_id, CAST(label AS INTEGER) AS topic_id, embedding FROM embeddings),
+x AS (SELECT topic_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim,
+             CAST(unnest(embedding) AS DOUBLE) AS v FROM e)
+SELECT topic_id, dim, ROUND(AVG(v), 6) AS value FROM x GROUP BY topic_id, dim
+""")
+def q_topic_embeddings_label(spark, sf):
+    """K6: topic embeddings (mean input embedding per topic) for the label assignment."""
+    e = FX.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    assign = e.select("doc_id", F.col("label").cast("int").alias("topic_id"))
+    return rounded(E.topic_embeddings(e, assign))
