@@ -1,11 +1,13 @@
 """BPE encoding and decoding over a table of distinct words (operator 5).
 
-1. Words (``units.split_units``) are counted into a table of distinct words.
-2. Each distinct word is encoded once.
-3. Ids are joined back by position.  The most frequent words, at most
-   ``hot_words`` of at most ``HOT_CHARS`` characters, form a dictionary of
-   proven size that is broadcast; every other word comes by a shuffle join,
-   grouped under the digest of the text it stands in.
+1. Words (``units.split_units``) are counted into a table of distinct words;
+   a word enters it when one block of texts holds it twice or more.
+2. Each word of the table is encoded once.
+3. Ids are joined back by position.  The ``hot_words`` most frequent words of at
+   most ``HOT_CHARS`` characters form a dictionary of proven size, which is
+   broadcast.  The long tail, words of the table's end and those that stand
+   once in their block, is encoded where it stands, each distinct word once a
+   block: joining it by shuffle moved more than the texts themselves (README).
 4. Decoding joins the ids with the id-to-piece table (one row per vocabulary
    id, so bounded) and concatenates the pieces in order.
 
@@ -18,24 +20,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut_lineage, plain_text
+from .common import plain_text
 from .units import encode_units, load_tokenizer, piece_table, split_units
 
 HOT_CHARS = 48
-#: Distinct words held in a worker before they are handed on.
-_FLUSH = 400_000
-
-RESULT = "doc_id long, n_tokens long, ids binary, decoded string"
+#: Distinct words of a block held in a worker before they are handed on.
+_FLUSH = 500_000
 
 
 def word_table(texts: DataFrame, path: str) -> DataFrame:
-    """(word, n, ids): every distinct word of ``texts.text`` with its count and ids."""
+    """(word, n, ids): distinct words that a block of ``texts.text`` repeats,
+    with the count over those blocks and the ids."""
     def count(batches):
         import pyarrow as pa
         from collections import Counter
 
         def out(seen):
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            again = [(w, n) for w, n in seen.items() if n > 1 and len(w) <= HOT_CHARS]
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in again], pa.string()), pa.array([n for _, n in again], pa.int64())], ["word", "n"])
         seen = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
@@ -58,33 +60,26 @@ def word_table(texts: DataFrame, path: str) -> DataFrame:
 
 
 def hot_dictionary(words: DataFrame, size: int) -> dict[str, bytes]:
-    """The ``size`` most frequent short words with their ids, on the driver."""
-    top = (words.filter(F.length("word") <= HOT_CHARS).orderBy(F.desc("n"), "word").limit(size).select("word", "ids").toArrow())
+    """The ``size`` most frequent words with their ids, on the driver."""
+    top = words.orderBy(F.desc("n"), "word").limit(size).select("word", "ids").toArrow()
     return dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True))
 
 
-def _packed(docs: DataFrame, hot) -> DataFrame:
-    """(doc_id, text_key, packed, rare): the text compressed for its shuffle, and
-    its words that the broadcast dictionary lacks."""
-    def run(batches):
-        import hashlib
+class Encoder:
+    """Ids of whole texts in a worker: the broadcast dictionary, then the
+    block's own table of the words that it lacks."""
 
-        import pyarrow as pa
-        import zstandard
+    def __init__(self, path: str, hot: dict[str, bytes], block_words: int = 200_000):
+        self.tok, self.hot, self.own, self.most = load_tokenizer(path), hot, {}, block_words
 
-        known, z = hot.value, zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            keys, packed, rare = [], [], []
-            for t in b.column(1).to_pylist():
-                raw = t.encode()
-                keys.append(hashlib.blake2b(raw, digest_size=16).digest())
-                packed.append(z.compress(raw))
-                rare.append([w for w in set(split_units(t)) if w not in known])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(keys, pa.binary()), pa.array(packed, pa.binary()), pa.array(rare, pa.list_(pa.string()))],
-                ["doc_id", "text_key", "packed", "rare"])
-
-    return docs.mapInArrow(run, "doc_id long, text_key binary, packed binary, rare array<string>")
+    def ids(self, texts: list[str]) -> list[bytes]:
+        units = [split_units(t) for t in texts]
+        if len(self.own) > self.most:
+            self.own = {}
+        hot, own = self.hot, self.own
+        lacking = list({w for u in units for w in u if w not in hot and w not in own})
+        own.update(zip(lacking, encode_units(self.tok, lacking), strict=True))
+        return [b"".join([hot[w] if w in hot else own[w] for w in u]) for u in units]
 
 
 def encode_decode(docs: DataFrame, path: str, hot_words: int = 1 << 19, digests: bool = False) -> DataFrame:
@@ -96,36 +91,27 @@ def encode_decode(docs: DataFrame, path: str, hot_words: int = 1 << 19, digests:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text().alias("text"))
-    words = cut_lineage(word_table(docs.select("text"), path))
-    hot = spark.sparkContext.broadcast(hot_dictionary(words, hot_words))
+    hot = spark.sparkContext.broadcast(hot_dictionary(word_table(docs.select("text"), path), hot_words))
     pieces = spark.sparkContext.broadcast(piece_table(path))
+    last = ("ids_sha256 string", "decoded_sha256 string") if digests else ("ids binary", "decoded string")
 
-    packed = _packed(docs, hot)
-    rare = (packed.select("text_key", F.explode("rare").alias("word")).distinct()
-            .join(words.select("word", F.col("ids").alias("word_ids")), "word")
-            .groupBy("text_key").agg(F.collect_list(F.struct("word", "word_ids")).alias("found")))
-
-    def finish(batches):
+    def run(batches):
         import hashlib
 
         import numpy as np
         import pyarrow as pa
-        import zstandard
 
-        known, z, table = hot.value, zstandard.ZstdDecompressor(), pieces.value
+        enc, table = Encoder(path, hot.value), pieces.value
         for b in batches:
             n, first, second = [], [], []
-            for raw, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                own = {f["word"]: f["word_ids"] for f in found or ()}
-                units = split_units(z.decompress(raw).decode())
-                ids = b"".join([known[w] if w in known else own[w] for w in units])
-                n.append(len(ids) // 4)
-                shown = b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
-                first.append(hashlib.sha256(ids).hexdigest() if digests else ids)
-                second.append(hashlib.sha256(shown.encode()).hexdigest() if digests else shown)
+            for at in range(0, b.num_rows, 256):
+                for ids in enc.ids(b.column(1).slice(at, 256).to_pylist()):
+                    n.append(len(ids) // 4)
+                    shown = b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+                    first.append(hashlib.sha256(ids).hexdigest() if digests else ids)
+                    second.append(hashlib.sha256(shown.encode()).hexdigest() if digests else shown)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(first, pa.string() if digests else pa.binary()), pa.array(second, pa.string())], names)
+                [b.column(0), pa.array(n, pa.int64()), pa.array(first, pa.string() if digests else pa.binary()), pa.array(second, pa.string())],
+                ["doc_id", "n_tokens", *(x.split()[0] for x in last)])
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else RESULT
-    names = [x.split()[0] for x in schema.split(", ")]
-    return packed.drop("rare").join(rare, "text_key", "left").select("doc_id", "packed", "found").mapInArrow(finish, schema)
+    return docs.mapInArrow(run, ", ".join(("doc_id long, n_tokens long", *last)))
