@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .common import plain_text
-from .units import encode_units, load_tokenizer, piece_table, split_units
+from .units import Encoder, encode_units, load_tokenizer, piece_table, split_units
 
 HOT_CHARS = 48
 #: Distinct words of a block held in a worker before they are handed on.
@@ -48,11 +48,13 @@ def word_table(texts: DataFrame, path: str) -> DataFrame:
         yield out(seen)
 
     def encode(batches):
+        import numpy as np
         import pyarrow as pa
 
         tok = load_tokenizer(path)
+        sizes = np.array([len(x) for x in piece_table(tok)])
         for b in batches:
-            ids = encode_units(tok, b.column(0).to_pylist())
+            ids = encode_units(tok, b.column(0).to_pylist(), sizes)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], ["word", "n", "ids"])
 
     words = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -65,23 +67,6 @@ def hot_dictionary(words: DataFrame, size: int) -> dict[str, bytes]:
     return dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True))
 
 
-class Encoder:
-    """Ids of whole texts in a worker: the broadcast dictionary, then the
-    block's own table of the words that it lacks."""
-
-    def __init__(self, path: str, hot: dict[str, bytes], block_words: int = 200_000):
-        self.tok, self.hot, self.own, self.most = load_tokenizer(path), hot, {}, block_words
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        units = [split_units(t) for t in texts]
-        if len(self.own) > self.most:
-            self.own = {}
-        hot, own = self.hot, self.own
-        lacking = list({w for u in units for w in u if w not in hot and w not in own})
-        own.update(zip(lacking, encode_units(self.tok, lacking), strict=True))
-        return [b"".join([hot[w] if w in hot else own[w] for w in u]) for u in units]
-
-
 def encode_decode(docs: DataFrame, path: str, hot_words: int = 1 << 19, digests: bool = False) -> DataFrame:
     """Encode and decode every text of ``docs`` (doc_id, text).
 
@@ -92,7 +77,7 @@ def encode_decode(docs: DataFrame, path: str, hot_words: int = 1 << 19, digests:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text().alias("text"))
     hot = spark.sparkContext.broadcast(hot_dictionary(word_table(docs.select("text"), path), hot_words))
-    pieces = spark.sparkContext.broadcast(piece_table(path))
+    pieces = spark.sparkContext.broadcast(piece_table(load_tokenizer(path)))
     last = ("ids_sha256 string", "decoded_sha256 string") if digests else ("ids binary", "decoded string")
 
     def run(batches):

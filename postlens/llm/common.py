@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postlens.session import cut_lineage, ensure_checkpoint_dir  # noqa: F401
@@ -21,3 +23,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plain_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, so shared by all executors."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

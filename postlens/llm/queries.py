@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
-from .common import documents
+from . import bpe, tokenfile
+from .common import documents, scratch_folder
 
 
 def tokenizer_path() -> str:
@@ -20,8 +20,13 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), tokenizer_path(), digests=True)
 
 
+def op8_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_files(documents(spark, sf_dir), tokenizer_path(), scratch_folder(spark, "tokens"))
+
+
 QUERIES = {
     "op5_bpe": op5_bpe,
+    "op8_tokenfile": op8_tokenfile,
 }
 
 ORACLES: dict[str, str] = {}

@@ -14,6 +14,7 @@ import re
 _BLANK = r"\s\x1c-\x1f\x85\xa0 ᠎ -​    　﻿"
 _ODD = re.compile(rf"[{_BLANK.replace(chr(92) + 's', chr(92) + 't' + chr(92) + 'r' + chr(92) + 'x0b' + chr(92) + 'x0c')}]")
 _SAFE = re.compile(rf"(?<=[^{_BLANK}]) (?=[^{_BLANK}])")
+_EDGE = frozenset(" \n")
 #: Marks the first unit of a text, which has no leading space of its own.
 FIRST = "  "
 
@@ -46,17 +47,41 @@ def load_tokenizer(path: str):
     return tok
 
 
-def encode_units(tok, keys: list[str]) -> list[bytes]:
-    """Ids of each unit as little-endian unsigned 32-bit integers."""
+_RUN = 512
+
+
+def encode_units(tok, keys: list[str], piece_bytes=None) -> list[bytes]:
+    """Ids of each unit as little-endian unsigned 32-bit integers.
+
+    Units that neither start nor end in white space are encoded in runs, as
+    one text; byte counts of the pieces (``piece_bytes``, by id) show where
+    each unit ends.  Where an end does not fall between two ids, and for all
+    other units, each is encoded alone."""
     import numpy as np
 
-    got = tok.encode_batch_fast([unit_text(k) for k in keys], add_special_tokens=False)
-    return [np.array(e.ids, "<u4").tobytes() for e in got]
+    out: list = [None] * len(keys)
+    if piece_bytes is not None:
+        plain = [i for i, k in enumerate(keys) if k and k[0] not in _EDGE and k[-1] not in _EDGE and not _ODD.search(k)]
+        runs = [plain[i:i + _RUN] for i in range(0, len(plain), _RUN)]
+        texts = [" " + " ".join([keys[i] for i in run]) for run in runs]
+        for run, got in zip(runs, tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            ends = np.cumsum(piece_bytes[ids])
+            want = np.cumsum([len(keys[i].encode()) + 1 for i in run])
+            at = np.searchsorted(ends, want)
+            if len(ids) and ends[-1] == want[-1] and (ends[at] == want).all():
+                raw, start = ids.tobytes(), 0
+                for i, stop in zip(run, ((at + 1) * 4).tolist(), strict=True):
+                    out[i] = raw[start:stop]
+                    start = stop
+    alone = [i for i, x in enumerate(out) if x is None]
+    for i, e in zip(alone, tok.encode_batch_fast([unit_text(keys[i]) for i in alone], add_special_tokens=False), strict=True):
+        out[i] = np.array(e.ids, "<u4").tobytes()
+    return out
 
 
-def piece_table(path: str) -> list[bytes]:
+def piece_table(tok) -> list[bytes]:
     """Bytes of each id of a byte-level tokenizer; special tokens as written."""
-    tok = load_tokenizer(path)
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(shown)]
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
@@ -65,3 +90,28 @@ def piece_table(path: str) -> list[bytes]:
         known = all(c in byte_of for c in piece)
         out[i] = bytes(byte_of[c] for c in piece) if known else piece.encode()
     return out
+
+
+class Encoder:
+    """Ids of whole texts in a worker: by the dictionary ``hot``, then by the
+    block's own table of the words that it lacks, each encoded once."""
+
+    def __init__(self, path: str, hot: dict[str, bytes] | None = None, block_words: int = 1_000_000):
+        import numpy as np
+
+        self.tok, self.hot, self.own, self.most = load_tokenizer(path), hot or {}, {}, block_words
+        self.sizes = np.array([len(x) for x in piece_table(self.tok)])
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        units = [split_units(t) for t in texts]
+        if len(self.own) > self.most:
+            self.own = {}
+        found = [list(map(self.own.get, u)) for u in units] if not self.hot else [list(map(self.hot.get, u)) for u in units]
+        own, lacking = self.own, set()
+        for u, f in zip(units, found, strict=True):
+            if None in f:
+                lacking.update([w for w, x in zip(u, f, strict=True) if x is None and w not in own])
+        lacking = list(lacking)
+        own.update(zip(lacking, encode_units(self.tok, lacking, self.sizes), strict=True))
+        return [b"".join(f) if None not in f else b"".join([own[w] if x is None else x for w, x in zip(u, f, strict=True)])
+                for u, f in zip(units, found, strict=True)]
