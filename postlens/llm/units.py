@@ -96,22 +96,25 @@ class Encoder:
     """Ids of whole texts in a worker: by the dictionary ``hot``, then by the
     block's own table of the words that it lacks, each encoded once."""
 
-    def __init__(self, path: str, hot: dict[str, bytes] | None = None, block_words: int = 1_000_000):
+    def __init__(self, path: str, hot: dict[str, bytes] | None = None, block_words: int = 300_000):
         import numpy as np
 
         self.tok, self.hot, self.own, self.most = load_tokenizer(path), hot or {}, {}, block_words
         self.sizes = np.array([len(x) for x in piece_table(self.tok)])
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        units = [split_units(t) for t in texts]
+        units, ends = [], []
+        for t in texts:
+            units += split_units(t)
+            ends.append(len(units))
         if len(self.own) > self.most:
             self.own = {}
-        found = [list(map(self.own.get, u)) for u in units] if not self.hot else [list(map(self.hot.get, u)) for u in units]
-        own, lacking = self.own, set()
-        for u, f in zip(units, found, strict=True):
-            if None in f:
-                lacking.update([w for w, x in zip(u, f, strict=True) if x is None and w not in own])
-        lacking = list(lacking)
-        own.update(zip(lacking, encode_units(self.tok, lacking, self.sizes), strict=True))
-        return [b"".join(f) if None not in f else b"".join([own[w] if x is None else x for w, x in zip(u, f, strict=True)])
-                for u, f in zip(units, found, strict=True)]
+        own = self.own
+        found = list(map((self.hot or own).get, units))
+        lacking = [i for i, x in enumerate(found) if x is None]
+        if lacking:
+            fresh = list({units[i] for i in lacking}.difference(own))
+            own.update(zip(fresh, encode_units(self.tok, fresh, self.sizes), strict=True))
+            for i in lacking:
+                found[i] = own[units[i]]
+        return [b"".join(found[s:e]) for s, e in zip([0, *ends], ends, strict=False)]
