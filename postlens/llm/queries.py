@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, mixing, tokenfile, topk
+from . import bpe, mixing, setsketch, tokenfile, topk
 from .common import documents, scratch_folder, table
 
 
@@ -32,11 +32,16 @@ def op8_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(documents(spark, sf_dir), tokenizer_path(), scratch_folder(spark, "tokens"))
 
 
+def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op2_topk": op2_topk,
     "op3_mixing": op3_mixing,
     "op5_bpe": op5_bpe,
     "op8_tokenfile": op8_tokenfile,
+    "op10_setsketch": op10_setsketch,
 }
 
 _OP2_SQL = """
