@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, mixing, setsketch, tokenfile, topk
+from . import bpe, mixing, setsketch, tokenfile, topk, toxicity
 from .common import documents, scratch_folder, table
 
 
@@ -24,6 +24,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), tokenizer_path(), digests=True)
 
@@ -39,6 +43,7 @@ def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_topk": op2_topk,
     "op3_mixing": op3_mixing,
+    "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
     "op8_tokenfile": op8_tokenfile,
     "op10_setsketch": op10_setsketch,
