@@ -6,10 +6,14 @@
    are one node from here on.
 2. Bands of ``ROWS`` registers deal the nodes into buckets.  At similarity 0.75
    a pair shares no bucket with a probability of about 3e-7.
-3. Candidates: every member of a bucket with its smallest member; once links
-   are known, members that the smallest one does not reach meet all members of
-   the bucket that they are not yet connected with.  A group of m copies so
-   takes about m pairs, and no link between different texts is lost.
+3. Candidates, in rounds: every member of a bucket with its smallest member;
+   then, of the members that known links do not yet connect with that one, a
+   few (1, 4, 16, ...) with every member that they are not connected with, until
+   each has had its turn or is connected.  A group of m copies so takes about m
+   pairs a round, no pair is tried twice, and no link between different texts
+   is lost.  Shingles that no node of another component has bound the intersection:
+   with m = the smaller count of other shingles, similarity is at most
+   m / (n1 + n2 - m); pairs under the threshold by that are not formed.
 4. The joint likelihood of two nodes' registers estimates their similarity; a
    pair stays unless it is 5 standard errors under the threshold.
 5. What stays is confirmed on the full sets, and components of the links follow.
@@ -22,7 +26,7 @@ is kept.  Extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import cut_lineage
 from .components import components
@@ -110,10 +114,8 @@ def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = cut_lineage(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
     rows = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
             .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y"))
 
@@ -156,29 +158,75 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("key", "hub")
     members = cut_lineage(bands.join(hubs, "key"))
 
-    threshold = percent / 100
-    star = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut_lineage(_confirmed(cut_lineage(_likely(star, nodes, threshold)), docs, k, percent))
     # Rows that share a doc_id but not a text are one document.
     same = full.join(nodes.select("set_key", "node"), "set_key").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
-    more = _unreached(members, links)
-    found = _likely(more, nodes, threshold)
-    links = links.union(_confirmed(cut_lineage(found), docs, k, percent))
-    comp = components(links.union(same))
+    comp = components(_links(members, nodes, docs, k, percent).union(same))
 
     out = sets.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"),
                       F.coalesce(F.coalesce("comp", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _unreached(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs of a bucket that ``links`` do not connect, but those with its hub."""
-    comp = components(links)
-    named = (members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-             .join(comp.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "hub", "left")
-             .withColumn("hub_comp", F.coalesce("hub_comp", "hub")))
-    away = cut_lineage(named.filter("comp <> hub_comp").select("key", "node", "comp"))
-    others = (named.join(away.select("key").distinct(), "key", "left_semi").filter("node <> hub")
-              .select("key", F.col("node").alias("other"), F.col("comp").alias("other_comp")))
-    return (away.join(others, "key").filter("comp <> other_comp")
-            .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+def _links(members: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) that connect what the buckets of ``members``
+    (key, node, hub) hold; pairs that others connect are not tried."""
+    ids = members.select(F.col("node").alias("doc_id")).distinct()
+    texts = cut_lineage(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    tried = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    links = _confirmed(cut_lineage(_likely(tried, nodes, percent / 100)), texts, k, percent)
+    turns, had, rare = 1, None, None
+    while True:
+        links = cut_lineage(links)
+        comp = components(links)
+        named = (members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+                 .join(comp.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "hub", "left")
+                 .withColumn("away", F.col("comp") != F.coalesce("hub_comp", "hub")).select("key", "node", "hub", "comp", "away"))
+        away = named.filter("away").select("key", "node", "comp")
+        away = away if had is None else away.join(had, ["key", "node"], "left_anti")
+        if rare is None:
+            away = cut_lineage(away)
+            rare = cut_lineage(_shared(named.join(away.select("key").distinct(), "key", "left_semi"), nodes, texts, k))
+        turn = W.partitionBy("key").orderBy(F.col("n") - F.col("m"), "node")
+        now = cut_lineage(away.join(rare, "node").withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= turns).drop("turn"))
+        if now.isEmpty():
+            return links
+        others = (named.filter("node <> hub").select("key", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
+                  .join(now.select("key").distinct(), "key", "left_semi")
+                  .join(rare.select(F.col("node").alias("other"), F.col("n").alias("n2"), F.col("m").alias("m2")), "other"))
+        can = (100 + percent) * F.least("m", "m2") >= percent * (F.col("n") + F.col("n2"))
+        o = others.withColumnRenamed("key", "key2")
+        pairs = (now.join(o, (F.col("key") == F.col("key2")) & (F.col("comp") != F.col("other_comp")) & can)
+                 .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+                 .join(tried, ["a", "b"], "left_anti"))
+        pairs = cut_lineage(pairs)
+        links = links.union(_confirmed(cut_lineage(_likely(pairs, nodes, percent / 100)), texts, k, percent))
+        tried = tried.union(pairs)
+        now = now.select("key", "node")
+        had, turns = (now if had is None else had.union(now)), 4 * turns
+
+
+def _shared(open_members: DataFrame, nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(node, n, m): shingles of each open node, and how many of them a node of
+    another component has."""
+    ids = open_members.select(F.col("node").alias("doc_id"), "comp").distinct()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        hashes = WordHashes()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                sets = [shingle_set(hashes.of(t), k) for t in b.column(1).to_pylist()]
+                node = np.repeat(b.column(0).to_numpy(), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["node", "shingle"])
+    each = texts.join(ids.select("doc_id"), "doc_id", "left_semi").mapInArrow(run, "node long, shingle long")
+    each = cut_lineage(each.join(ids.withColumnRenamed("doc_id", "node"), "node"))
+    several = each.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("shingle")
+    shared = each.join(several, "shingle").groupBy("node").agg(F.count("*").alias("shared"))
+    # A node of several texts has no bound of its own: all its shingles count as shared.
+    sized = nodes.groupBy("node").agg(F.max("n_shingles").alias("n"), F.count("*").alias("texts"))
+    return (ids.select(F.col("doc_id").alias("node")).join(sized, "node").join(shared, "node", "left")
+            .select("node", F.when(F.col("texts") == 1, F.col("n")).otherwise(F.lit(0)).alias("n"),
+                    F.when(F.col("texts") == 1, F.coalesce("shared", F.lit(0))).otherwise(F.lit(1 << 40)).alias("m")))
