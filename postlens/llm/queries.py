@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, mixing, setsketch, tokenfile, topk, toxicity
+from . import bpe, mixing, setsketch, suffix, tokenfile, topk, toxicity
 from .common import documents, scratch_folder, table
 
 
@@ -32,6 +32,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), tokenizer_path(), digests=True)
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.passages(documents(spark, sf_dir))
+
+
 def op8_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(documents(spark, sf_dir), tokenizer_path(), scratch_folder(spark, "tokens"))
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
+    "op6_suffix": op6_suffix,
     "op8_tokenfile": op8_tokenfile,
     "op10_setsketch": op10_setsketch,
 }
