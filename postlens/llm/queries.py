@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, mixing, setsketch, suffix, tokenfile, topk, toxicity
+from . import bpe, chaining, mixing, setsketch, suffix, tokenfile, topk, toxicity
 from .common import documents, scratch_folder, table
 
 
@@ -36,6 +36,10 @@ def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.passages(documents(spark, sf_dir))
 
 
+def op7_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.fuzzy_passages(documents(spark, sf_dir))
+
+
 def op8_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(documents(spark, sf_dir), tokenizer_path(), scratch_folder(spark, "tokens"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
     "op6_suffix": op6_suffix,
+    "op7_chaining": op7_chaining,
     "op8_tokenfile": op8_tokenfile,
     "op10_setsketch": op10_setsketch,
 }
