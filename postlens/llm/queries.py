@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chaining, mixing, setsketch, suffix, tokenfile, topk, toxicity
+from . import bpe, chaining, lcp, mixing, setsketch, suffix, tokenfile, topk, toxicity
 from .common import documents, scratch_folder, table
 
 
@@ -44,6 +44,10 @@ def op8_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(documents(spark, sf_dir), tokenizer_path(), scratch_folder(spark, "tokens"))
 
 
+def op9_lcp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lcp.edited_fingerprints(documents(spark, sf_dir))
+
+
 def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(documents(spark, sf_dir))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op6_suffix": op6_suffix,
     "op7_chaining": op7_chaining,
     "op8_tokenfile": op8_tokenfile,
+    "op9_lcp": op9_lcp,
     "op10_setsketch": op10_setsketch,
 }
 
