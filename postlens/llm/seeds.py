@@ -60,9 +60,9 @@ def shared_seeds(docs: DataFrame, depth: int, order: int, window: int) -> DataFr
     so a seed of any frequency needs no task of its own."""
     rows = seed_rows(docs, depth, order, window)
     place = F.struct("doc_id", "pos")
-    first = (rows.groupBy("seed").agg(F.min(place).alias("f"), F.max(place).alias("l")).filter("f < l")
+    first = (rows.groupBy("seed").agg(F.min(place).alias("f"), F.count("*").alias("c")).filter("c > 1")
              .select("seed", F.col("f.doc_id").alias("first_doc"), F.col("f.pos").alias("first_pos")))
-    return rows.join(first, "seed")
+    return rows.join(first, "seed").filter("doc_id <> first_doc OR pos <> first_pos")
 
 
 def contexts(docs: DataFrame, places: DataFrame, run, schema: str) -> DataFrame:
