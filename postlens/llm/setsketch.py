@@ -230,3 +230,13 @@ def _shared(open_members: DataFrame, nodes: DataFrame, texts: DataFrame, k: int)
     return (ids.select(F.col("doc_id").alias("node")).join(sized, "node").join(shared, "node", "left")
             .select("node", F.when(F.col("texts") == 1, F.col("n")).otherwise(F.lit(0)).alias("n"),
                     F.when(F.col("texts") == 1, F.coalesce("shared", F.lit(0))).otherwise(F.lit(1 << 40)).alias("m")))
+
+
+def representatives(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """One row of each group of near-duplicates, with its columns: that of the
+    smallest doc_id.  Rows that repeat a doc_id count as one; of differing ones
+    the greatest text stays.  Rows with a null doc_id stay as they are."""
+    kept = near_duplicates(docs, k, percent).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
+    best = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").groupBy("doc_id").agg(F.max(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_r"))
+    best = best.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_r.{c}").alias(c) for c in docs.columns])
+    return best.unionByName(docs.filter("doc_id IS NULL"))
