@@ -8,7 +8,7 @@
    a pair shares no bucket with a probability of about 3e-7.
 3. Candidates, in rounds: every member of a bucket with its smallest member;
    then, of the members that known links do not yet connect with that one, a
-   few (1, 4, 16, ...) with every member that they are not connected with, until
+   few (1, 8, 64, ...) with every member that they are not connected with, until
    each has had its turn or is connected.  A group of m copies so takes about m
    pairs a round, no pair is tried twice, and no link between different texts
    is lost.  Shingles that no node of another component has bound the intersection:
@@ -202,7 +202,7 @@ def _links(members: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
         links = links.union(_confirmed(cut_lineage(_likely(pairs, nodes, percent / 100)), texts, k, percent))
         tried = tried.union(pairs)
         now = now.select("key", "node")
-        had, turns = (now if had is None else had.union(now)), 4 * turns
+        had, turns = (now if had is None else had.union(now)), 8 * turns
 
 
 def _shared(open_members: DataFrame, nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:

@@ -11,7 +11,7 @@ a flexible model from explaining U as all negative.
 Features are words and their first 3 to 5 letters, hashed: whether one is there,
 and whether a 64th or a 16th of the text's distinct words have it (a rare
 mention in a long text is not a toxic text).  Those whose frequency differs
-between P and U by ``Z`` standard errors are kept.
+between P and U by ``Z`` standard errors are kept, of those that P has.
 
 Training reads at most ``max_positive`` and ``max_unlabelled`` documents (a
 stated bound, drawn by a hash of the id), never rows whose crc32(id as text)
@@ -97,6 +97,7 @@ def _sample(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelle
     got = docs.join(F.broadcast(chosen), "doc_id").select("p", "text").mapInArrow(run, "p int, ids binary").toArrow()
     mark = got.column(0).to_numpy()
     ids = [np.frombuffer(x, np.int32) for x in got.column(1).to_pylist()]
+    del got
     return [x for x, p in zip(ids, mark, strict=True) if p], [x for x, p in zip(ids, mark, strict=True) if not p], toxic / n
 
 
@@ -108,11 +109,14 @@ def fit(positive: list, unlabelled: list, prior: float, steps: int = 400, rate:
         return np.empty(0, np.int32), np.empty(0), -np.inf
 
     def share(rows):
-        return np.bincount(np.concatenate(rows), minlength=1 << _BITS) / len(rows)
-    p, u = share(positive), share(unlabelled)
-    mean = np.clip((p + u) / 2, 1e-9, 1)
+        return np.unique(np.concatenate(rows), return_counts=True)
+    (names, counts), (other, more) = share(positive), share(unlabelled)
+    p, u = counts / len(positive), np.zeros(len(names))
+    _, i, j = np.intersect1d(names, other, assume_unique=True, return_indices=True)
+    u[i] = more[j] / len(unlabelled)
+    mean = (p + u) / 2
     z = np.abs(p - u) / np.sqrt(mean * (1 - mean) * (1 / len(positive) + 1 / len(unlabelled)) + 1e-12)
-    kept = np.flatnonzero((z > Z) & (mean * len(positive) >= 3)).astype(np.int32)
+    kept = names[(z > Z) & (mean * len(positive) >= 3)].astype(np.int32)
     place = np.full(1 << _BITS, -1, np.int32)
     place[kept] = np.arange(len(kept))
 
@@ -142,7 +146,7 @@ def fit(positive: list, unlabelled: list, prior: float, steps: int = 400, rate:
     return kept, w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 12000):
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = 2000, max_unlabelled: int = 6000):
     return fit(*_sample(docs, labels, max_positive, max_unlabelled))
 
 
