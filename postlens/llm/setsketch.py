@@ -7,9 +7,9 @@
 2. Bands of ``ROWS`` registers deal the nodes into buckets.  At similarity 0.75
    a pair shares no bucket with a probability of about 3e-7.
 3. Candidates, in rounds: every member of a bucket with its smallest member;
-   then, of the members that known links do not yet connect with that one, a
-   few (1, 8, 64, ...) with every member that they are not connected with, until
-   each has had its turn or is connected.  A group of m copies so takes about m
+   then, of the members that known links do not yet connect with that one, four,
+   and at last all that are still open, with every member that they are not
+   connected with.  A group of m copies so takes about m
    pairs a round, no pair is tried twice, and no link between different texts
    is lost.  Shingles that no node of another component has bound the intersection:
    with m = the smaller count of other shingles, similarity is at most
@@ -174,7 +174,7 @@ def _links(members: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
     texts = cut_lineage(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
     tried = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = _confirmed(cut_lineage(_likely(tried, nodes, percent / 100)), texts, k, percent)
-    turns, had, rare = 1, None, None
+    turns, had, rare = 4, None, None
     while True:
         links = cut_lineage(links)
         comp = components(links)
@@ -202,7 +202,7 @@ def _links(members: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
         links = links.union(_confirmed(cut_lineage(_likely(pairs, nodes, percent / 100)), texts, k, percent))
         tried = tried.union(pairs)
         now = now.select("key", "node")
-        had, turns = (now if had is None else had.union(now)), 8 * turns
+        had, turns = (now if had is None else had.union(now)), 1 << 30
 
 
 def _shared(open_members: DataFrame, nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:

@@ -146,7 +146,7 @@ def fit(positive: list, unlabelled: list, prior: float, steps: int = 400, rate:
     return kept, w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 2000, max_unlabelled: int = 6000):
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 10000):
     return fit(*_sample(docs, labels, max_positive, max_unlabelled))
 
 
