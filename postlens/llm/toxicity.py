@@ -147,7 +147,20 @@ def fit(positive: list, unlabelled: list, prior: float, steps: int = 400, rate:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 10000):
-    return fit(*_sample(docs, labels, max_positive, max_unlabelled))
+    model = fit(*_sample(docs, labels, max_positive, max_unlabelled))
+    _give_back()
+    return model
+
+
+def _give_back() -> None:
+    """Return the freed sample to the system: glibc keeps it, and the driver lives on."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def scorer(model):
