@@ -12,7 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round links neighbours to the smallest node of their star, so depth
     falls geometrically; a node's edges are only joined with one row of it,
-    and minima are combined before the shuffle."""
+    and minima are combined before the shuffle.  Joins are merge joins: a round
+    is many small ones, and broadcasts would pile up on the driver."""
     e = cut_lineage(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     mark = None
     while True:
@@ -22,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
         both = e.union(e.select("b", "a"))  # (a: node, b: neighbour)
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = both.join(low, F.col("a") == F.col("n")).filter("b > a").select(F.col("m").alias("a"), "b").distinct()
+        large = both.join(low.hint("merge"), F.col("a") == F.col("n")).filter("b > a").select(F.col("m").alias("a"), "b").distinct()
         least = large.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("n"), "m")
-        small = large.join(least, F.col("b") == F.col("n"))
+        small = large.join(least.hint("merge"), F.col("b") == F.col("n"))
         e = cut_lineage(small.select(F.col("m").alias("a"), "b").union(small.filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct())

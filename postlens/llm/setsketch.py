@@ -178,26 +178,26 @@ def _links(members: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
     while True:
         links = cut_lineage(links)
         comp = components(links)
-        named = (members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-                 .join(comp.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "hub", "left")
+        named = (members.join(comp.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+                 .join(comp.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")).hint("merge"), "hub", "left")
                  .withColumn("away", F.col("comp") != F.coalesce("hub_comp", "hub")).select("key", "node", "hub", "comp", "away"))
         away = named.filter("away").select("key", "node", "comp")
-        away = away if had is None else away.join(had, ["key", "node"], "left_anti")
+        away = away if had is None else away.join(had.hint("merge"), ["key", "node"], "left_anti")
         if rare is None:
             away = cut_lineage(away)
             rare = cut_lineage(_shared(named.join(away.select("key").distinct(), "key", "left_semi"), nodes, texts, k))
         turn = W.partitionBy("key").orderBy(F.col("n") - F.col("m"), "node")
-        now = cut_lineage(away.join(rare, "node").withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= turns).drop("turn"))
+        now = cut_lineage(away.join(rare.hint("merge"), "node").withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= turns).drop("turn"))
         if now.isEmpty():
             return links
         others = (named.filter("node <> hub").select("key", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
-                  .join(now.select("key").distinct(), "key", "left_semi")
+                  .join(now.select("key").distinct().hint("merge"), "key", "left_semi")
                   .join(rare.select(F.col("node").alias("other"), F.col("n").alias("n2"), F.col("m").alias("m2")), "other"))
         can = (100 + percent) * F.least("m", "m2") >= percent * (F.col("n") + F.col("n2"))
         o = others.withColumnRenamed("key", "key2")
         pairs = (now.join(o, (F.col("key") == F.col("key2")) & (F.col("comp") != F.col("other_comp")) & can)
                  .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-                 .join(tried, ["a", "b"], "left_anti"))
+                 .join(tried.hint("merge"), ["a", "b"], "left_anti"))
         pairs = cut_lineage(pairs)
         links = links.union(_confirmed(cut_lineage(_likely(pairs, nodes, percent / 100)), texts, k, percent))
         tried = tried.union(pairs)
