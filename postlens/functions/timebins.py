@@ -12,6 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+#: Shapes beside Spark's own, tried in this order (month before day, as pandas does).
+DATE_PATTERNS = [
+    "yyyy-MM-dd HH:mm:ssXXX", "MM/dd/yyyy HH:mm", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy",
+    "MMM d HH:mm:ss Z yyyy", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm", "d MMM yyyy", "MMM d, yyyy",
+    "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy/MM/dd",
+]
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -29,12 +37,10 @@ def time_bin(ts, tb: str = "week", week_anchor: str = "monday") -> Column:
 
 def parse_timestamp(c) -> Column:
     """Lenient parse: bad text -> NULL (never raises under ANSI)."""
-    x = _c(c)
-    return F.coalesce(
-        F.try_to_timestamp(x.cast("string")),
-        F.try_to_timestamp(x.cast("string"), F.lit("yyyy-MM-dd HH:mm:ssXXX")),
-        F.try_to_timestamp(x.cast("string"), F.lit("MM/dd/yyyy HH:mm")),
-    )
+    x = F.trim(_c(c).cast("string"))
+    # The weekday says nothing more, and Spark does not parse it.
+    x = F.regexp_replace(x, r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,? ", "")
+    return F.coalesce(F.try_to_timestamp(x), *[F.try_to_timestamp(x, F.lit(p)) for p in DATE_PATTERNS])
 
 
 def epoch_seconds(c) -> Column:

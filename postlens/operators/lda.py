@@ -2,26 +2,25 @@
 
 MLlib's online LDA replaces the reference's online variational Bayes; the
 numbers cannot match it (different optimiser, no learned eta), so results
-are checked by properties.  Mini-batches follow ``chunksize`` while the
-corpus is small, and never go below ``min_batch_fraction`` so that the
-number of iterations (one Spark job each) stays bounded on a large corpus.
+are checked by properties.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
+
+
+_VECTOR = StructType([StructField("v", VectorUDT())])
 
 
-@F.udf(returnType=VectorUDT())
 def _sparse(size, idx, val):
-    # Bridge into MLlib's vector type (no JVM-side constructor is exposed);
-    # called once per document with arrays bounded by the vocabulary size.
-    return SparseVector(size, idx, val)
+    """MLlib's sparse vector (type 0) from columns, without leaving the JVM."""
+    v = F.struct(F.lit(0).cast("tinyint").alias("type"), size.cast("int").alias("size"), idx.cast("array<int>").alias("indices"), val.alias("values"))
+    return F.from_json(F.to_json(F.struct(v.alias("v"))), _VECTOR)["v"]
 
 
 def bow_vectors(bow: DataFrame, vocab_size, key: str = "doc_id") -> DataFrame:
@@ -32,13 +31,11 @@ def bow_vectors(bow: DataFrame, vocab_size, key: str = "doc_id") -> DataFrame:
                      F.transform("e", lambda x: x["tf"].cast("double"))).alias("features"))
 
 
-def fit_lda(vectors: DataFrame, k: int = 20, passes: int = 20, seed: int = 42,
-            chunksize: int = 2000, min_batch_fraction: float = 0.05, n_docs: int | None = None) -> LDAModel:
-    """M1: online LDA, doc concentration (alpha) learned."""
-    n = n_docs if n_docs is not None else vectors.count()
-    frac = min(1.0, max(chunksize / max(n, 1), min_batch_fraction))
-    iters = max(1, int(math.ceil(passes / frac)))
-    lda = LDA(k=k, maxIter=iters, optimizer="online", seed=seed, subsamplingRate=frac,
+def fit_lda(vectors: DataFrame, k: int = 20, max_iter: int = 20, seed: int = 42, batch_fraction: float = 1.0) -> LDAModel:
+    """M1: online LDA, doc concentration (alpha) learned.  Each of ``max_iter``
+    iterations (one Spark job) reads ``batch_fraction`` of the documents; neither
+    depends on the size of the corpus."""
+    lda = LDA(k=k, maxIter=max_iter, optimizer="online", seed=seed, subsamplingRate=batch_fraction,
               optimizeDocConcentration=True, featuresCol="features", topicDistributionCol="topicDistribution")
     return lda.fit(vectors)
 

@@ -44,8 +44,8 @@ def learn_phrases(tokens: DataFrame, min_count: int = 5, threshold: float = 10.0
     uni = uni.persist(StorageLevel.MEMORY_AND_DISK)
     bi = bi.persist(StorageLevel.MEMORY_AND_DISK)
     u_us = uni.filter(has_us(F.col("k"))).select(F.col("k").alias("phrase"), F.col("c").alias("u"))
-    # pairs spelled like an underscore unigram (the unigram side is tiny)
-    hit_u = bi.join(F.broadcast(u_us.select("phrase")), "phrase")
+    # pairs spelled like an underscore unigram
+    hit_u = bi.join(u_us.select("phrase"), "phrase")
     # spellings shared by several pairs need '_' inside a or b
     shared = bi.filter(has_us(F.col("a")) | has_us(F.col("b"))).groupBy("phrase").agg(
         F.sum("c").alias("cs"), F.count("*").alias("npairs"))
@@ -78,19 +78,18 @@ def learn_phrases(tokens: DataFrame, min_count: int = 5, threshold: float = 10.0
 def apply_phrases(tokens: DataFrame, phrases: DataFrame, key: str = "post_id",
                   col: str = "tokens") -> DataFrame:
     """V2: replace tokens with merged phrases; rows keep all other columns."""
-    ex = tokens.select(key, col, F.posexplode(col).alias("pos", "w"))
-    ex = ex.withColumn("nxt", F.when(F.col("pos") + 1 < F.size(col),
-                                     F.element_at(col, (F.col("pos") + 2).cast("int")))).drop(col)
-    hits = ex.join(phrases.select(F.col("a").alias("w"), F.col("b").alias("nxt"), F.lit(True).alias("hit")),
-                   ["w", "nxt"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    w = Window.partitionBy(key).orderBy("pos")
-    last_miss = F.max(F.when(~F.col("hit"), F.col("pos"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    off = F.col("pos") - F.coalesce(last_miss, F.lit(-1)) - 1
-    marked = hits.withColumn("start", F.col("hit") & (off % 2 == 0))
-    marked = marked.withColumn("prev_start", F.coalesce(F.lag("start").over(w), F.lit(False)))
-    out_tok = F.when(F.col("start"), F.concat_ws(DELIM, "w", "nxt")).otherwise(F.col("w"))
-    kept = marked.filter(~F.col("prev_start")).select(key, "pos", out_tok.alias("t"))
-    merged = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("_s"))
-    merged = merged.select(key, F.transform("_s", lambda s: s["t"]).alias(col))
-    return tokens.drop(col).join(merged, key, "left").withColumn(
-        col, F.coalesce(F.col(col), F.array().cast("array<string>")))
+    # Hits are gathered by the digest of the token list, not by a post id: equal
+    # lists have equal hits, so repeated posts and repeated ids change nothing.
+    rows = tokens.withColumn("_tk", F.md5(F.concat_ws("\x01", F.col(col))))
+    ex = rows.select("_tk", F.col(col).alias("_t"), F.posexplode(F.expr(f"slice(`{col}`, 1, greatest(size(`{col}`) - 1, 0))")).alias("pos", "a"))
+    ex = ex.select("_tk", "pos", "a", F.element_at("_t", (F.col("pos") + 2).cast("int")).alias("b"))
+    hits = (ex.join(phrases.select("a", "b"), ["a", "b"], "left_semi")
+            .groupBy("_tk").agg(F.sort_array(F.collect_set("pos")).alias("_h")))
+    # Greedy from the left: a hit starts a phrase unless the one before it did.
+    starts = F.aggregate("_h", F.array().cast("array<int>"),
+                         lambda acc, p: F.when(F.array_contains(acc, p - 1), acc).otherwise(F.concat(acc, F.array(p))))
+    rows = rows.join(hits, "_tk", "left").withColumn("_s", starts)
+    joined = F.transform(F.col(col), lambda t, i: F.when(F.array_contains("_s", i), F.concat_ws(DELIM, t, F.get(F.col(col), i + 1))).otherwise(t))
+    merged = F.filter(joined, lambda t, i: ~F.array_contains("_s", i - 1))
+    out = rows.withColumn(col, F.when(F.col("_s").isNull(), F.col(col)).otherwise(merged))
+    return out.select(*tokens.columns)

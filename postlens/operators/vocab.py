@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..session import cut_lineage
 from .clean import fence
 
 
@@ -25,20 +26,26 @@ def document_frequency(dterms: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def filter_extremes(dfreq: DataFrame, n_docs, no_below: int = 3, no_above: float = 0.6,
-                    keep_n: int | None = 100_000) -> DataFrame:
+                    keep_n: int | None = None) -> DataFrame:
     """V6: keep ``no_below <= df <= int(no_above * N)``, then the ``keep_n``
     most frequent (df desc, term asc), indexed 0..n-1 in that order.
 
-    The top-``keep_n`` cut is a ``TakeOrderedAndProject`` (per-partition
-    top-k, then merge), so the index window only ever sees ``keep_n`` rows.
+    ``keep_n`` is off unless asked for.  Terms are dealt by ranges of that order
+    and numbered range by range, so no task sees the whole vocabulary.
     """
     no_above_abs = F.floor(F.lit(no_above) * n_docs)   # n_docs: int or scalar-subquery Column
     kept = dfreq.filter((F.col("df") >= no_below) & (F.col("df") <= no_above_abs))
-    ordered = kept.orderBy(F.col("df").desc(), F.col("term"))
+    order = [F.col("df").desc(), F.col("term")]
     if keep_n is not None:
-        ordered = ordered.limit(keep_n)
-    w = Window.orderBy(F.col("df").desc(), F.col("term"))
-    return ordered.withColumn("term_index", (F.row_number().over(w) - 1).cast("int"))
+        kept = kept.orderBy(*order).limit(keep_n)
+    ranged = cut_lineage(kept.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)   # one row a range
+    parts = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inner = Window.partitionBy("_part").orderBy(*order)
+    return (ranged.join(parts, "_part")
+            .withColumn("term_index", (F.col("_base") + F.row_number().over(inner) - 1).cast("int"))
+            .drop("_part", "_base"))
 
 
 def bag_of_words(dterms: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:

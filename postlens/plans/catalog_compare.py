@@ -1,7 +1,7 @@
 """Registered queries: model comparison.
 
 Two "models" over fixed inputs: user scores / flags from the one-hot
-events topics on even vs odd ``event_id``; topic-word tables = top 20
+events topics over all events, by event type and by hour of day; topic-word tables = top 20
 words per document language vs top 10 per source (mod 4).
 """
 
@@ -31,18 +31,18 @@ def _reg(name, sql=None):
     return deco
 
 
-def _scores(spark, sf, parity):
+def _scores(spark, sf, model):
     from .catalog_users import scores_events
-    return cut_lineage(scores_events(spark, sf, parity).drop("probs"))
+    return cut_lineage(scores_events(spark, sf, model).drop("probs"))
 
 
-def _flags(spark, sf, parity, compat=False):
-    return cut_lineage(SU.suspicious_users(_scores(spark, sf, parity), None, compat=compat))
+def _flags(spark, sf, model, compat=False):
+    return cut_lineage(SU.suspicious_users(_scores(spark, sf, model), None, compat=compat))
 
 
-def flags_sql(name: str, parity: int, q: float = 0.95) -> str:
+def flags_sql(name: str, model: int, q: float = 0.95) -> str:
     return f"""
-{name}s AS ({scores_sql(events_probs_cte(f"event_id % 2 = {parity}"), digits=None)}),
+{name}s AS ({scores_sql(events_probs_cte(model), digits=None)}),
 {name}c AS (SELECT quantile_cont(post_count, {q}) AS pc, quantile_cont(gini_coefficient, {q}) AS gc FROM {name}s),
 {name} AS (SELECT s.*, 0.0 AS duplicate_post_ratio,
                   (s.post_count >= c.pc AND COALESCE(s.gini_coefficient >= c.gc, FALSE)) AS suspicious

@@ -151,9 +151,9 @@ def q_topic_network_degree_events(spark, sf):
 
 @_reg("topic_network_edges_embed", """
 WITH d AS (SELECT CAST(label AS VARCHAR) AS user_id,
-                  list_transform(embedding[1:8], lambda v: ABS(CAST(v AS DOUBLE))) AS h FROM embeddings),
+                  list_transform(embedding, lambda v: ABS(CAST(v AS DOUBLE))) AS h FROM embeddings),
 l AS (SELECT user_id, CAST(t.i - 1 AS INTEGER) AS topic_id,
-             CASE WHEN list_sum(h) > 0 THEN h[t.i] / list_sum(h) ELSE 0.0 END AS p FROM d, range(1, 9) t(i)),
+             CASE WHEN list_sum(h) > 0 THEN h[t.i] / list_sum(h) ELSE 0.0 END AS p FROM d, range(1, 65) t(i)),
 p AS (SELECT user_id, topic_id, AVG(p) AS p FROM l GROUP BY 1, 2),
 g AS (SELECT a.topic_id AS i, b.topic_id AS j, SUM(a.p * b.p) AS dot FROM p a JOIN p b USING (user_id) GROUP BY 1, 2),
 nn AS (SELECT topic_id, sqrt(SUM(p * p)) AS n FROM p GROUP BY 1),

@@ -22,8 +22,8 @@ def _reg(name, sql=None):
     return deco
 
 
-def scores_events(spark, sf, parity=None):
-    docs, dt, k = FX.doc_topics_events(spark, sf, parity)
+def scores_events(spark, sf, model=0):
+    docs, dt, k = FX.doc_topics_events(spark, sf, model)
     return U.user_scores(U.user_topics(dt, docs, k))
 
 

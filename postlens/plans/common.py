@@ -51,27 +51,30 @@ SELECT user_id, CAST(MAX(n) AS BIGINT) AS post_count,
 FROM r GROUP BY user_id"""
 
 
-def events_probs_cte(where: str = "TRUE") -> str:
-    """``p(user_id, n, topic_id, p)`` for the one-hot events fixture."""
+def events_probs_cte(model: int = 0) -> str:
+    """``p(user_id, n, topic_id, p)`` for the one-hot events fixture (its two models)."""
+    if model == 1:
+        ids, ev = "SELECT CAST(range AS INTEGER) AS topic_id FROM range(5)", "SELECT *, CAST(hour(ts) % 5 AS INTEGER) AS topic_id FROM events"
+    else:
+        ids, ev = EVENT_TOPIC_IDS_SQL, f"SELECT e.*, i.topic_id FROM events e JOIN ({EVENT_TOPIC_IDS_SQL}) i USING (event_type)"
     return f"""
-  WITH ids AS ({EVENT_TOPIC_IDS_SQL}),
-  ev AS (SELECT * FROM events WHERE {where}),
+  WITH ids AS ({ids}),
+  ev AS ({ev}),
   u AS (SELECT CAST(user_id AS VARCHAR) AS user_id, COUNT(*) AS n FROM ev GROUP BY 1),
-  c AS (SELECT CAST(e.user_id AS VARCHAR) AS user_id, i.topic_id, COUNT(*) AS c
-        FROM ev e JOIN ids i USING (event_type) GROUP BY 1, 2)
+  c AS (SELECT CAST(user_id AS VARCHAR) AS user_id, topic_id, COUNT(*) AS c FROM ev GROUP BY 1, 2)
   SELECT u.user_id, u.n, i.topic_id, COALESCE(c.c, 0) * 1.0 / u.n AS p
   FROM u CROSS JOIN ids i LEFT JOIN c ON c.user_id = u.user_id AND c.topic_id = i.topic_id"""
 
 
 def embed_probs_cte() -> str:
-    """``p(user_id, n, topic_id, p)`` for the embeddings fixture (8 topics, user = label)."""
+    """``p(user_id, n, topic_id, p)`` for the embeddings fixture (64 topics, user = label)."""
     return """
   WITH d AS (SELECT vec_id, CAST(label AS VARCHAR) AS user_id,
-                    list_transform(embedding[1:8], lambda v: ABS(CAST(v AS DOUBLE))) AS h FROM embeddings),
+                    list_transform(embedding, lambda v: ABS(CAST(v AS DOUBLE))) AS h FROM embeddings),
   dn AS (SELECT vec_id, user_id, h, list_sum(h) AS tot FROM d),
   l AS (SELECT user_id, CAST(t.i - 1 AS INTEGER) AS topic_id,
                CASE WHEN tot > 0 THEN h[t.i] / tot ELSE 0.0 END AS p
-        FROM dn, range(1, 9) t(i)),
+        FROM dn, range(1, 65) t(i)),
   u AS (SELECT user_id, COUNT(*) AS n FROM dn GROUP BY 1)
   SELECT l.user_id, u.n, l.topic_id, SUM(l.p) / u.n AS p
   FROM l JOIN u USING (user_id) GROUP BY l.user_id, u.n, l.topic_id"""

@@ -32,7 +32,7 @@ class TopicConfig:
     phrase_threshold: float = 10.0
     no_below: int = 3
     no_above: float = 0.6
-    keep_n: int = 100_000
+    keep_n: int | None = None
     topn: int = 20
     compat_percentile: bool = False
     extra: dict = field(default_factory=dict)

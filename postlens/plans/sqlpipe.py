@@ -75,7 +75,7 @@ docs AS (SELECT doc_id, user_id, time_bin,
          FROM pd GROUP BY doc_id, user_id, time_bin HAVING SUM(len(tokens)) > 0)"""
 
 
-def vocab_ctes(no_below: int = 3, no_above: float = 0.6, keep_n: int = 100000) -> str:
+def vocab_ctes(no_below: int = 3, no_above: float = 0.6, keep_n: int | None = None) -> str:
     """CTEs ``dterms, dfreq, dict`` over ``pd`` documents."""
     return f"""
 dterms AS (SELECT doc_id, term, COUNT(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM pd) GROUP BY 1, 2),
@@ -83,7 +83,7 @@ ndocs AS (SELECT COUNT(*) AS n FROM docs),
 dfreq AS (SELECT term, COUNT(*) AS df FROM dterms GROUP BY term),
 dict AS (SELECT term, df, CAST(ROW_NUMBER() OVER (ORDER BY df DESC, term) - 1 AS INTEGER) AS term_index
          FROM (SELECT f.* FROM dfreq f, ndocs WHERE f.df >= {no_below} AND f.df <= FLOOR({no_above} * ndocs.n)
-               ORDER BY df DESC, term LIMIT {keep_n}))"""
+               {f'ORDER BY df DESC, term LIMIT {keep_n}' if keep_n else ''}))"""
 
 
 def positions_cte() -> str:

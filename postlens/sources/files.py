@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.timebins import parse_timestamp
+from ..session import cut_lineage
 
 POST_COLUMNS = ["user_id", "timestamp", "post_content"]
 
@@ -66,21 +66,28 @@ def require_columns(df: DataFrame, required=POST_COLUMNS) -> DataFrame:
 def to_posts(df: DataFrame, id_col: str | None = None) -> DataFrame:
     """Coerce to the posts contract and drop rows missing a key (F1).
 
-    ``post_id`` is taken from ``id_col`` when given, else derived from the
-    row content (``xxhash64``), never from positions.
+    ``post_id`` is taken from ``id_col`` when given.  Else rows are numbered once
+    and the numbers written with them (a checkpoint), so equal posts of one user
+    have ids of their own and a recomputation cannot change them.  A stream has
+    no row numbers: there the id is a hash of the content.
     """
     require_columns(df)
     ts = df["timestamp"]
     ts_col = ts if dict(df.dtypes)["timestamp"].startswith("timestamp") else parse_timestamp(ts)
-    pid = (F.col(id_col).cast("long") if id_col else
-           F.xxhash64(F.col("user_id").cast("string"), ts_col.cast("string"), F.col("post_content")))
+    if id_col:
+        pid = F.col(id_col).cast("long")
+    elif df.isStreaming:
+        pid = F.xxhash64(F.col("user_id").cast("string"), ts_col.cast("string"), F.col("post_content"))
+    else:
+        pid = F.monotonically_increasing_id()
     out = df.select(
         pid.alias("post_id"),
         F.col("user_id").cast("string").alias("user_id"),
         ts_col.alias("timestamp"),
         F.col("post_content").cast("string").alias("post_content"),
     )
-    return out.dropna(subset=POST_COLUMNS)
+    out = out.dropna(subset=POST_COLUMNS)
+    return out if id_col or df.isStreaming else cut_lineage(out)
 
 
 def read_posts(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -89,9 +96,11 @@ def read_posts(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def read_result(spark: SparkSession, path: str) -> DataFrame | None:
-    """Read a saved result table (Parquet dir or JSON); missing -> None."""
-    if not os.path.exists(path):
-        return None
-    if path.rstrip("/").endswith(".json"):
-        return spark.read.json(path)
-    return spark.read.parquet(path)
+    """Read a saved result table (Parquet dir or JSON) at any path that Spark
+    reads; missing -> None."""
+    try:
+        return spark.read.json(path) if path.rstrip("/").endswith(".json") else spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise

@@ -36,19 +36,21 @@ def event_topic_ids(events: DataFrame) -> DataFrame:
     return types.withColumn("topic_id", (F.dense_rank().over(Window.orderBy("event_type")) - 1).cast("int"))
 
 
-def doc_topics_events(spark: SparkSession, sf_dir: str, parity: int | None = None):
+def doc_topics_events(spark: SparkSession, sf_dir: str, model: int = 0):
     """One-hot document-topic table over events.
 
     Returns ``(docs, doc_topics, k)``: docs ``(doc_id, user_id, ts)``;
     doc_topics ``(doc_id, probs ARRAY<DOUBLE>)`` with all k entries.
-    ``parity`` 0 / 1 keeps even / odd ``event_id`` (two "models").
+    ``model`` 0 takes the event type as the topic, 1 the hour of day modulo 5:
+    two "models" over the same rows.
     """
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
-    if parity is not None:
-        ev = ev.filter(F.col("event_id") % 2 == parity)
-    ids = event_topic_ids(table(spark, sf_dir, "events")).cache()
-    k = ids.count()
-    j = ev.join(ids, "event_type")
+    if model == 1:
+        k, j = 5, ev.withColumn("topic_id", (F.hour("ts") % 5).cast("int"))
+    else:
+        ids = event_topic_ids(table(spark, sf_dir, "events")).cache()
+        k = ids.count()
+        j = ev.join(ids, "event_type")
     docs = j.select(F.col("event_id").cast("string").alias("doc_id"),
                     F.col("user_id").cast("string").alias("user_id"), "ts")
     probs = F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
@@ -57,10 +59,10 @@ def doc_topics_events(spark: SparkSession, sf_dir: str, parity: int | None = Non
     return docs, dt, k
 
 
-def doc_topics_embed(spark: SparkSession, sf_dir: str, k: int = 8):
-    """|first k dims| of each embedding, normalised; user = ``label``."""
+def doc_topics_embed(spark: SparkSession, sf_dir: str, k: int = 64):
+    """Magnitudes of all ``k`` dimensions of each embedding, normalised; user = ``label``."""
     em = table(spark, sf_dir, "embeddings")
-    head = F.transform(F.slice("embedding", 1, k), lambda v: F.abs(v).cast("double"))
+    head = F.transform("embedding", lambda v: F.abs(v).cast("double"))
     tot = F.aggregate(head, F.lit(0.0).cast("double"), lambda a, b: a + b)
     docs = em.select(F.col("vec_id").cast("string").alias("doc_id"),
                      F.col("label").cast("string").alias("user_id"),
