@@ -13,7 +13,9 @@
    pairs a round, no pair is tried twice, and no link between different texts
    is lost.  Shingles that no node of another component has bound the intersection:
    with m = the smaller count of other shingles, similarity is at most
-   m / (n1 + n2 - m); pairs under the threshold by that are not formed.
+   m / (n1 + n2 - m).  A bitmap of those other shingles' hashes lowers m: a bit
+   that only one of two nodes has stands for a shingle that the other lacks.
+   Pairs under the threshold by that are not formed.
 4. The joint likelihood of two nodes' registers estimates their similarity; a
    pair stays unless it is 5 standard errors under the threshold.
 5. What stays is confirmed on the full sets, and components of the links follow.
@@ -26,7 +28,7 @@ is kept.  Extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import cut_lineage
 from .components import components
@@ -35,6 +37,8 @@ from .shingles import WordHashes, shingle_set
 REGISTERS, ROWS = 160, 4
 #: SetSketch parameters: base and rate; exponents end at 65535.
 BASE, RATE = 1.001, 20.0
+#: 64-bit words of a bitmap of shared shingles.
+LANES = 16
 
 
 def registers(hashes, starts):
@@ -168,46 +172,56 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
 
 
 def _links(members: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) that connect what the buckets of ``members``
-    (key, node, hub) hold; pairs that others connect are not tried."""
+    """Links (a, b) that connect what the buckets of ``members`` (key, node, hub)
+    hold, each confirmed or between two nodes that confirmed ones connect; pairs
+    that others connect are not tried."""
     ids = members.select(F.col("node").alias("doc_id")).distinct()
     texts = cut_lineage(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+
+    def confirmed(pairs):
+        return _confirmed(cut_lineage(_likely(pairs, nodes, percent / 100)), texts, k, percent)
     tried = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = _confirmed(cut_lineage(_likely(tried, nodes, percent / 100)), texts, k, percent)
-    turns, had, rare = 4, None, None
-    while True:
-        links = cut_lineage(links)
+    links = confirmed(tried)
+    had = rare = None
+    for turns in (4, None):
         comp = components(links)
-        named = (members.join(comp.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-                 .join(comp.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")).hint("merge"), "hub", "left")
-                 .withColumn("away", F.col("comp") != F.coalesce("hub_comp", "hub")).select("key", "node", "hub", "comp", "away"))
+        named = cut_lineage(
+            members.join(comp.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            .join(comp.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")).hint("merge"), "hub", "left")
+            .withColumn("away", F.col("comp") != F.coalesce("hub_comp", "hub")).select("key", "node", "hub", "comp", "away"))
+        links = comp.select(F.col("comp").alias("a"), F.col("node").alias("b"))
         away = named.filter("away").select("key", "node", "comp")
         away = away if had is None else away.join(had.hint("merge"), ["key", "node"], "left_anti")
         if rare is None:
-            away = cut_lineage(away)
             rare = cut_lineage(_shared(named.join(away.select("key").distinct(), "key", "left_semi"), nodes, texts, k))
-        turn = W.partitionBy("key").orderBy(F.col("n") - F.col("m"), "node")
-        now = cut_lineage(away.join(rare.hint("merge"), "node").withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= turns).drop("turn"))
+        now = away.join(rare.hint("merge"), "node")
+        if turns:
+            turn = W.partitionBy("key").orderBy(F.col("n") - F.col("m"), "node")
+            now = now.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= turns).drop("turn")
+        now = cut_lineage(now)
         if now.isEmpty():
             return links
-        others = (named.filter("node <> hub").select("key", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
-                  .join(now.select("key").distinct().hint("merge"), "key", "left_semi")
-                  .join(rare.select(F.col("node").alias("other"), F.col("n").alias("n2"), F.col("m").alias("m2")), "other"))
-        can = (100 + percent) * F.least("m", "m2") >= percent * (F.col("n") + F.col("n2"))
-        o = others.withColumnRenamed("key", "key2")
-        pairs = (now.join(o, (F.col("key") == F.col("key2")) & (F.col("comp") != F.col("other_comp")) & can)
-                 .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-                 .join(tried.hint("merge"), ["a", "b"], "left_anti"))
-        pairs = cut_lineage(pairs)
-        links = links.union(_confirmed(cut_lineage(_likely(pairs, nodes, percent / 100)), texts, k, percent))
-        tried = tried.union(pairs)
-        now = now.select("key", "node")
-        had, turns = (now if had is None else had.union(now)), 1 << 30
+        others = (named.filter("node <> hub").select(F.col("key").alias("key2"), F.col("node").alias("other"), F.col("comp").alias("other_comp"))
+                  .join(now.select(F.col("key").alias("key2")).distinct().hint("merge"), "key2", "left_semi")
+                  .join(rare.select(F.col("node").alias("other"), F.col("n").alias("n2"), F.col("m").alias("m2"), F.col("bits").alias("bits2")), "other"))
+        can = (100 + percent) * F.least(F.col("m") - _lacking("bits", "bits2"), F.col("m2") - _lacking("bits2", "bits")) >= percent * (F.col("n") + F.col("n2"))
+        pairs = cut_lineage(now.join(others, (F.col("key") == F.col("key2")) & (F.col("comp") != F.col("other_comp")) & can)
+                            .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+                            .join(tried.hint("merge"), ["a", "b"], "left_anti"))
+        links, tried, had = links.union(confirmed(pairs)), tried.union(pairs), now.select("key", "node")
+    # The second turn tried all that were still open.
+    return links
+
+
+def _lacking(x: str, y: str) -> Column:
+    """Bits of bitmap ``x`` that ``y`` has not."""
+    return sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(1, LANES)),
+               F.bit_count(F.col(x)[0].bitwiseAND(F.bitwise_not(F.col(y)[0]))))
 
 
 def _shared(open_members: DataFrame, nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(node, n, m): shingles of each open node, and how many of them a node of
-    another component has."""
+    """(node, n, m, bits): shingles of each open node, how many of them a node of
+    another component has, and a bitmap of those."""
     ids = open_members.select(F.col("node").alias("doc_id"), "comp").distinct()
 
     def run(batches):
@@ -224,12 +238,17 @@ def _shared(open_members: DataFrame, nodes: DataFrame, texts: DataFrame, k: int)
     each = texts.join(ids.select("doc_id"), "doc_id", "left_semi").mapInArrow(run, "node long, shingle long")
     each = cut_lineage(each.join(ids.withColumnRenamed("doc_id", "node"), "node"))
     several = each.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("shingle")
-    shared = each.join(several, "shingle").groupBy("node").agg(F.count("*").alias("shared"))
+    bit = F.expr("shiftleft(1L, cast(shiftright(shingle, 4) & 63 AS int))")
+    lanes = [F.coalesce(F.bit_or(F.when(F.col("shingle").bitwiseAND(LANES - 1) == i, bit)), F.lit(0).cast("long")) for i in range(LANES)]
+    shared = each.join(several, "shingle").groupBy("node").agg(F.count("*").alias("shared"), F.array(*lanes).alias("bits"))
     # A node of several texts has no bound of its own: all its shingles count as shared.
+    def fill(x):
+        return F.array_repeat(F.lit(x).cast("long"), LANES)
     sized = nodes.groupBy("node").agg(F.max("n_shingles").alias("n"), F.count("*").alias("texts"))
     return (ids.select(F.col("doc_id").alias("node")).join(sized, "node").join(shared, "node", "left")
             .select("node", F.when(F.col("texts") == 1, F.col("n")).otherwise(F.lit(0)).alias("n"),
-                    F.when(F.col("texts") == 1, F.coalesce("shared", F.lit(0))).otherwise(F.lit(1 << 40)).alias("m")))
+                    F.when(F.col("texts") == 1, F.coalesce("shared", F.lit(0))).otherwise(F.lit(1 << 40)).alias("m"),
+                    F.when(F.col("texts") > 1, fill(-1)).otherwise(F.coalesce("bits", fill(0))).alias("bits")))
 
 
 def representatives(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
