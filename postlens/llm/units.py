@@ -47,7 +47,8 @@ def load_tokenizer(path: str):
     return tok
 
 
-_RUN = 512
+#: Longer runs cost the tokenizer more a word.
+_RUN = 24
 
 
 def encode_units(tok, keys: list[str], piece_bytes=None) -> list[bytes]:
