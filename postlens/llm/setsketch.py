@@ -38,7 +38,7 @@ REGISTERS, ROWS = 160, 4
 #: SetSketch parameters: base and rate; exponents end at 65535.
 BASE, RATE = 1.001, 20.0
 #: 64-bit words of a bitmap of shared shingles.
-LANES = 16
+LANES = 8
 
 
 def registers(hashes, starts):
@@ -203,8 +203,11 @@ def _links(members: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
             return links
         others = (named.filter("node <> hub").select(F.col("key").alias("key2"), F.col("node").alias("other"), F.col("comp").alias("other_comp"))
                   .join(now.select(F.col("key").alias("key2")).distinct().hint("merge"), "key2", "left_semi")
-                  .join(rare.select(F.col("node").alias("other"), F.col("n").alias("n2"), F.col("m").alias("m2"), F.col("bits").alias("bits2")), "other"))
-        can = (100 + percent) * F.least(F.col("m") - _lacking("bits", "bits2"), F.col("m2") - _lacking("bits2", "bits")) >= percent * (F.col("n") + F.col("n2"))
+                  .join(rare.select(F.col("node").alias("other"), F.col("n").alias("n2"), F.col("m").alias("m2"),
+                               *[F.col(f"bits{i}").alias(f"other{i}") for i in range(LANES)]), "other"))
+        least = percent * (F.col("n") + F.col("n2"))
+        can = (((100 + percent) * F.least("m", "m2") >= least)
+               & ((100 + percent) * (F.col("m") - _lacking("bits", "other")) >= least) & ((100 + percent) * (F.col("m2") - _lacking("other", "bits")) >= least))
         pairs = cut_lineage(now.join(others, (F.col("key") == F.col("key2")) & (F.col("comp") != F.col("other_comp")) & can)
                             .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
                             .join(tried.hint("merge"), ["a", "b"], "left_anti"))
@@ -214,13 +217,12 @@ def _links(members: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
 
 
 def _lacking(x: str, y: str) -> Column:
-    """Bits of bitmap ``x`` that ``y`` has not."""
-    return sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(1, LANES)),
-               F.bit_count(F.col(x)[0].bitwiseAND(F.bitwise_not(F.col(y)[0]))))
+    """Bits of the bitmap in columns ``x0``, ... that the one in ``y0``, ... has not."""
+    return F.expr(" + ".join(f"bit_count({x}{i} & ~{y}{i})" for i in range(LANES)))
 
 
 def _shared(open_members: DataFrame, nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(node, n, m, bits): shingles of each open node, how many of them a node of
+    """(node, n, m, bits0, ...): shingles of each open node, how many of them a node of
     another component has, and a bitmap of those."""
     ids = open_members.select(F.col("node").alias("doc_id"), "comp").distinct()
 
@@ -239,16 +241,14 @@ def _shared(open_members: DataFrame, nodes: DataFrame, texts: DataFrame, k: int)
     each = cut_lineage(each.join(ids.withColumnRenamed("doc_id", "node"), "node"))
     several = each.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("shingle")
     bit = F.expr("shiftleft(1L, cast(shiftright(shingle, 4) & 63 AS int))")
-    lanes = [F.coalesce(F.bit_or(F.when(F.col("shingle").bitwiseAND(LANES - 1) == i, bit)), F.lit(0).cast("long")) for i in range(LANES)]
-    shared = each.join(several, "shingle").groupBy("node").agg(F.count("*").alias("shared"), F.array(*lanes).alias("bits"))
+    lanes = [F.bit_or(F.when(F.col("shingle").bitwiseAND(LANES - 1) == i, bit)).alias(f"bits{i}") for i in range(LANES)]
+    shared = each.join(several, "shingle").groupBy("node").agg(F.count("*").alias("shared"), *lanes)
     # A node of several texts has no bound of its own: all its shingles count as shared.
-    def fill(x):
-        return F.array_repeat(F.lit(x).cast("long"), LANES)
     sized = nodes.groupBy("node").agg(F.max("n_shingles").alias("n"), F.count("*").alias("texts"))
     return (ids.select(F.col("doc_id").alias("node")).join(sized, "node").join(shared, "node", "left")
             .select("node", F.when(F.col("texts") == 1, F.col("n")).otherwise(F.lit(0)).alias("n"),
                     F.when(F.col("texts") == 1, F.coalesce("shared", F.lit(0))).otherwise(F.lit(1 << 40)).alias("m"),
-                    F.when(F.col("texts") > 1, fill(-1)).otherwise(F.coalesce("bits", fill(0))).alias("bits")))
+                    *[F.when(F.col("texts") > 1, F.lit(-1).cast("long")).otherwise(F.coalesce(f"bits{i}", F.lit(0).cast("long"))).alias(f"bits{i}") for i in range(LANES)]))
 
 
 def representatives(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
