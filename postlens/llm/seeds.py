@@ -54,14 +54,14 @@ def seed_rows(docs: DataFrame, depth: int, order: int, window: int) -> DataFrame
 
 
 def shared_seeds(docs: DataFrame, depth: int, order: int, window: int) -> DataFrame:
-    """(seed, doc_id, pos, first_doc, first_pos): seeds that stand in two places or
-    more, each with the seed's first place (smallest id, then position).  The
-    first place comes from a combined aggregate and a join that Spark may split,
+    """(seed, doc_id, pos, first_doc, first_pos, many): seeds that stand in two places
+    or more, each with the seed's first place (smallest id, then position); ``many``
+    if there are three or more.  The first place comes from a combined aggregate and a join that Spark may split,
     so a seed of any frequency needs no task of its own."""
     rows = seed_rows(docs, depth, order, window)
     place = F.struct("doc_id", "pos")
     first = (rows.groupBy("seed").agg(F.min(place).alias("f"), F.count("*").alias("c")).filter("c > 1")
-             .select("seed", F.col("f.doc_id").alias("first_doc"), F.col("f.pos").alias("first_pos")))
+             .select("seed", F.col("f.doc_id").alias("first_doc"), F.col("f.pos").alias("first_pos"), (F.col("c") > 2).alias("many")))
     return rows.join(first, "seed").filter("doc_id <> first_doc OR pos <> first_pos")
 
 

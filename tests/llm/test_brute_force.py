@@ -49,6 +49,30 @@ def test_every_long_repeat_is_found(spark):
     assert need and all(need[i] <= got[i] for i in need)
 
 
+def test_long_repeats_over_the_edges_of_others(spark):
+    import random
+
+    rnd, rows = random.Random(7), []
+    for k in range(40):
+        def new(n):
+            return [f"v{rnd.randrange(10**9)}" for _ in range(n)]
+        p, x, y = new(50), new(1 + k % 8), new(k % 5)
+        a, b = [*new(9), *p, *new(9)], [*x, *p, *y]
+        for i, w in enumerate((a, [*new(20), *b, *new(7)], [*new(3), *b, *new(30)])):
+            rows.append((3 * k + i, " ".join(w)))
+    words = {i: t.split() for i, t in rows}
+    seen, need, got = {}, collections.defaultdict(set), collections.defaultdict(set)
+    for i, w in sorted(words.items()):
+        for p in range(len(w) - 49):
+            if seen.setdefault(tuple(w[p:p + 50]), (i, p)) != (i, p):
+                need[i].update(range(p, p + 50))
+    for r in suffix.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert words[r.doc_id][r.start:r.stop] == words[r.first_doc][r.first_start:r.first_stop]
+        assert (r.first_doc, r.first_start) < (r.doc_id, r.start)
+        got[r.doc_id].update(range(r.start, r.stop))
+    assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in need.items()}
+
+
 def test_top_k_equals_sorting(spark):
     rows = table(spark, SF_SMALL, "embeddings")
     import numpy as np
