@@ -7,10 +7,12 @@ equal runs of words select equal positions wherever they stand.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .shingles import WordHashes, mix64, windows
 
+HOT = 4096
+
 
 def minimisers(words, order: int, window: int):
     """Positions selected in one text (array of word hashes)."""
@@ -65,6 +67,23 @@ def shared_seeds(docs: DataFrame, depth: int, order: int, window: int) -> DataFr
     return rows.join(first, "seed").filter("doc_id <> first_doc OR pos <> first_pos")
 
 
+def linked_seeds(docs: DataFrame, depth: int, order: int, window: int) -> DataFrame:
+    """(doc_id, pos, first_doc, first_pos): each place of a seed with the seed's first
+    place and with its last place in the document before; both are of a smaller id.
+    The places of a seed of more than ``HOT`` are dealt over groups by document, and
+    the document before is that of the group."""
+    rows = seed_rows(docs, depth, order, window)
+    first = (rows.groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count("*").alias("c")).filter("c > 1")
+             .select("seed", F.col("f.doc_id").alias("first_doc"), F.col("f.pos").alias("first_pos"), F.ceil(F.col("c") / HOT).alias("groups")))
+    shared = rows.join(first, "seed").withColumn("part", F.pmod(F.xxhash64("doc_id"), "groups").cast("int")).drop("groups").repartition("seed", "part")
+    w = W.partitionBy("seed", "part").orderBy("doc_id").rangeBetween(W.unboundedPreceding, -1)
+    shared = shared.withColumn("before", F.max(F.struct("doc_id", "pos")).over(w)).filter("doc_id <> first_doc")
+    start = F.struct(F.col("first_doc").alias("doc_id"), F.col("first_pos").alias("pos"))
+    both = F.array_distinct(F.array(start, F.coalesce("before", start)))
+    return (shared.select("doc_id", "pos", F.explode(both).alias("m"))
+            .select("doc_id", "pos", F.col("m.doc_id").alias("first_doc"), F.col("m.pos").alias("first_pos")))
+
+
 def contexts(docs: DataFrame, places: DataFrame, run, schema: str) -> DataFrame:
     """``run`` over (doc_id, text, places) with the distinct places asked of each
     document: at most one a word, so a row is bounded by its text."""

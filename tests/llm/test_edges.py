@@ -95,6 +95,17 @@ def test_fuzzy_passage(spark):
     assert got[0].start <= 85 and got[0].stop >= 275 and 0.95 < got[0].identity < 1
 
 
+def test_fuzzy_passage_split_over_earlier_documents(spark):
+    words = [f"p{i * 7919 % 10007}" for i in range(60)]
+
+    def around(i, w):
+        return i, " ".join([*(f"a{i}x{k}" for k in range(30)), *w, *(f"z{i}x{k}" for k in range(30))])
+    rows = [around(1, words[:30]), around(2, words[30:]), around(3, words), around(4, words)]
+    got = chaining.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.first_doc, r.identity) for r in got] == [(4, 3, 1.0)]
+    assert (got[0].start, got[0].stop, got[0].first_start, got[0].first_stop) == (30, 90, 30, 90)
+
+
 def test_fingerprints(edges, edge_rows):
     rows = RUNS["lcp"](edges, None).collect()
     order = sorted(edge_rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
