@@ -8,7 +8,7 @@
    broadcast.  The long tail, words of the table's end and those that stand
    once in their block, is encoded where it stands, each distinct word once a
    block: joining it by shuffle moved more than the texts themselves (README).
-4. Decoding joins the ids with the id-to-piece table (one row per vocabulary
+4. Decoding looks the ids up in the broadcast id-to-piece table (one row per vocabulary
    id, so bounded) and concatenates the pieces in order.
 
 Null text counts as empty and gives no ids.  Rows keep their multiplicity:
