@@ -4,15 +4,17 @@ Scoring (Mikolov et al. 2013): ``(c(ab) - min_count) / (c(a) c(b)) * V >
 threshold`` where V counts distinct vocabulary keys, unigrams and
 ``a_b`` bigrams alike (one string-keyed vocabulary).
 
-Application is the greedy left-to-right merge, expressed as
-gaps-and-islands: in every run of consecutive phrase hits, merges start
-at even offsets.
+Application is the greedy left-to-right merge: in every run of
+consecutive phrase hits, merges start at even offsets.  It is linear in
+the length of a text.
 """
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from .clean import fence
 
 DELIM = "_"
 
@@ -79,17 +81,23 @@ def apply_phrases(tokens: DataFrame, phrases: DataFrame, key: str = "post_id",
                   col: str = "tokens") -> DataFrame:
     """V2: replace tokens with merged phrases; rows keep all other columns."""
     # Hits are gathered by the digest of the token list, not by a post id: equal
-    # lists have equal hits, so repeated posts and repeated ids change nothing.
-    rows = tokens.withColumn("_tk", F.md5(F.concat_ws("\x01", F.col(col))))
-    ex = rows.select("_tk", F.col(col).alias("_t"), F.posexplode(F.expr(f"slice(`{col}`, 1, greatest(size(`{col}`) - 1, 0))")).alias("pos", "a"))
+    # lists have equal hits, so repeated posts and repeated ids change nothing, and
+    # copies fold together before the shuffle.
+    t = F.col(col)
+    rows = tokens.withColumn("_tk", F.md5(F.concat_ws("\x01", F.size(t), t)))
+    ex = rows.select("_tk", t.alias("_t"), F.posexplode(F.expr(f"slice(`{col}`, 1, greatest(size(`{col}`) - 1, 0))")).alias("pos", "a"))
     ex = ex.select("_tk", "pos", "a", F.element_at("_t", (F.col("pos") + 2).cast("int")).alias("b"))
     hits = (ex.join(phrases.select("a", "b"), ["a", "b"], "left_semi")
             .groupBy("_tk").agg(F.sort_array(F.collect_set("pos")).alias("_h")))
-    # Greedy from the left: a hit starts a phrase unless the one before it did.
-    starts = F.aggregate("_h", F.array().cast("array<int>"),
-                         lambda acc, p: F.when(F.array_contains(acc, p - 1), acc).otherwise(F.concat(acc, F.array(p))))
-    rows = rows.join(hits, "_tk", "left").withColumn("_s", starts)
-    joined = F.transform(F.col(col), lambda t, i: F.when(F.array_contains("_s", i), F.concat_ws(DELIM, t, F.get(F.col(col), i + 1))).otherwise(t))
-    merged = F.filter(joined, lambda t, i: ~F.array_contains("_s", i - 1))
-    out = rows.withColumn(col, F.when(F.col("_s").isNull(), F.col(col)).otherwise(merged))
-    return out.select(*tokens.columns)
+    # One byte a token, '1' for a hit.  Greedy from the left: a hit starts a phrase
+    # unless the one before it did, which is '11' -> '10' in one scan.
+    gap = lambda p, i: F.concat(F.repeat(F.lit("0"), p - F.coalesce(F.get("_h", i - 1), F.lit(-1)) - 1), F.lit("1"))
+    mask = F.regexp_replace(F.array_join(F.transform("_h", gap), ""), "11", "10").cast("binary")
+    hits = fence(hits.select("_tk", mask.alias("_m")), "_m")
+    rows = rows.join(hits, "_tk", "left")
+    starts = lambda i: F.substr("_m", i + 1, F.lit(1)) == F.lit(b"1")
+    joined = F.transform(t, lambda x, i: F.when(starts(i), F.concat_ws(DELIM, x, F.get(t, i + 1))).otherwise(x))
+    merged = F.filter(joined, lambda x, i: (i == 0) | ~starts(i - 1))
+    out = rows.withColumn(col, F.when(F.col("_m").isNull(), t).otherwise(merged)).select(*tokens.columns)
+    # A later filter on the merged list must not be pushed below the merge.
+    return fence(out, col).select(*tokens.columns)

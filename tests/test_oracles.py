@@ -1,7 +1,7 @@
 """Every registered query equals its DuckDB SQL oracle (sf0.001)."""
 import pytest
 
-from conftest import SF_SMALL
+from sample_paths import SF_SMALL
 from postlens.plans.oracle_check import compare
 from postlens.plans.registry import all_queries, all_sql
 

@@ -2,7 +2,7 @@
 MLlib bridge, column pruning and filter push-down on the scans."""
 import pytest
 
-from conftest import SF_SMALL
+from sample_paths import SF_SMALL
 from postlens.plans.registry import ROWS_ONLY, all_queries
 
 QUERIES = all_queries()
@@ -29,3 +29,15 @@ def test_scan_prunes_columns_and_pushes_filters(spark):
     d = FX.table(spark, SF_SMALL, "documents").filter(F.col("lang") == "en").select("doc_id")
     p = d._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in p
+
+
+def test_filter_on_merged_tokens_stays_above_the_merge(spark):
+    from pyspark.sql import functions as F
+    from postlens.operators import phrases as P
+    tok = spark.createDataFrame([(1, ["a", "b", "c"])], "post_id long, tokens array<string>")
+    phr = spark.createDataFrame([("a", "b")], "a string, b string")
+    out = P.apply_phrases(tok, phr).filter(F.size("tokens") >= 2)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter (" in line]
+    assert any("size(tokens" in line for line in filters) and not any("transform" in line for line in filters)
+    assert plan.count("concat_ws(_, ") == 1
