@@ -97,11 +97,16 @@ def discrepancies(a: DataFrame, b: DataFrame) -> DataFrame:
                     "lda_duplicate_ratio", "bert_duplicate_ratio").filter(F.col("model").isNotNull())
 
 
+def drop_outliers(rows: DataFrame) -> DataFrame:
+    """rows whose topic is not the outlier topic -1."""
+    return rows.filter(F.col("topic_id") != -1)
+
+
 def topic_jaccard(words_a: DataFrame, words_b: DataFrame, topn: int = 20, threshold: float = 0.1) -> DataFrame:
     """Jaccard of top-``topn`` word sets for every topic pair, kept when
     strictly above ``threshold``; shared words sorted and comma-joined."""
     a = words_a.filter(F.col("rank") <= topn).select(F.col("topic_id").alias("lda_topic"), "word").distinct()
-    b = words_b.filter((F.col("rank") <= topn) & (F.col("topic_id") != -1)) \
+    b = drop_outliers(words_b.filter(F.col("rank") <= topn)) \
                .select(F.col("topic_id").alias("bert_topic"), "word").distinct()
     na = a.groupBy("lda_topic").agg(F.count("*").alias("na"))
     nb = b.groupBy("bert_topic").agg(F.count("*").alias("nb"))
@@ -125,7 +130,7 @@ def side_by_side(words_a: DataFrame, words_b: DataFrame, n_topics: int = 5, n_wo
     def prep(w, side):
         t = w.select("topic_id").distinct()
         if side == "bert":
-            t = t.filter(F.col("topic_id") != -1)
+            t = drop_outliers(t)
         t = t.withColumn("i", F.dense_rank().over(Window.orderBy("topic_id")))
         top = w.filter(F.col("rank") <= n_words).groupBy("topic_id").agg(
             F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("ws"))

@@ -1,10 +1,9 @@
-"""Embedding topics (M5 - M12, M14): vectors -> reduce -> cluster -> c-TF-IDF.
+"""Embedding topics (M6, M8 - M12, M14): vectors -> reduce -> cluster -> c-TF-IDF.
 
-Re-aimed solvers (no UMAP / HDBSCAN on Spark): L2 ``Normalizer`` + ``PCA``
-for the reduction, ``KMeans`` for clusters; clusters smaller than
-``min_cluster_size`` become the outlier topic -1.  Soft memberships are
-normalised inverse distances to the k centroids, computed against a
-literal array of centroids (k x dims values, bounded) - no join at all.
+``vectors`` makes the vectors and ``density`` the clusters, with -1 for outliers; the
+reduction is L2 ``Normalizer`` + ``PCA``.  Soft memberships are normalised inverse
+distances to the topics' centroids, computed against a literal array of them
+(topics x dims values, at most ``MOST_TOPICS`` topics) - no join at all.
 
 Class-based TF-IDF (Grootendorst 2022): ``W(t,c) = sqrt(tf(t,c) / sum_t tf)
 * ln(1 + A / f(t))`` with ``A = int(mean words per class)`` and ``f(t)``
@@ -13,7 +12,6 @@ the term's total count; classes include -1.
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Normalizer, PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
@@ -24,30 +22,36 @@ from .clean import fence
 
 
 def reduce_dims(emb: DataFrame, key: str = "doc_id", col: str = "embedding", k: int = 5) -> DataFrame:
-    """M6: ``(key, reduced ARRAY<DOUBLE>)`` - unit-normalise, then PCA(k)."""
-    v = emb.select(key, array_to_vector(F.transform(col, lambda x: x.cast("double"))).alias("v"))
+    """M6: ``(key, reduced ARRAY<DOUBLE>)`` - unit-normalise, then PCA(k).  ``col`` holds
+    arrays of numbers or ``spark.ml`` vectors."""
+    given = F.col(col)
+    if dict(emb.dtypes)[col].startswith("array"):
+        given = array_to_vector(F.transform(col, lambda x: x.cast("double")))
+    v = emb.select(key, given.alias("v"))
     n = Normalizer(inputCol="v", outputCol="u", p=2.0).transform(v)
     pca = PCA(k=k, inputCol="u", outputCol="r").fit(n)
     return pca.transform(n).select(key, vector_to_array("r").alias("reduced"))
 
 
-def cluster(reduced: DataFrame, k: int = 8, seed: int = 42, min_cluster_size: int = 15,
-            key: str = "doc_id"):
-    """M7: ``(assignment(key, topic_id), centers list)``; small clusters -> -1."""
-    v = reduced.select(key, array_to_vector("reduced").alias("features"))
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="c").fit(v)
-    pred = model.transform(v).select(key, F.col("c").cast("int").alias("c"))
-    sizes = pred.groupBy("c").agg(F.count("*").alias("size"))
-    keep = sizes.filter(F.col("size") >= min_cluster_size).select("c", F.lit(True).alias("keep"))
-    out = pred.join(keep, "c", "left").select(
-        key, F.when(F.col("keep"), F.col("c")).otherwise(F.lit(-1)).cast("int").alias("topic_id"))
-    centers = [[float(x) for x in c] for c in model.clusterCenters()]
-    return out, centers
+MOST_TOPICS = 5_000
+
+
+def centroids(reduced: DataFrame, assignment: DataFrame, key: str = "doc_id") -> list[list[float]]:
+    """Mean reduced vector of each topic from 0 up (-1 has none)."""
+    ex = reduced.select(key, F.posexplode("reduced").alias("i", "v")).join(assignment.filter("topic_id <> -1").select(key, "topic_id"), key)
+    mean = ex.groupBy("topic_id", "i").agg(F.avg("v").alias("v"))
+    rows = mean.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("e")).orderBy("topic_id").limit(MOST_TOPICS + 1).collect()
+    if len(rows) > MOST_TOPICS:
+        raise ValueError(f"more than {MOST_TOPICS} topics: raise min_cluster_size or merge topics first (reduce_topics)")
+    return [[x["v"] for x in r["e"]] for r in rows]
 
 
 def soft_membership(reduced: DataFrame, centers: list[list[float]], key: str = "doc_id",
                     eps: float = 1e-9) -> DataFrame:
-    """M8: ``(key, probs)``: normalised 1 / (eps + euclidean distance) per centroid."""
+    """M8: ``(key, probs)``: normalised 1 / (eps + euclidean distance) per centroid; no
+    entries if there is no topic."""
+    if not centers:
+        return reduced.select(key, F.array().cast("array<double>").alias("probs"))
     cent = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centers])
     dist = F.transform(cent, lambda c: F.sqrt(F.aggregate(
         F.zip_with(c, F.col("reduced"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)))
@@ -84,13 +88,22 @@ def top_words(ctfidf: DataFrame, n: int = 10) -> DataFrame:
     return r.select("topic_id", F.col("term").alias("word"), "weight", F.col("rank").cast("int"))
 
 
-def topic_info(assignment: DataFrame, words: DataFrame) -> DataFrame:
-    """``(Topic, Count, Name)``; Name = id_w1_w2_w3_w4."""
+def topic_info(assignment: DataFrame, words: DataFrame, representatives: DataFrame | None = None, key: str = "doc_id",
+               docs: DataFrame | None = None, text_col: str = "processed_text") -> DataFrame:
+    """``(Topic, Count, Name, Representation[, Representative_Docs])``; Name = id_w1_w2_w3_w4,
+    Representation = the words by rank, Representative_Docs = the texts of
+    ``representative_docs`` by rank (given with ``docs``)."""
     cnt = assignment.groupBy("topic_id").agg(F.count("*").alias("Count"))
-    top4 = words.filter(F.col("rank") <= 4).groupBy("topic_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("w"))
-    name = F.concat_ws("_", F.col("topic_id").cast("string"), F.concat_ws("_", F.transform("w", lambda s: s["word"])))
-    return cnt.join(top4, "topic_id", "left").select(F.col("topic_id").alias("Topic"), "Count", name.alias("Name"))
+    ranked = words.groupBy("topic_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda s: s["word"]).alias("w"))
+    name = F.concat_ws("_", F.col("topic_id").cast("string"), F.concat_ws("_", F.slice("w", 1, 4)))
+    out = cnt.join(ranked, "topic_id", "left")
+    cols = [F.col("topic_id").alias("Topic"), "Count", name.alias("Name"), F.coalesce("w", F.array().cast("array<string>")).alias("Representation")]
+    if representatives is not None:
+        texts = representatives.select("topic_id", "rank", key).join(docs.select(key, F.col(text_col).alias("t")), key)
+        texts = texts.groupBy("topic_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "t"))), lambda s: s["t"]).alias("docs"))
+        out = out.join(texts, "topic_id", "left")
+        cols.append(F.coalesce("docs", F.array().cast("array<string>")).alias("Representative_Docs"))
+    return out.select(*cols)
 
 
 def representative_docs(dterms: DataFrame, ctfidf: DataFrame, idf: DataFrame, n: int = 3,
@@ -124,28 +137,35 @@ def topic_similarity(ctfidf: DataFrame) -> DataFrame:
     return dot.join(na, "a").join(nb, "b").select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("cos"))
 
 
-def reduce_topics(dterms: DataFrame, nr_topics: int) -> DataFrame:
+def reduce_topics(dterms: DataFrame, nr_topics: int, key: str = "doc_id") -> DataFrame:
     """Merge the most similar pair of (non-outlier) topics until
     ``nr_topics`` remain (the count includes -1 when present); the smaller
     topic joins the larger.  Returns the re-labelled ``dterms``.
 
-    The driver only sees one (a, b) pair per round; each round's relabel
-    map is a literal of at most k entries.
+    The merges work on the table of (topic, term, tf) counts; the documents are read once
+    for it and once more for the labels at the end.  The driver sees the sizes of the
+    topics and one pair a merge.
     """
-    cur = cut_lineage(dterms)
-    while True:
-        topics = [r[0] for r in cur.select("topic_id").distinct().collect()]   # <= k values
-        if len(topics) <= nr_topics:
-            return cur
-        w, _ = class_tfidf(cur.filter(F.col("topic_id") != -1))
-        sims = topic_similarity(w).orderBy(F.col("cos").desc(), "a", "b").first()
-        if sims is None:
-            return cur
-        sizes = dict(cur.groupBy("topic_id").agg(F.countDistinct("doc_id")).collect())
-        a, b = sims["a"], sims["b"]
-        src, dst = (a, b) if sizes.get(a, 0) < sizes.get(b, 0) else (b, a)
-        cur = cut_lineage(cur.withColumn("topic_id", F.when(F.col("topic_id") == src, F.lit(dst))
-                                         .otherwise(F.col("topic_id"))))
+    dterms = cut_lineage(dterms)
+    sizes = dict(dterms.groupBy("topic_id").agg(F.countDistinct(key)).collect())   # <= k values
+    counts = cut_lineage(dterms.groupBy("topic_id", "term").agg(F.sum("tf").alias("tf")))
+    now = {t: t for t in sizes}
+    while len(set(now.values())) > nr_topics:
+        merged = counts.withColumn("topic_id", _relabel(now)).groupBy("topic_id", "term").agg(F.sum("tf").alias("tf"))
+        w, _ = class_tfidf(merged.filter(F.col("topic_id") != -1))
+        pair = topic_similarity(w).orderBy(F.col("cos").desc(), "a", "b").first()
+        if pair is None:
+            break
+        a, b = pair["a"], pair["b"]
+        src, dst = (a, b) if sizes[a] < sizes[b] else (b, a)
+        sizes[dst] += sizes.pop(src)
+        now = {t: dst if to == src else to for t, to in now.items()}
+    return dterms.withColumn("topic_id", _relabel(now))
+
+
+def _relabel(now: dict[int, int]):
+    changed = [x for t, to in now.items() if t != to for x in (F.lit(t), F.lit(to))]
+    return F.coalesce(F.element_at(F.create_map(*changed), F.col("topic_id")), F.col("topic_id")) if changed else F.col("topic_id")
 
 
 def topic_embeddings(emb: DataFrame, assignment: DataFrame, key: str = "doc_id",

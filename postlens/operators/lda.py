@@ -17,7 +17,7 @@ from pyspark.sql.types import StructField, StructType
 _VECTOR = StructType([StructField("v", VectorUDT())])
 
 
-def _sparse(size, idx, val):
+def sparse_vector(size, idx, val):
     """MLlib's sparse vector (type 0) from columns, without leaving the JVM."""
     v = F.struct(F.lit(0).cast("tinyint").alias("type"), size.cast("int").alias("size"), idx.cast("array<int>").alias("indices"), val.alias("values"))
     return F.from_json(F.to_json(F.struct(v.alias("v"))), _VECTOR)["v"]
@@ -27,7 +27,7 @@ def bow_vectors(bow: DataFrame, vocab_size, key: str = "doc_id") -> DataFrame:
     """``(key, term_index, tf)`` -> ``(key, features)`` sparse term-count vectors."""
     per_doc = bow.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term_index", "tf"))).alias("e"))
     return per_doc.select(
-        key, _sparse(F.lit(vocab_size), F.transform("e", lambda x: x["term_index"]),
+        key, sparse_vector(F.lit(vocab_size), F.transform("e", lambda x: x["term_index"]),
                      F.transform("e", lambda x: x["tf"].cast("double"))).alias("features"))
 
 

@@ -63,7 +63,7 @@ def tfidf(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
     """
     n = docs.agg(F.count("*").cast("double")).scalar()
     toks = fence(docs.select(key, T.tokenize_words(text_col, 2).alias("tokens")), "tokens")
-    dt = doc_terms(toks, key)
+    dt = cut_lineage(doc_terms(toks, key))     # read for df, weights and norms: the texts only once
     dfreq = document_frequency(dt, key)
     keep = dfreq.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n))
     w = dt.join(keep, "term").withColumn(
