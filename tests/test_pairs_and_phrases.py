@@ -138,3 +138,20 @@ def test_learn_phrases_string_keyed_with_underscores(spark):
         assert set(got) == set(exp), (mc, th)
         for k in exp:
             assert abs(got[k] - exp[k]) < 1e-9
+
+
+def test_hot_user_is_dealt_over_blocks(spark):
+    rng = random.Random(2)
+    rows = [("hot", i, sorted({"same", *(f"t{rng.randint(0, 11)}" for _ in range(4))})) for i in range(400)]
+    rows += [("other", 1000 + i, ["same", "x", f"y{i % 3}"]) for i in range(9)]
+    sets = DD.token_sets(spark.createDataFrame(rows, "user_id string, post_id long, tokens array<string>"))
+    pref = sets.select("user_id", F.lit("same").alias("token"), "h1", "h2", "n", F.lit(0).alias("r"), F.lit(True).alias("idx"))
+    keys = ["user_id", "token", "row", "line"]
+    for side in DD.grid(pref, budget=20):
+        assert side.groupBy(*keys).count().agg(F.max("count")).first()[0] <= 40      # parts are dealt by hash
+    a, b = DD.grid(pref, budget=20)
+    n = {r.user_id: r["count"] for r in pref.groupBy("user_id").count().collect()}
+    met = a.alias("a").join(b.alias("b"), keys).groupBy("user_id").agg(F.count("*").alias("all"), F.countDistinct("a.h1", "a.h2", "b.h1", "b.h2").alias("pairs"))
+    assert {r.user_id: (r["all"], r.pairs) for r in met.collect()} == {u: (m * m, m * m) for u, m in n.items()}
+    whole = sorted(map(tuple, DD.similar_set_pairs(sets, 0.8).select("user_id", "post_a", "post_b", "weight").collect()))
+    assert whole and whole == sorted(map(tuple, DD.similar_set_pairs(sets, 0.8, budget=20).select("user_id", "post_a", "post_b", "weight").collect()))
