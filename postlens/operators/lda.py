@@ -1,20 +1,33 @@
-"""LDA topic model on MLlib (M1 - M4, K3 feed).
+"""LDA topic model by online variational Bayes (M1 - M4, K3 feed).
 
-MLlib's online LDA replaces the reference's online variational Bayes; the
-numbers cannot match it (different optimiser, no learned eta), so results
-are checked by properties.
+Hoffman, Blei and Bach (2010), with the topic-word table as a DataFrame of one row a
+term: nothing of the size of the vocabulary is on the driver or broadcast.  A step
+
+1. joins a mini-batch of documents with the rows of their terms and fits each document
+   in a task (numpy, one document at a time, as many numbers as it has terms and topics);
+2. sums the documents' counts of each term and topic, partly before the shuffle;
+3. moves the table towards them.
+
+The document prior (one number a topic) is learned on the driver, the topic prior (one
+number a term, a column of the table) by aggregates, both by Newton steps.
+Digammas of the table are built-in expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.functions import vector_to_array
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
+
+import pandas as pd
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..session import cut_lineage
 
 _VECTOR = StructType([StructField("v", VectorUDT())])
+_SHIFT = 6
 
 
 def sparse_vector(size, idx, val):
@@ -23,34 +36,180 @@ def sparse_vector(size, idx, val):
     return F.from_json(F.to_json(F.struct(v.alias("v"))), _VECTOR)["v"]
 
 
-def bow_vectors(bow: DataFrame, vocab_size, key: str = "doc_id") -> DataFrame:
-    """``(key, term_index, tf)`` -> ``(key, features)`` sparse term-count vectors."""
-    per_doc = bow.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term_index", "tf"))).alias("e"))
-    return per_doc.select(
-        key, sparse_vector(F.lit(vocab_size), F.transform("e", lambda x: x["term_index"]),
-                     F.transform("e", lambda x: x["tf"].cast("double"))).alias("features"))
+def digamma(x: Column) -> Column:
+    """Recurrence up to x + 6, then the asymptotic series (error below 1e-8)."""
+    z = x + _SHIFT
+    r = 1 / (z * z)
+    return F.log(z) - 0.5 / z - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r / 240))) - sum((1 / (x + i) for i in range(1, _SHIFT)), 1 / x)
+
+
+def trigamma(x: Column) -> Column:
+    z = x + _SHIFT
+    r = 1 / (z * z)
+    return 1 / z + r / 2 + r / z * (1 / 6 - r * (1 / 30 - r / 42)) + sum((1 / ((x + i) * (x + i)) for i in range(1, _SHIFT)), 1 / (x * x))
+
+
+def _np_digamma(x):
+    import numpy as np
+
+    z = x + _SHIFT
+    r = 1 / (z * z)
+    return np.log(z) - 0.5 / z - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r / 240))) - sum(1 / (x + i) for i in range(_SHIFT))
+
+
+def _np_trigamma(x):
+    z = x + _SHIFT
+    r = 1 / (z * z)
+    return 1 / z + r / 2 + r / z * (1 / 6 - r * (1 / 30 - r / 42)) + sum(1 / (x + i) ** 2 for i in range(_SHIFT))
+
+
+@dataclass
+class TopicModel:
+    """``topics`` ``(term_index, lam ARRAY<DOUBLE>, eta)``: k numbers a term; ``alpha`` and ``totals`` k numbers each."""
+    topics: DataFrame
+    alpha: list[float]
+    totals: list[float]
+
+    @property
+    def k(self) -> int:
+        return len(self.alpha)
+
+
+def _start(terms: DataFrame, k: int, seed: int) -> DataFrame:
+    """Random positive rows, the same however the terms are partitioned."""
+    def uniform(i, salt):
+        return (F.pmod(F.xxhash64("term_index", i, F.lit(seed), F.lit(salt)), F.lit(1 << 30)) + F.lit(0.5)) / F.lit(float(1 << 30))
+    noise = lambda i: F.sqrt(-2 * F.log(uniform(i, 1))) * F.cos(uniform(i, 2) * 6.283185307179586)
+    lam = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.greatest(1 + 0.1 * noise(i), F.lit(0.01)))
+    return terms.select("term_index", lam.alias("lam"), F.lit(1.0 / k).alias("eta"))
+
+
+def _infer(batches: Iterator[pd.DataFrame], alpha: list[float], stats: bool, key: str, inner: int = 100, tol: float = 1e-3) -> Iterator[pd.DataFrame]:
+    """Fits each document.  ``stats``: sums of a batch, (term_index, s), where row -1 holds
+    the documents' expected log shares; else (key, probs)."""
+    import numpy as np
+
+    a = np.array(alpha)
+    for b in batches:
+        if not len(b):
+            continue
+        terms, sums, out = [], [], []
+        log_share = np.zeros(len(a))
+        for cells in b["cells"]:
+            at = np.array([c["term_index"] for c in cells])
+            tf = np.array([c["tf"] for c in cells], float)
+            beta = np.array([c["beta"] for c in cells]) + 1e-100
+            gamma = a + tf.sum() / len(a)
+            for _ in range(inner):
+                theta = np.exp(_np_digamma(gamma) - _np_digamma(gamma.sum()))
+                share = tf / (beta @ theta)
+                new = a + theta * (share @ beta)
+                close = np.abs(new - gamma).mean() < tol
+                gamma = new
+                if close:
+                    break
+            out.append((gamma / gamma.sum()).tolist())
+            if stats:
+                expected = _np_digamma(gamma) - _np_digamma(gamma.sum())
+                log_share += expected
+                theta = np.exp(expected)
+                terms.append(at)
+                sums.append(beta * theta * (tf / (beta @ theta))[:, None])
+        if not stats:
+            yield pd.DataFrame({key: b[key], "probs": out})
+            continue
+        at, where = np.unique(np.concatenate(terms), return_inverse=True)
+        total = np.zeros((len(at), len(a)))
+        np.add.at(total, where, np.concatenate(sums))
+        yield pd.DataFrame({"term_index": np.append(at, -1), "s": [*total.tolist(), log_share.tolist()], "docs": [0] * len(at) + [len(b)]})
+
+
+def _cells(bow: DataFrame, topics: DataFrame, totals: list[float], key: str) -> DataFrame:
+    """Each document with the expected word shares of its terms in every topic."""
+    base = F.array(*[F.lit(float(x)) for x in _np_digamma(pd.Series(totals).to_numpy())])
+    beta = F.zip_with("lam", base, lambda x, t: F.exp(digamma(x) - t))
+    rows = bow.join(topics.select("term_index", beta.alias("beta")), "term_index")
+    return rows.groupBy(key).agg(F.collect_list(F.struct("term_index", F.col("tf").cast("double").alias("tf"), "beta")).alias("cells"))
+
+
+def _totals(topics: DataFrame, k: int) -> list[float]:
+    return [float(x) for x in topics.agg(*[F.sum(F.col("lam")[i]).alias(f"t{i}") for i in range(k)]).first()]
+
+
+def _newton(prior, n: float, mean_log):
+    """One Newton step of a Dirichlet prior from n draws' mean logarithms; kept if it is positive."""
+    grad = n * (_np_digamma(prior.sum()) - _np_digamma(prior) + mean_log)
+    c, q = n * _np_trigamma(prior.sum()), -n * _np_trigamma(prior)
+    step = (grad - (grad / q).sum() / (1 / c + (1 / q).sum())) / q
+    return prior - step
+
+
+def _learn_eta(topics: DataFrame, totals: list[float], rate: float) -> DataFrame:
+    """A Newton step of the topic prior, one number a term, by two aggregates."""
+    k = len(totals)
+    base = F.array(*[F.lit(float(x)) for x in _np_digamma(pd.Series(totals).to_numpy())])
+    mean_log = F.aggregate(F.zip_with("lam", base, lambda x, t: digamma(x) - t), F.lit(0.0), lambda a, x: a + x) / k
+    total = topics.agg(F.sum("eta")).first()[0]
+    grad = k * (float(_np_digamma(total)) - digamma(F.col("eta")) + mean_log)
+    rows = topics.select("term_index", "lam", "eta", grad.alias("g"), (-k * trigamma(F.col("eta"))).alias("q"))
+    sums = rows.agg(F.sum(F.col("g") / F.col("q")).alias("gq"), F.sum(1 / F.col("q")).alias("iq")).first()
+    b = sums["gq"] / (1 / (k * float(_np_trigamma(total))) + sums["iq"])
+    rows = rows.withColumn("new", F.col("eta") - rate * (F.col("g") - b) / F.col("q"))
+    positive = rows.agg(F.min("new")).first()[0] > 0
+    return rows.select("term_index", "lam", F.col("new" if positive else "eta").alias("eta"))
+
+
+def fit_lda(bow: DataFrame, k: int = 20, passes: int = 20, seed: int = 42, batch_docs: int = 100_000, key: str = "doc_id",
+            learn_priors: bool = True, decay: float = 0.5) -> TopicModel:
+    """M1: topics of ``(key, term_index, tf)``; ``tf`` may be any positive weight.
 
+    A pass takes the documents in batches of about ``batch_docs`` (by the hash of the
+    key); step t moves the table by (1 + t) ** -decay.  Results do not depend on the
+    partitioning but for the order of floating-point sums.
+    """
+    bow = cut_lineage(bow.select(key, "term_index", "tf"))
+    terms = bow.select("term_index").distinct()
+    n = bow.select(key).distinct().count()
+    batches = max(-(-n // batch_docs), 1)
+    topics = cut_lineage(_start(terms, k, seed))
+    alpha = [1.0 / k] * k
+    if not n:
+        return TopicModel(topics, alpha, [1.0] * k)
+    totals = _totals(topics, k)
+    for t in range(passes * batches):
+        part = bow if batches == 1 else bow.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == t % batches)
+        rate = (1 + t) ** -decay
+        got = _cells(part, topics, totals, key).mapInPandas(partial(_infer, alpha=alpha, stats=True, key=key), "term_index int, s array<double>, docs long")
+        got = cut_lineage(got.groupBy("term_index").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(k)]).alias("s"), F.sum("docs").alias("docs")))
+        seen = got.filter("term_index = -1").first()
+        if seen is None:                       # a batch without documents
+            continue
+        scale = n / seen["docs"]
+        moved = F.zip_with("lam", F.coalesce("s", F.array_repeat(F.lit(0.0), k)), lambda x, s: (1 - rate) * x + rate * (F.col("eta") + scale * s))
+        topics = cut_lineage(topics.join(got.filter("term_index >= 0").select("term_index", "s"), "term_index", "left").select("term_index", moved.alias("lam"), "eta"))
+        totals = _totals(topics, k)
+        if learn_priors:
+            import numpy as np
 
-def fit_lda(vectors: DataFrame, k: int = 20, max_iter: int = 20, seed: int = 42, batch_fraction: float = 1.0) -> LDAModel:
-    """M1: online LDA, doc concentration (alpha) learned.  Each of ``max_iter``
-    iterations (one Spark job) reads ``batch_fraction`` of the documents; neither
-    depends on the size of the corpus."""
-    lda = LDA(k=k, maxIter=max_iter, optimizer="online", seed=seed, subsamplingRate=batch_fraction,
-              optimizeDocConcentration=True, featuresCol="features", topicDistributionCol="topicDistribution")
-    return lda.fit(vectors)
+            old = np.array(alpha)
+            new = old + rate * (_newton(old, seen["docs"], np.array(seen["s"]) / seen["docs"]) - old)
+            alpha = [float(x) for x in (new if (new > 0).all() else old)]
+            topics = _learn_eta(topics, totals, rate)
+    return TopicModel(cut_lineage(topics), alpha, totals)
 
 
-def document_topics(model: LDAModel, vectors: DataFrame, key: str = "doc_id") -> DataFrame:
-    """M2: ``(key, probs ARRAY<DOUBLE>)`` with all k entries."""
-    return model.transform(vectors).select(key, vector_to_array("topicDistribution").alias("probs"))
+def document_topics(model: TopicModel, bow: DataFrame, key: str = "doc_id") -> DataFrame:
+    """M2: ``(key, probs ARRAY<DOUBLE>)`` with all k entries, for documents with a known term."""
+    kind = dict(bow.dtypes)[key]
+    return _cells(bow, model.topics, model.totals, key).mapInPandas(
+        partial(_infer, alpha=model.alpha, stats=False, key=key), f"`{key}` {kind}, probs array<double>")
 
 
-def topic_words(model: LDAModel, vocab: DataFrame, n: int = 20) -> DataFrame:
+def topic_words(model: TopicModel, vocab: DataFrame, n: int = 20) -> DataFrame:
     """M3 / K3: ``(topic_id, word, weight, rank)``, rank 1-based by weight."""
-    d = model.describeTopics(n)
-    ex = d.select(F.col("topic").cast("int").alias("topic_id"),
-                  F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("r", "tw"))
-    ex = ex.select("topic_id", (F.col("r") + 1).cast("int").alias("rank"),
-                   F.col("tw.termIndices").alias("term_index"), F.col("tw.termWeights").alias("weight"))
-    return ex.join(vocab.select("term_index", F.col("term").alias("word")), "term_index") \
-             .select("topic_id", "word", "weight", "rank")
+    totals = F.array(*[F.lit(x) for x in model.totals])
+    ex = model.topics.select("term_index", F.posexplode(F.zip_with("lam", totals, lambda x, t: x / t)).alias("topic_id", "weight"))
+    w = Window.partitionBy("topic_id").orderBy(F.col("weight").desc(), "term_index")
+    top = ex.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return (top.join(vocab.select("term_index", F.col("term").alias("word")), "term_index")
+            .select(F.col("topic_id").cast("int").alias("topic_id"), "word", "weight", F.col("rank").cast("int").alias("rank")))

@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import clean as C
 from ..operators import docs as D
+from ..operators import lda as L
 from ..operators import phrases as P
+from ..operators import vocab as V
+from ..session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -55,6 +58,19 @@ def post_tokens(posts: DataFrame, cfg: TopicConfig = TopicConfig(), persist: boo
     return merged, phr
 
 
+def fit_topics(posts: DataFrame, cfg: TopicConfig = TopicConfig()) -> dict:
+    """Posts -> tokens -> documents -> vocabulary -> LDA; every table is written once."""
+    tok, phrases = post_tokens(posts, cfg)
+    post_docs, docs = post_documents(tok, cfg)
+    docs = cut_lineage(docs)
+    terms = cut_lineage(V.doc_terms(post_docs))
+    vocab = cut_lineage(V.filter_extremes(V.document_frequency(terms), docs.count(), cfg.no_below, cfg.no_above, cfg.keep_n))
+    bow = cut_lineage(V.bag_of_words(terms, vocab).select("doc_id", "term_index", "tf"))
+    model = L.fit_lda(bow, k=cfg.k, passes=cfg.passes, seed=cfg.seed)
+    return dict(tok=tok, phrases=phrases, post_docs=post_docs, docs=docs, vocab=vocab, bow=bow, model=model,
+                doc_topics=cut_lineage(L.document_topics(model, bow)), k=cfg.k)
+
+
 def post_documents(tokens: DataFrame, cfg: TopicConfig = TopicConfig()):
     """tokens -> ``(post_docs, docs)`` for the configured binning / combine mode."""
     pd_ = D.assign_docs(tokens, cfg.time_bin, cfg.combine, cfg.week_anchor)
