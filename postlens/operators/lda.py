@@ -9,19 +9,16 @@ term: nothing of the size of the vocabulary is on the driver or broadcast.  A st
 3. moves the table towards them.
 
 The document prior (one number a topic) is learned on the driver, the topic prior (one
-number a term, a column of the table) by aggregates, both by Newton steps.
-Digammas of the table are built-in expressions.
+number a term, a column of the table) by an aggregate, both by Newton steps.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
-import pandas as pd
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..session import cut_lineage
@@ -36,20 +33,8 @@ def sparse_vector(size, idx, val):
     return F.from_json(F.to_json(F.struct(v.alias("v"))), _VECTOR)["v"]
 
 
-def digamma(x: Column) -> Column:
+def _digamma(x):
     """Recurrence up to x + 6, then the asymptotic series (error below 1e-8)."""
-    z = x + _SHIFT
-    r = 1 / (z * z)
-    return F.log(z) - 0.5 / z - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r / 240))) - sum((1 / (x + i) for i in range(1, _SHIFT)), 1 / x)
-
-
-def trigamma(x: Column) -> Column:
-    z = x + _SHIFT
-    r = 1 / (z * z)
-    return 1 / z + r / 2 + r / z * (1 / 6 - r * (1 / 30 - r / 42)) + sum((1 / ((x + i) * (x + i)) for i in range(1, _SHIFT)), 1 / (x * x))
-
-
-def _np_digamma(x):
     import numpy as np
 
     z = x + _SHIFT
@@ -57,7 +42,7 @@ def _np_digamma(x):
     return np.log(z) - 0.5 / z - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r / 240))) - sum(1 / (x + i) for i in range(_SHIFT))
 
 
-def _np_trigamma(x):
+def _trigamma(x):
     z = x + _SHIFT
     r = 1 / (z * z)
     return 1 / z + r / 2 + r / z * (1 / 6 - r * (1 / 30 - r / 42)) + sum(1 / (x + i) ** 2 for i in range(_SHIFT))
@@ -65,7 +50,8 @@ def _np_trigamma(x):
 
 @dataclass
 class TopicModel:
-    """``topics`` ``(term_index, lam ARRAY<DOUBLE>, eta)``: k numbers a term; ``alpha`` and ``totals`` k numbers each."""
+    """``topics`` ``(term_index, lam ARRAY<DOUBLE>, share ARRAY<DOUBLE>, eta)``: k numbers a term,
+    ``share`` = exp(digamma(lam)); ``alpha`` and ``totals`` (sums of ``lam``) k numbers each."""
     topics: DataFrame
     alpha: list[float]
     totals: list[float]
@@ -75,90 +61,114 @@ class TopicModel:
         return len(self.alpha)
 
 
-def _start(terms: DataFrame, k: int, seed: int) -> DataFrame:
-    """Random positive rows, the same however the terms are partitioned."""
-    def uniform(i, salt):
-        return (F.pmod(F.xxhash64("term_index", i, F.lit(seed), F.lit(salt)), F.lit(1 << 30)) + F.lit(0.5)) / F.lit(float(1 << 30))
-    noise = lambda i: F.sqrt(-2 * F.log(uniform(i, 1))) * F.cos(uniform(i, 2) * 6.283185307179586)
-    lam = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.greatest(1 + 0.1 * noise(i), F.lit(0.01)))
-    return terms.select("term_index", lam.alias("lam"), F.lit(1.0 / k).alias("eta"))
+_ROW = "term_index int, lam array<double>, share array<double>, eta double, iq double, gq double"
+
+
+def _lists(x):
+    import numpy as np
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).reshape(-1)))
+
+
+def _start(batches, k: int, seed: int):
+    """Random positive rows; a term's numbers depend on it and the seed alone."""
+    import numpy as np
+
+    for b in batches:
+        terms = b.column(0).to_numpy()
+        lam = np.array([np.random.default_rng((seed, int(t))).gamma(100.0, 0.01, k) for t in terms]).reshape(-1, k)
+        yield _rows(terms, lam, np.full(len(terms), 1.0 / k))
+
+
+def _rows(terms, lam, eta):
+    """Rows of the table; ``iq`` and ``gq`` are a term's parts of the prior's next step."""
+    import numpy as np
+    import pyarrow as pa
 
+    k = lam.shape[1]
+    log = _digamma(lam)
+    iq = -1 / (k * _trigamma(eta))
+    cols = [pa.array(terms, pa.int32()), _lists(lam), _lists(np.exp(log)), pa.array(eta), pa.array(iq), pa.array((log.sum(axis=1) - k * _digamma(eta)) * iq)]
+    return pa.RecordBatch.from_arrays(cols, ["term_index", "lam", "share", "eta", "iq", "gq"])
 
-def _infer(batches: Iterator[pd.DataFrame], alpha: list[float], stats: bool, key: str, inner: int = 100, tol: float = 1e-3) -> Iterator[pd.DataFrame]:
-    """Fits each document.  ``stats``: sums of a batch, (term_index, s), where row -1 holds
-    the documents' expected log shares; else (key, probs)."""
+
+def _move(batches, k: int, rate: float, scale: float):
+    """The table a step on: towards the prior and the batch's counts ``s``."""
     import numpy as np
 
-    a = np.array(alpha)
     for b in batches:
-        if not len(b):
+        if not b.num_rows:
             continue
-        terms, sums, out = [], [], []
+        lam, eta = b.column(1).flatten().to_numpy().reshape(-1, k), b.column(2).to_numpy()
+        s = np.zeros_like(lam)
+        there = b.column(3).is_valid().to_numpy(zero_copy_only=False)
+        s[there] = b.column(3).drop_null().flatten().to_numpy().reshape(-1, k)
+        yield _rows(b.column(0).to_numpy(), (1 - rate) * lam + rate * (eta[:, None] + scale * s), eta)
+
+
+def _infer(batches, alpha: list[float], totals: list[float], stats: bool, key: str, inner: int = 100, tol: float = 1e-3):
+    """Fits each document of the batches of ``_cells``.  ``stats``: sums of a batch,
+    (term_index, s, docs), where row -1 holds the documents' expected log shares; else
+    (key, probs)."""
+    import numpy as np
+    import pyarrow as pa
+
+    a, base = np.array(alpha), np.exp(-_digamma(np.array(totals)))
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cells = b.column(1)
+        ends = np.cumsum(cells.value_lengths().to_numpy())
+        cells = cells.flatten()
+        at, tf = cells.field("term_index").to_numpy(), cells.field("tf").to_numpy()
+        beta = cells.field("share").flatten().to_numpy().reshape(-1, len(a)) * base + 1e-100
+        found, sums = np.empty((len(ends), len(a))), np.empty_like(beta)
         log_share = np.zeros(len(a))
-        for cells in b["cells"]:
-            at = np.array([c["term_index"] for c in cells])
-            tf = np.array([c["tf"] for c in cells], float)
-            beta = np.array([c["beta"] for c in cells]) + 1e-100
-            gamma = a + tf.sum() / len(a)
+        for d, (lo, hi) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+            words, n = beta[lo:hi], tf[lo:hi]
+            gamma = a + n.sum() / len(a)
             for _ in range(inner):
-                theta = np.exp(_np_digamma(gamma) - _np_digamma(gamma.sum()))
-                share = tf / (beta @ theta)
-                new = a + theta * (share @ beta)
+                theta = np.exp(_digamma(gamma) - _digamma(gamma.sum()))
+                new = a + theta * ((n / (words @ theta)) @ words)
                 close = np.abs(new - gamma).mean() < tol
                 gamma = new
                 if close:
                     break
-            out.append((gamma / gamma.sum()).tolist())
+            found[d] = gamma / gamma.sum()
             if stats:
-                expected = _np_digamma(gamma) - _np_digamma(gamma.sum())
+                expected = _digamma(gamma) - _digamma(gamma.sum())
                 log_share += expected
                 theta = np.exp(expected)
-                terms.append(at)
-                sums.append(beta * theta * (tf / (beta @ theta))[:, None])
+                sums[lo:hi] = words * theta * (n / (words @ theta))[:, None]
         if not stats:
-            yield pd.DataFrame({key: b[key], "probs": out})
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(found)], [key, "probs"])
             continue
-        at, where = np.unique(np.concatenate(terms), return_inverse=True)
-        total = np.zeros((len(at), len(a)))
-        np.add.at(total, where, np.concatenate(sums))
-        yield pd.DataFrame({"term_index": np.append(at, -1), "s": [*total.tolist(), log_share.tolist()], "docs": [0] * len(at) + [len(b)]})
-
+        terms, where = np.unique(at, return_inverse=True)
+        total = np.zeros((len(terms) + 1, len(a)))
+        np.add.at(total, where, sums)
+        total[-1] = log_share
+        docs = np.zeros(len(total), np.int64)
+        docs[-1] = len(ends)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(terms, -1).astype(np.int32)), _lists(total), pa.array(docs)], ["term_index", "s", "docs"])
 
-def _cells(bow: DataFrame, topics: DataFrame, totals: list[float], key: str) -> DataFrame:
-    """Each document with the expected word shares of its terms in every topic."""
-    base = F.array(*[F.lit(float(x)) for x in _np_digamma(pd.Series(totals).to_numpy())])
-    beta = F.zip_with("lam", base, lambda x, t: F.exp(digamma(x) - t))
-    rows = bow.join(topics.select("term_index", beta.alias("beta")), "term_index")
-    return rows.groupBy(key).agg(F.collect_list(F.struct("term_index", F.col("tf").cast("double").alias("tf"), "beta")).alias("cells"))
 
-
-def _totals(topics: DataFrame, k: int) -> list[float]:
-    return [float(x) for x in topics.agg(*[F.sum(F.col("lam")[i]).alias(f"t{i}") for i in range(k)]).first()]
+def _cells(bow: DataFrame, topics: DataFrame, key: str) -> DataFrame:
+    """Each document with its terms' rows of the table.  Dealt by a set number of
+    partitions: the rows are small, but fitting them is not."""
+    rows = bow.join(topics.select("term_index", "share"), "term_index")
+    rows = rows.repartition(int(bow.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return rows.groupBy(key).agg(F.collect_list(F.struct(F.col("term_index").cast("int").alias("term_index"), F.col("tf").cast("double").alias("tf"), "share")).alias("cells"))
 
 
 def _newton(prior, n: float, mean_log):
     """One Newton step of a Dirichlet prior from n draws' mean logarithms; kept if it is positive."""
-    grad = n * (_np_digamma(prior.sum()) - _np_digamma(prior) + mean_log)
-    c, q = n * _np_trigamma(prior.sum()), -n * _np_trigamma(prior)
+    grad = n * (_digamma(prior.sum()) - _digamma(prior) + mean_log)
+    c, q = n * _trigamma(prior.sum()), -n * _trigamma(prior)
     step = (grad - (grad / q).sum() / (1 / c + (1 / q).sum())) / q
     return prior - step
 
 
-def _learn_eta(topics: DataFrame, totals: list[float], rate: float) -> DataFrame:
-    """A Newton step of the topic prior, one number a term, by two aggregates."""
-    k = len(totals)
-    base = F.array(*[F.lit(float(x)) for x in _np_digamma(pd.Series(totals).to_numpy())])
-    mean_log = F.aggregate(F.zip_with("lam", base, lambda x, t: digamma(x) - t), F.lit(0.0), lambda a, x: a + x) / k
-    total = topics.agg(F.sum("eta")).first()[0]
-    grad = k * (float(_np_digamma(total)) - digamma(F.col("eta")) + mean_log)
-    rows = topics.select("term_index", "lam", "eta", grad.alias("g"), (-k * trigamma(F.col("eta"))).alias("q"))
-    sums = rows.agg(F.sum(F.col("g") / F.col("q")).alias("gq"), F.sum(1 / F.col("q")).alias("iq")).first()
-    b = sums["gq"] / (1 / (k * float(_np_trigamma(total))) + sums["iq"])
-    rows = rows.withColumn("new", F.col("eta") - rate * (F.col("g") - b) / F.col("q"))
-    positive = rows.agg(F.min("new")).first()[0] > 0
-    return rows.select("term_index", "lam", F.col("new" if positive else "eta").alias("eta"))
-
-
 def fit_lda(bow: DataFrame, k: int = 20, passes: int = 20, seed: int = 42, batch_docs: int = 100_000, key: str = "doc_id",
             learn_priors: bool = True, decay: float = 0.5) -> TopicModel:
     """M1: topics of ``(key, term_index, tf)``; ``tf`` may be any positive weight.
@@ -167,42 +177,47 @@ def fit_lda(bow: DataFrame, k: int = 20, passes: int = 20, seed: int = 42, batch
     key); step t moves the table by (1 + t) ** -decay.  Results do not depend on the
     partitioning but for the order of floating-point sums.
     """
+    import numpy as np
+
     bow = cut_lineage(bow.select(key, "term_index", "tf"))
-    terms = bow.select("term_index").distinct()
     n = bow.select(key).distinct().count()
     batches = max(-(-n // batch_docs), 1)
-    topics = cut_lineage(_start(terms, k, seed))
+    terms = bow.select(F.col("term_index").cast("int").alias("term_index")).distinct()
+    topics = cut_lineage(terms.mapInArrow(partial(_start, k=k, seed=seed), _ROW))
     alpha = [1.0 / k] * k
+    sums = [F.sum(F.col("lam")[i]) for i in range(k)]
     if not n:
         return TopicModel(topics, alpha, [1.0] * k)
-    totals = _totals(topics, k)
+    totals = [float(x) for x in topics.agg(*sums).first()]
     for t in range(passes * batches):
         part = bow if batches == 1 else bow.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == t % batches)
         rate = (1 + t) ** -decay
-        got = _cells(part, topics, totals, key).mapInPandas(partial(_infer, alpha=alpha, stats=True, key=key), "term_index int, s array<double>, docs long")
+        got = _cells(part, topics, key).mapInArrow(partial(_infer, alpha=alpha, totals=totals, stats=True, key=key), "term_index int, s array<double>, docs long")
         got = cut_lineage(got.groupBy("term_index").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(k)]).alias("s"), F.sum("docs").alias("docs")))
         seen = got.filter("term_index = -1").first()
         if seen is None:                       # a batch without documents
             continue
-        scale = n / seen["docs"]
-        moved = F.zip_with("lam", F.coalesce("s", F.array_repeat(F.lit(0.0), k)), lambda x, s: (1 - rate) * x + rate * (F.col("eta") + scale * s))
-        topics = cut_lineage(topics.join(got.filter("term_index >= 0").select("term_index", "s"), "term_index", "left").select("term_index", moved.alias("lam"), "eta"))
-        totals = _totals(topics, k)
+        moved = topics.select("term_index", "lam", "eta").join(got.select("term_index", "s"), "term_index", "left")
+        topics = cut_lineage(moved.mapInArrow(partial(_move, k=k, rate=rate, scale=n / seen["docs"]), _ROW))
+        *totals, eta, iq, gq = (float(x) for x in topics.agg(*sums, F.sum("eta"), F.sum("iq"), F.sum("gq")).first())
         if learn_priors:
-            import numpy as np
-
             old = np.array(alpha)
             new = old + rate * (_newton(old, seen["docs"], np.array(seen["s"]) / seen["docs"]) - old)
             alpha = [float(x) for x in (new if (new > 0).all() else old)]
-            topics = _learn_eta(topics, totals, rate)
-    return TopicModel(cut_lineage(topics), alpha, totals)
+            # The topic prior's Newton step: each term has its part g / q of the gradient, the
+            # rest is the same for all.  A term that would leave the positive numbers stays.
+            same = k * float(_digamma(eta)) - float(_digamma(np.array(totals)).sum())
+            b = (gq + same * iq) / (1 / (k * float(_trigamma(eta))) + iq)
+            step = F.col("eta") - rate * (F.col("gq") + (same - b) * F.col("iq"))
+            topics = topics.withColumn("eta", F.when(step > 0, step).otherwise(F.col("eta")))
+    return TopicModel(cut_lineage(topics.select("term_index", "lam", "share", "eta")), alpha, totals)
 
 
 def document_topics(model: TopicModel, bow: DataFrame, key: str = "doc_id") -> DataFrame:
     """M2: ``(key, probs ARRAY<DOUBLE>)`` with all k entries, for documents with a known term."""
     kind = dict(bow.dtypes)[key]
-    return _cells(bow, model.topics, model.totals, key).mapInPandas(
-        partial(_infer, alpha=model.alpha, stats=False, key=key), f"`{key}` {kind}, probs array<double>")
+    return _cells(bow, model.topics, key).mapInArrow(
+        partial(_infer, alpha=model.alpha, totals=model.totals, stats=False, key=key), f"`{key}` {kind}, probs array<double>")
 
 
 def topic_words(model: TopicModel, vocab: DataFrame, n: int = 20) -> DataFrame:

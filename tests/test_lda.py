@@ -25,15 +25,14 @@ def planted(spark):
     return spark.createDataFrame(rows, "doc_id string, term_index int, tf long"), topic
 
 
-def test_special_functions(spark):
-    x = [0.01, 0.3, 1.0, 2.5, 40.0]
-    df = spark.createDataFrame([(v,) for v in x], "x double").select("x", L.digamma(F.col("x")).alias("d"), L.trigamma(F.col("x")).alias("t"))
-    for r in df.collect():
-        h = 1e-4 * max(r.x, 0.05)
-        slope = (math.lgamma(r.x + h) - math.lgamma(r.x - h)) / (2 * h)
-        assert abs(r.d - slope) < 1e-4 * max(1, abs(slope))
-        assert abs(r.d - L._np_digamma(np.float64(r.x))) < 1e-9 and abs(r.t - L._np_trigamma(np.float64(r.x))) < 1e-9 * max(1, r.t)
-    assert abs(L._np_digamma(1.0) + 0.5772156649) < 1e-8 and abs(L._np_trigamma(1.0) - math.pi ** 2 / 6) < 1e-7
+def test_special_functions():
+    for x in (0.01, 0.3, 1.0, 2.5, 40.0):
+        h = 1e-4 * max(x, 0.05)
+        slope = (math.lgamma(x + h) - math.lgamma(x - h)) / (2 * h)
+        assert abs(L._digamma(np.float64(x)) - slope) < 1e-4 * max(1, abs(slope))
+        second = (L._digamma(np.float64(x + h)) - L._digamma(np.float64(x - h))) / (2 * h)
+        assert abs(L._trigamma(np.float64(x)) - second) < 1e-3 * second
+    assert abs(L._digamma(1.0) + 0.5772156649) < 1e-8 and abs(L._trigamma(1.0) - math.pi ** 2 / 6) < 1e-7
 
 
 @pytest.mark.parametrize("batch_docs", [100_000, 50])
