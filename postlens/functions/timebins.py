@@ -17,6 +17,8 @@ DATE_PATTERNS = [
     "yyyy-MM-dd HH:mm:ssXXX", "MM/dd/yyyy HH:mm", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy",
     "MMM d HH:mm:ss Z yyyy", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm", "d MMM yyyy", "MMM d, yyyy",
     "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy/MM/dd",
+    "d/M/yyyy HH:mm:ss", "d/M/yyyy HH:mm", "d/M/yyyy", "d.M.yyyy HH:mm", "d.M.yyyy", "M/d/yy HH:mm", "M/d/yy", "d-MMM-yyyy HH:mm:ss", "d-MMM-yyyy",
+    "MMMM d, yyyy HH:mm", "MMMM d, yyyy", "d MMMM yyyy", "yyyyMMdd",
 ]
 
 
@@ -40,7 +42,10 @@ def parse_timestamp(c) -> Column:
     x = F.trim(_c(c).cast("string"))
     # The weekday says nothing more, and Spark does not parse it.
     x = F.regexp_replace(x, r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,? ", "")
-    return F.coalesce(F.try_to_timestamp(x), *[F.try_to_timestamp(x, F.lit(p)) for p in DATE_PATTERNS])
+    # Ten digits are seconds since 1970, thirteen milliseconds.
+    number = x.try_cast("long")
+    epoch = F.when(x.rlike("^[0-9]{10}$"), F.timestamp_millis(number * 1000)).when(x.rlike("^[0-9]{13}$"), F.timestamp_millis(number))
+    return F.coalesce(epoch, F.try_to_timestamp(x), *[F.try_to_timestamp(x, F.lit(p)) for p in DATE_PATTERNS])
 
 
 def epoch_seconds(c) -> Column:

@@ -3,40 +3,64 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.timebins import parse_timestamp
 from ..session import cut_lineage
+from .csvsplit import csv_records
 
 POST_COLUMNS = ["user_id", "timestamp", "post_content"]
 
 
+BAD = "_bad"
+
+
+def csv_rows(spark: SparkSession, path: str, schema: StructType, header: bool = True, skip_lines: int = 0) -> DataFrame:
+    """The columns of ``schema`` and ``_bad``: the text of a record that does not fit it
+    (number of fields, types), else null.  Read by splits, see ``csvsplit``."""
+    rows = csv_records(spark, path, skip_lines).filter(F.trim("text") != "")
+    if header:
+        rows = rows.filter("NOT first")
+    full = StructType([*(StructField(f.name, f.dataType) for f in schema.fields), StructField(BAD, StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD, "escape": '"', "quote": '"', "multiLine": "true", "maxCharsPerColumn": "-1"}
+    return rows.select(F.from_csv("text", full.simpleString(), options).alias("r")).select("r.*")
+
+
+def count_bad(rows: DataFrame, name: str = "bad_lines"):
+    """``(good rows without _bad, observation)``: the observation holds ``{name: n}``
+    after the first action, so bad lines are counted in the same pass."""
+    seen = Observation(name)
+    rows = rows.observe(seen, F.count(F.col(BAD)).alias(name))
+    return rows.filter(F.col(BAD).isNull()).drop(BAD), seen
+
+
 def read_csv(spark: SparkSession, path: str, schema=None, header: bool = True) -> DataFrame:
-    """RFC-4180 CSV (``""`` quoting, newlines inside quoted fields)."""
-    r = (spark.read.option("header", header).option("multiLine", True)
-         .option("escape", '"').option("quote", '"'))
-    r = r.schema(schema) if schema is not None else r.option("inferSchema", False)
-    return r.csv(path)
+    """RFC-4180 CSV (``""`` quoting, newlines inside quoted fields).  Without a schema
+    all columns are strings, named by the first record; missing fields are null and
+    surplus ones are left out."""
+    if schema is None:
+        probe = spark.read.option("header", header).option("multiLine", True).option("escape", '"').csv(path)
+        schema = StructType([StructField(c, StringType()) for c in probe.columns])
+    return csv_rows(spark, path, schema, header).drop(BAD)
 
 
 def read_headerless(spark: SparkSession, path: str, schema, skip_lines: int = 3) -> DataFrame:
-    """Headerless CSV whose first ``skip_lines`` lines are junk; the first
-    schema fields are kept, lines that do not parse are dropped.
+    """Headerless CSV whose first ``skip_lines`` lines are junk; the first schema fields
+    are kept and surplus ones left out; records without a first field are dropped."""
+    rows = csv_rows(spark, path, schema, False, skip_lines).drop(BAD)
+    return rows.filter(F.col(schema.fieldNames()[0]).isNotNull())
 
-    Each file is read as one value (like any multi-line CSV file, a file is
-    one task) and split into lines; only the leading lines are skipped.
-    """
-    raw = spark.read.text(path, wholetext=True)
-    lines = raw.select(F.posexplode(F.split("value", "\r?\n")).alias("i", "line")) \
-               .filter((F.col("i") >= skip_lines) & (F.trim("line") != ""))
-    parsed = lines.select(F.from_csv("line", schema.simpleString(), {"mode": "PERMISSIVE"}).alias("r"))
-    out = parsed.select("r.*")
-    first = schema.fieldNames()[0]
-    return out.filter(F.col(first).isNotNull())
+
+def jsonl_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """As ``csv_rows``, for one JSON object a line."""
+    full = StructType([*schema.fields, StructField(BAD, StringType())])
+    return spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).json(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """One object per line; malformed lines are dropped."""
+    """One object per line; malformed lines are dropped (``jsonl_rows`` with
+    ``count_bad`` counts them)."""
     r = spark.read.option("mode", "DROPMALFORMED")
     if schema is not None:
         r = r.schema(schema)
@@ -63,8 +87,10 @@ def require_columns(df: DataFrame, required=POST_COLUMNS) -> DataFrame:
     return df
 
 
-def to_posts(df: DataFrame, id_col: str | None = None) -> DataFrame:
-    """Coerce to the posts contract and drop rows missing a key (F1).
+def to_posts(df: DataFrame, id_col: str | None = None, lost: Observation | None = None) -> DataFrame:
+    """Coerce to the posts contract and drop rows missing a key (F1).  ``lost`` counts, in
+    the same pass, all rows and those without a user, a timestamp (none, or none that can
+    be read) or content.
 
     ``post_id`` is taken from ``id_col`` when given.  Else rows are numbered once
     and the numbers written with them (a checkpoint), so equal posts of one user
@@ -80,12 +106,15 @@ def to_posts(df: DataFrame, id_col: str | None = None) -> DataFrame:
         pid = F.xxhash64(F.col("user_id").cast("string"), ts_col.cast("string"), F.col("post_content"))
     else:
         pid = F.monotonically_increasing_id()
-    out = df.select(
-        pid.alias("post_id"),
-        F.col("user_id").cast("string").alias("user_id"),
-        ts_col.alias("timestamp"),
-        F.col("post_content").cast("string").alias("post_content"),
-    )
+    out_user, out_text = F.col("user_id").cast("string"), F.col("post_content").cast("string")
+    out = df.select(pid.alias("post_id"), out_user.alias("user_id"), ts_col.alias("timestamp"), out_text.alias("post_content"))
+    if lost is not None:
+        none = lambda c: F.count_if(F.col(c).isNull())
+        blank = F.trim(ts.cast("string")).isNull()
+        out = df.select(out_user.alias("user_id"), ts_col.alias("timestamp"), blank.alias("_blank"), out_text.alias("post_content"), pid.alias("post_id"))
+        out = out.observe(lost, F.count("*").alias("rows"), none("user_id").alias("no_user"), F.count_if("_blank").alias("no_timestamp"),
+                          F.count_if(F.col("timestamp").isNull() & ~F.col("_blank")).alias("unread_timestamp"), none("post_content").alias("no_content"))
+        out = out.select("post_id", "user_id", "timestamp", "post_content")
     out = out.dropna(subset=POST_COLUMNS)
     return out if id_col or df.isStreaming else cut_lineage(out)
 
