@@ -102,6 +102,11 @@ def drop_outliers(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("topic_id") != -1)
 
 
+def distinct_topics(words: DataFrame, model: str) -> DataFrame:
+    """``(model, topics)``: how many topics have words, outliers left out."""
+    return drop_outliers(words).agg(F.countDistinct("topic_id").alias("topics")).select(F.lit(model).alias("model"), "topics")
+
+
 def topic_jaccard(words_a: DataFrame, words_b: DataFrame, topn: int = 20, threshold: float = 0.1) -> DataFrame:
     """Jaccard of top-``topn`` word sets for every topic pair, kept when
     strictly above ``threshold``; shared words sorted and comma-joined."""

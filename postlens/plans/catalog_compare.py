@@ -36,8 +36,8 @@ def _scores(spark, sf, model):
     return cut_lineage(scores_events(spark, sf, model).drop("probs"))
 
 
-def _flags(spark, sf, model, compat=False):
-    return cut_lineage(SU.suspicious_users(_scores(spark, sf, model), None, compat=compat))
+def _flags(spark, sf, model, compat=False, q=0.95):
+    return cut_lineage(SU.suspicious_users(_scores(spark, sf, model), None, q, q, compat=compat))
 
 
 def flags_sql(name: str, model: int, q: float = 0.95) -> str:
@@ -241,17 +241,20 @@ def q_compare_coherence_verdicts(spark, sf):
     return rounded(base.select(*cols, *v))
 
 
-def _compat(name, base_sql, fn):
-    """Same query with the reference's percentile scale (0.95 -> 0.0095)."""
-    sql = base_sql.replace(flags_sql('fa', 0), flags_sql('fa', 0, 0.0095)).replace(
-        flags_sql('fb', 1), flags_sql('fb', 1, 0.0095))
+def _scaled(name, base_sql, q, fn):
+    """Same query with other cut-off quantiles."""
+    sql = base_sql.replace(flags_sql('fa', 0), flags_sql('fa', 0, q)).replace(flags_sql('fb', 1), flags_sql('fb', 1, q))
     QUERIES[name] = fn
     SQL[name] = sql
 
 
-_compat("compare_flag_overlap_events_compat", SQL["compare_flag_overlap_events"],
-        lambda spark, sf: rounded(CP.flag_overlap(_flags(spark, sf, 0, True), _flags(spark, sf, 1, True))))
-_compat("compare_flag_sets_events_compat", SQL["compare_flag_sets_events"],
-        lambda spark, sf: CP.flag_sets(_flags(spark, sf, 0, True), _flags(spark, sf, 1, True)))
-_compat("compare_discrepancies_events_compat", SQL["compare_discrepancies_events"],
-        lambda spark, sf: rounded(CP.discrepancies(_flags(spark, sf, 0, True), _flags(spark, sf, 1, True))))
+def _pair(how, **scale):
+    return lambda spark, sf: how(_flags(spark, sf, 0, **scale), _flags(spark, sf, 1, **scale))
+
+
+# compat: the reference's percentile scale (0.95 -> 0.0095); median: half of the users are
+# over each cut-off, so that both models flag users that the other does not.
+for _suffix, _q, _scale in (("compat", 0.0095, {"compat": True}), ("median", 0.5, {"q": 0.5})):
+    for _name, _how in (("overlap", lambda a, b: rounded(CP.flag_overlap(a, b))), ("sets", CP.flag_sets)):
+        _scaled(f"compare_flag_{_name}_events_{_suffix}", SQL[f"compare_flag_{_name}_events"], _q, _pair(_how, **_scale))
+    _scaled(f"compare_discrepancies_events_{_suffix}", SQL["compare_discrepancies_events"], _q, _pair(lambda a, b: rounded(CP.discrepancies(a, b)), **_scale))

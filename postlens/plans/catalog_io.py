@@ -31,7 +31,7 @@ def _reg(name, sql=None):
     return deco
 
 
-def _scratch(spark, name):
+def scratch(spark, name):
     """A fresh folder under the shared checkpoint dir (never machine-local on a cluster)."""
     return os.path.join(ensure_checkpoint_dir(spark), "postlens-results", f"{name}-{uuid.uuid4().hex[:8]}")
 
@@ -42,7 +42,7 @@ FROM documents d JOIN events e ON e.event_id = d.doc_id
 """)
 def q_sink_roundtrip_posts_csv(spark, sf):
     """K1 -> S1: processed posts written as CSV (quotes, newlines) and read back."""
-    path = _scratch(spark, "posts-csv")
+    path = scratch(spark, "posts-csv")
     K.write_posts(FX.posts(spark, sf), path, fmt="csv")
     back = FS.to_posts(FS.read_csv(spark, path), id_col=None)
     return back.select("user_id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "post_content")
@@ -62,8 +62,8 @@ def q_stream_tokens_documents(spark, sf):
     from ..operators import clean as C
     stream = C.lda_tokenize(src, text_col="text").select(
         "doc_id", F.size("tokens").cast("long").alias("n_tokens"), T.join_tokens("tokens").alias("token_text"))
-    out = _scratch(spark, "stream-out")
-    q = ST.run_to_table(stream, out, _scratch(spark, "stream-ckpt"))
+    out = scratch(spark, "stream-out")
+    q = ST.run_to_table(stream, out, scratch(spark, "stream-ckpt"))
     q.awaitTermination()
     return spark.read.parquet(out).drop("batch_id")
 

@@ -93,6 +93,18 @@ def q_hashtags_documents(spark, sf):
     return d.select("doc_id", F.posexplode(T.extract_hashtags("text", keep_symbol=False)).alias("pos", "hashtag"))
 
 
+@_reg("hashtags_documents_tagged", f"""
+WITH s AS (SELECT doc_id, '#' || lang || ' ' || text || ' #' || source || '_' || lang || ' @' || source AS text FROM documents),
+t AS (SELECT doc_id, regexp_extract_all(text, {S.q('#(' + T.WORD + '+)')}, 1) AS tags FROM s)
+SELECT doc_id, CAST(generate_subscripts(tags, 1) - 1 AS INTEGER) AS pos, unnest(tags) AS hashtag FROM t
+""")
+def q_hashtags_documents_tagged(spark, sf):
+    """T6 on documents that carry their language and source as tags (the texts alone have none)."""
+    text = F.concat(F.lit("#"), "lang", F.lit(" "), "text", F.lit(" #"), "source", F.lit("_"), "lang", F.lit(" @"), "source")
+    d = FX.table(spark, sf, "documents").select("doc_id", text.alias("text"))
+    return d.select("doc_id", F.posexplode(T.extract_hashtags("text", keep_symbol=False)).alias("pos", "hashtag"))
+
+
 @_reg("mentions_pages_cleaned", f"""
 WITH c AS (SELECT page_id, lower({S.strip_html('html')}) AS x FROM pages),
 t AS (SELECT page_id, regexp_extract_all(x, {S.q('@(' + T.WORD + '+)')}, 0) AS m FROM c)

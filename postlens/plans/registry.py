@@ -8,7 +8,7 @@ import importlib
 # driver records a rows-only check; tests check properties instead.
 ROWS_ONLY = set()
 
-_MODULES = ["catalog_users", "catalog_text", "catalog_docs", "catalog_suspicion", "catalog_topics", "catalog_embed", "catalog_compare", "catalog_feeds", "catalog_io"]
+_MODULES = ["catalog_users", "catalog_text", "catalog_docs", "catalog_suspicion", "catalog_topics", "catalog_embed", "catalog_compare", "catalog_feeds", "catalog_io", "catalog_runs"]
 
 
 def _collect():

@@ -128,7 +128,7 @@ def read_result(spark: SparkSession, path: str) -> DataFrame | None:
     """Read a saved result table (Parquet dir or JSON) at any path that Spark
     reads; missing -> None."""
     try:
-        return spark.read.json(path) if path.rstrip("/").endswith(".json") else spark.read.parquet(path)
+        return spark.read.json(path) if path.rstrip("/").endswith((".json", "_summary")) else spark.read.parquet(path)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
