@@ -23,7 +23,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import cut_lineage
+from ..session import written
 from .graph import components, spanning_forest
 from .ordering import numbered
 
@@ -39,7 +39,7 @@ def points(vectors: DataFrame, key: str = "doc_id", col: str = "reduced") -> Dat
     whole = ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
     rows = rows.filter(F.col("key").isNotNull() & F.col("x").isNotNull()).filter(whole)
     same = rows.groupBy("x").agg(F.min("key").alias("node"), F.count("*").alias("weight"))
-    return cut_lineage(rows.join(same, "x").select("key", "node", "x", "weight"))
+    return written(rows.join(same, "x").select("key", "node", "x", "weight"))
 
 
 def _curve_positions(low: list[float], high: list[float], curves: int, seed: int):
@@ -112,7 +112,7 @@ def reachability(near: DataFrame, min_samples: int) -> DataFrame:
     start = F.struct(F.col("weight").alias("held"), F.lit(0.0).alias("core"))
     core = F.aggregate("near", start, lambda acc, x: F.when(acc["held"] >= min_samples, acc).otherwise(
         F.struct((acc["held"] + x["weight"]).alias("held"), x["d"].alias("core"))))["core"]
-    near = cut_lineage(near.select("node", core.alias("core"), "near"))
+    near = written(near.select("node", core.alias("core"), "near"))
     e = near.select(F.col("node").alias("a"), F.col("core").alias("core_a"), F.explode("near").alias("x")).select("a", "core_a", F.col("x.other").alias("b"), "x.d")
     e = e.join(near.select(F.col("node").alias("b"), F.col("core").alias("core_b")), "b")
     return e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.greatest("d", "core_a", "core_b", F.lit(FLOOR)).alias("w")).distinct()
@@ -152,18 +152,18 @@ def hierarchy(nodes: DataFrame, tree: DataFrame, weights: list[float], min_clust
     alone = alone.join(comp.select("step", "node"), ["step", "node"], "left_anti").withColumn("comp", F.col("node"))
     comp = comp.unionByName(alone).join(nodes.select("node", "weight"), "node")
     big = comp.groupBy("step", "comp").agg(F.sum("weight").alias("size")).filter(F.col("size") >= min_cluster_size).select("step", "comp")
-    member = cut_lineage(comp.join(big, ["step", "comp"]))
+    member = written(comp.join(big, ["step", "comp"]))
     entry = member.groupBy("node").agg(F.min("step").alias("entry"))
-    member = cut_lineage(member.join(entry, "node"))
+    member = written(member.join(entry, "node"))
     # A cluster's anchor is its earliest point: it stays the same while the cluster only gains points.
     part = member.groupBy("step", "comp").agg(F.min(F.struct("entry", "node")).alias("f")).select("step", "comp", F.col("f.node").alias("anchor"))
     up = member.select((F.col("step") - 1).alias("step"), F.col("node").alias("anchor"), F.col("comp").alias("above"))
-    part = cut_lineage(part.join(up, ["step", "anchor"], "left"))
+    part = written(part.join(up, ["step", "anchor"], "left"))
     met = part.filter("above IS NOT NULL").groupBy((F.col("step") + 1).alias("step"), F.col("above").alias("comp")).agg((F.count("*") > 1).cast("int").alias("met"))
     part = part.join(met, ["step", "comp"], "left")
     w = Window.partitionBy("anchor").orderBy("step")              # at most one row a step
     name = F.concat_ws(":", "anchor", F.sum(F.coalesce("met", F.lit(0))).over(w).cast("string"))
-    part = cut_lineage(part.select("step", "comp", "above", name.alias("cluster")))
+    part = written(part.select("step", "comp", "above", name.alias("cluster")))
     spans = part.groupBy("cluster").agg(F.min("step").alias("low"), F.max(F.struct("step", "comp", "above")).alias("t"))
     spans = spans.select("cluster", "low", F.col("t.step").alias("high"), F.col("t.comp").alias("comp"), F.col("t.above").alias("above"))
     owner = part.select((F.col("step") - 1).alias("high"), F.col("comp").alias("above"), F.col("cluster").alias("parent"))
@@ -174,19 +174,19 @@ def hierarchy(nodes: DataFrame, tree: DataFrame, weights: list[float], min_clust
     birth = F.when(F.col("parent").isNull(), F.lit(0.0)).otherwise(level(F.col("high") + 1))
     clusters = gains.groupBy("cluster", "parent").agg(F.sum(F.col("weight") * (F.col("l") - birth)).alias("stability"), F.max("l").alias("densest"))
     members = member.join(part.select("step", "comp", "cluster"), ["step", "comp"]).select("step", "node", "cluster", level(F.col("entry")).alias("l"))
-    return cut_lineage(clusters), members
+    return written(clusters), members
 
 
 def select(clusters: DataFrame) -> DataFrame:
     """Names of the clusters to take (``cluster, densest``): bottom up, one round for each
     generation.  A single cluster at the top is the whole and is not taken itself."""
     kids = clusters.groupBy(F.col("parent").alias("cluster")).agg(F.count("*").alias("kids")).filter("cluster IS NOT NULL")
-    rest = cut_lineage(clusters.join(kids, "cluster", "left").select("cluster", "parent", "stability", "densest", F.coalesce("kids", F.lit(0)).alias("kids")))
+    rest = written(clusters.join(kids, "cluster", "left").select("cluster", "parent", "stability", "densest", F.coalesce("kids", F.lit(0)).alias("kids")))
     single = rest.filter("parent IS NULL").count() == 1
     done = rest.select("cluster", "parent", "densest", F.col("stability").alias("best"), F.lit(True).alias("wins")).limit(0)
     while not rest.isEmpty():
         below = done.groupBy(F.col("parent").alias("cluster")).agg(F.sum("best").alias("below"), F.count("*").alias("ready")).filter("cluster IS NOT NULL")
-        j = cut_lineage(rest.join(below, "cluster", "left").fillna(0, ["ready"]).fillna(0.0, ["below"]))
+        j = written(rest.join(below, "cluster", "left").fillna(0, ["ready"]).fillna(0.0, ["below"]))
         now = j.filter("ready = kids")
         wins = F.col("stability") >= F.col("below")
         if single:
@@ -206,14 +206,14 @@ def cluster(vectors: DataFrame, min_cluster_size: int = 15, min_samples: int | N
     """
     min_samples = min_samples or min_cluster_size
     rows = points(vectors, key, col)
-    nodes = cut_lineage(rows.groupBy("node").agg(F.first("x").alias("x"), F.first("weight").alias("weight")))
-    near = cut_lineage(nearest(nodes, min_samples))
+    nodes = written(rows.groupBy("node").agg(F.first("x").alias("x"), F.first("weight").alias("weight")))
+    near = written(nearest(nodes, min_samples))
     blocks = near.select("node", F.floor(F.col("at") / FOREST_BLOCK).alias("block"))
-    tree = cut_lineage(spanning_forest(reachability(near, min_samples), blocks))
+    tree = written(spanning_forest(reachability(near, min_samples), blocks))
     clusters, members = hierarchy(nodes, tree, ladder(tree, steps), min_cluster_size)
     taken = select(clusters)
     own = members.join(taken, "cluster").groupBy("node").agg(F.max(F.struct("step", "cluster", "densest", "l")).alias("m"))
-    own = cut_lineage(own.select("node", "m.cluster", F.least(F.col("m.l") / F.col("m.densest"), F.lit(1.0)).alias("strength")).join(nodes.select("node", "weight"), "node"))
+    own = written(own.select("node", "m.cluster", F.least(F.col("m.l") / F.col("m.densest"), F.lit(1.0)).alias("strength")).join(nodes.select("node", "weight"), "node"))
     sizes = own.groupBy("cluster").agg(F.sum("weight").alias("n"), F.min("node").alias("low"))
     ids = numbered(sizes, [F.col("n").desc(), F.col("low")], "topic").select("cluster", F.col("topic").cast("int").alias("topic"))
     named = rows.select("key", "node").join(own.join(ids, "cluster"), "node").select(F.col("key").alias("_key"), "topic", "strength").distinct()

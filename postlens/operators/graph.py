@@ -1,7 +1,7 @@
 """Graphs as edge tables: minimum spanning forest and connected components.
 
 Both work in rounds of joins and groupings that shrink the graph; each round is
-checkpointed, and the driver sees a count a round.
+written as a table, and the driver sees a count a round.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut_lineage
+from ..session import written
 
 
 def _roots(picked: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def _roots(picked: DataFrame) -> DataFrame:
     while True:
         to = ptr.select(F.col("c").alias("p"), F.col("p").alias("pp"))
         new = F.when(F.col("pp") == F.col("c"), F.least("c", "p")).otherwise(F.col("pp"))
-        ptr = cut_lineage(ptr.join(to, "p").select("c", new.alias("p"), (new != F.col("p")).alias("moved")))
+        ptr = written(ptr.join(to, "p").select("c", new.alias("p"), (new != F.col("p")).alias("moved")))
         if ptr.filter("moved").isEmpty():
             return ptr.select("c", "p")
         ptr = ptr.select("c", "p")
@@ -92,22 +92,22 @@ def spanning_forest(edges: DataFrame, blocks: DataFrame | None = None) -> DataFr
     node's lightest edge that leaves it.  The result is the same.
     """
     e = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w")
-    e = cut_lineage(e.groupBy("a", "b").agg(F.min("w").alias("w")).select(F.col("a").alias("ca"), F.col("b").alias("cb"), "w", "a", "b"))
+    e = written(e.groupBy("a", "b").agg(F.min("w").alias("w")).select(F.col("a").alias("ca"), F.col("b").alias("cb"), "w", "a", "b"))
     found = e.select("a", "b", "w").limit(0)
     if blocks is not None:
         at = lambda n: blocks.select(F.col("node").alias(f"c{n}"), F.col("block").alias(f"block_{n}"))
-        dealt = cut_lineage(e.join(at("a"), "ca").join(at("b"), "cb"))
+        dealt = written(e.join(at("a"), "ca").join(at("b"), "cb"))
         inside = dealt.filter("block_a = block_b").select(F.col("block_a").alias("block"), "a", "b", "w", F.col("a").alias("lo"), F.col("b").alias("hi"))
         ends = F.explode(F.array(F.struct(F.col("block_a").alias("block"), F.col("a").alias("own")), F.struct(F.col("block_b").alias("block"), F.col("b").alias("own"))))
         leaving = (dealt.filter("block_a <> block_b").select(ends.alias("x"), "w", "a", "b").groupBy("x.block", "x.own").agg(F.min(F.struct("w", "a", "b")).alias("m"))
                    .select("block", F.col("own").alias("a"), F.lit(None).cast("long").alias("b"), "m.w", F.col("m.a").alias("lo"), F.col("m.b").alias("hi")))
-        local = cut_lineage(inside.unionByName(leaving).groupBy("block").applyInPandas(_local_forest, "tree boolean, a long, b long, w double"))
+        local = written(inside.unionByName(leaving).groupBy("block").applyInPandas(_local_forest, "tree boolean, a long, b long, w double"))
         found = local.filter("tree").select("a", "b", "w")
-        e = cut_lineage(_contract(e, local.filter("NOT tree").select(F.col("a").alias("c"), F.col("b").alias("p"))))
+        e = written(_contract(e, local.filter("NOT tree").select(F.col("a").alias("c"), F.col("b").alias("p"))))
     while not e.isEmpty():
-        pick = cut_lineage(_both_ends(e).groupBy("c").agg(F.min(F.struct("w", "a", "b", "o")).alias("m")).select("c", "m.*"))
+        pick = written(_both_ends(e).groupBy("c").agg(F.min(F.struct("w", "a", "b", "o")).alias("m")).select("c", "m.*"))
         found = found.unionByName(pick.select("a", "b", "w").distinct())
-        e = cut_lineage(_contract(e, _roots(pick.select("c", F.col("o").alias("p")))))
+        e = written(_contract(e, _roots(pick.select("c", F.col("o").alias("p")))))
     return found
 
 
@@ -116,7 +116,7 @@ def components(edges: DataFrame, scope: str) -> DataFrame:
     of ``scope`` at once; ``comp`` is the smallest node.  Large-star and small-star
     rounds (Kiveris et al. 2014): each node hands its larger neighbours, then all its
     smaller ones, to its smallest one."""
-    e = cut_lineage(edges.filter("a <> b").select(scope, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = written(edges.filter("a <> b").select(scope, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
     while True:
         both = e.select(scope, F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")), F.struct(F.col("v").alias("x"), F.col("u").alias("y")))).alias("s")).select(scope, "s.*")
@@ -124,7 +124,7 @@ def components(edges: DataFrame, scope: str) -> DataFrame:
         large = both.filter("y > x").join(low, [scope, "x"]).select(scope, F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy(scope, "u").agg(F.min("v").alias("m"))
         moved = large.join(low, [scope, "u"]).filter("v <> m").select(scope, F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut_lineage(moved.unionByName(low.withColumnRenamed("m", "v")).distinct())
+        e = written(moved.unionByName(low.withColumnRenamed("m", "v")).distinct())
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64(scope, "u", "v"))).first())
         if now == state:
             leaves = e.select(scope, F.col("u").alias("node"), F.col("v").alias("comp"))

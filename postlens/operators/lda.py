@@ -21,7 +21,7 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ..session import cut_lineage
+from ..session import written
 
 _VECTOR = StructType([StructField("v", VectorUDT())])
 _SHIFT = 6
@@ -179,11 +179,11 @@ def fit_lda(bow: DataFrame, k: int = 20, passes: int = 20, seed: int = 42, batch
     """
     import numpy as np
 
-    bow = cut_lineage(bow.select(key, "term_index", "tf"))
+    bow = written(bow.select(key, "term_index", "tf"))
     n = bow.select(key).distinct().count()
     batches = max(-(-n // batch_docs), 1)
     terms = bow.select(F.col("term_index").cast("int").alias("term_index")).distinct()
-    topics = cut_lineage(terms.mapInArrow(partial(_start, k=k, seed=seed), _ROW))
+    topics = written(terms.mapInArrow(partial(_start, k=k, seed=seed), _ROW))
     alpha = [1.0 / k] * k
     sums = [F.sum(F.col("lam")[i]) for i in range(k)]
     if not n:
@@ -193,12 +193,12 @@ def fit_lda(bow: DataFrame, k: int = 20, passes: int = 20, seed: int = 42, batch
         part = bow if batches == 1 else bow.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == t % batches)
         rate = (1 + t) ** -decay
         got = _cells(part, topics, key).mapInArrow(partial(_infer, alpha=alpha, totals=totals, stats=True, key=key), "term_index int, s array<double>, docs long")
-        got = cut_lineage(got.groupBy("term_index").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(k)]).alias("s"), F.sum("docs").alias("docs")))
+        got = written(got.groupBy("term_index").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(k)]).alias("s"), F.sum("docs").alias("docs")))
         seen = got.filter("term_index = -1").first()
         if seen is None:                       # a batch without documents
             continue
         moved = topics.select("term_index", "lam", "eta").join(got.select("term_index", "s"), "term_index", "left")
-        topics = cut_lineage(moved.mapInArrow(partial(_move, k=k, rate=rate, scale=n / seen["docs"]), _ROW))
+        topics = written(moved.mapInArrow(partial(_move, k=k, rate=rate, scale=n / seen["docs"]), _ROW))
         *totals, eta, iq, gq = (float(x) for x in topics.agg(*sums, F.sum("eta"), F.sum("iq"), F.sum("gq")).first())
         if learn_priors:
             old = np.array(alpha)
@@ -210,7 +210,7 @@ def fit_lda(bow: DataFrame, k: int = 20, passes: int = 20, seed: int = 42, batch
             b = (gq + same * iq) / (1 / (k * float(_trigamma(eta))) + iq)
             step = F.col("eta") - rate * (F.col("gq") + (same - b) * F.col("iq"))
             topics = topics.withColumn("eta", F.when(step > 0, step).otherwise(F.col("eta")))
-    return TopicModel(cut_lineage(topics.select("term_index", "lam", "share", "eta")), alpha, totals)
+    return TopicModel(written(topics.select("term_index", "lam", "share", "eta")), alpha, totals)
 
 
 def document_topics(model: TopicModel, bow: DataFrame, key: str = "doc_id") -> DataFrame:
