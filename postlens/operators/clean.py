@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+from ..functions.stem import stems
+from ..session import written
 
 
 @dataclass(frozen=True)
@@ -172,23 +174,31 @@ def multilingual_tokens(df: DataFrame, col: str, lang_col: str,
     return fence(df.withColumn("tokens", toks).drop("_clean"), "tokens")
 
 
-def normalize_tokens(tok: DataFrame, lemmas: DataFrame, key: str = "post_id",
-                     col: str = "tokens") -> DataFrame:
-    """Map each token through a ``(token, lemma)`` dictionary.
+def normal_forms(vocab: DataFrame, lemmas: DataFrame | None = None, stem: bool = False, col: str = "term") -> DataFrame:
+    """``vocab`` with ``norm``: a word's lemma where the ``(token, lemma)`` dictionary has
+    one (of several the smallest), else its stem with ``stem``, else the word."""
+    out = stems(vocab, col, "norm") if stem else vocab.withColumn("norm", F.col(col))
+    if lemmas is None:
+        return out
+    one = lemmas.filter("lemma IS NOT NULL").groupBy(F.col("token").alias("_token")).agg(F.min("lemma").alias("_lemma"))
+    out = out.join(one, F.col(col) == F.col("_token"), "left")
+    return out.withColumn("norm", F.coalesce("_lemma", "norm")).drop("_token", "_lemma")
 
-    The dictionary is joined to the *distinct* vocabulary first, then to
-    the exploded tokens; AQE broadcasts the mapping when its measured size
-    is small and shuffles otherwise. Per-post regrouping is bounded by the
-    post length.
+
+def normalize_tokens(tok: DataFrame, lemmas: DataFrame | None = None, col: str = "tokens", stem: bool = False) -> DataFrame:
+    """T19 on token lists: normal forms of the *distinct* vocabulary, joined back by place.
+
+    Rows are numbered in a written table, so rows that share an id stay apart and a lost
+    task numbers none anew.  A null list becomes an empty one.
     """
-    ex = tok.select(key, F.posexplode(col).alias("pos", "token"))
-    vocab = ex.select("token").distinct()
-    mapping = vocab.join(lemmas.select("token", "lemma"), "token", "inner")
-    j = ex.join(mapping, "token", "left").withColumn("norm", F.coalesce("lemma", "token"))
-    regrouped = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "norm"))).alias("_s"))
-    regrouped = regrouped.select(key, F.transform("_s", lambda s: s["norm"]).alias(col))
-    return tok.drop(col).join(regrouped, key, "left").withColumn(
-        col, F.coalesce(F.col(col), F.array().cast("array<string>")))
+    rows = written(tok.withColumn("_row", F.monotonically_increasing_id()))
+    places = rows.select("_row", F.posexplode(col).alias("pos", "term"))
+    forms = normal_forms(places.select("term").distinct(), lemmas, stem)
+    named = places.join(forms, places["term"].eqNullSafe(forms["term"]), "left").select("_row", "pos", "norm")
+    back = named.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pos", "norm"))).alias("_s"))
+    back = back.select("_row", F.transform("_s", lambda s: s["norm"]).alias("_norm"))
+    out = rows.join(back, "_row", "left").withColumn(col, F.coalesce("_norm", F.array().cast("array<string>")))
+    return out.select(*tok.columns)
 
 
 def drop_blank(df: DataFrame, col: str = "post_content", stripped: bool = True) -> DataFrame:

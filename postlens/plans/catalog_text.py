@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import stem as ST
 from ..functions import text as T
 from ..operators import clean as C
 from ..operators import vocab as V
@@ -42,6 +43,21 @@ def q_lda_term_counts_documents(spark, sf):
     return ex.groupBy("term").agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_occ"))
 
 
+@_reg("stemmed_terms_documents", f"""
+WITH t AS (SELECT doc_id, {S.lda_tokens('text', STOPS)} AS tokens FROM documents),
+e AS (SELECT unnest(tokens) AS term FROM t WHERE len(tokens) >= 3),
+v AS (SELECT term, COUNT(*) AS n FROM e GROUP BY term),
+{ST.stems_sql('v')}
+SELECT stem, COUNT(*) AS n_terms, CAST(SUM(n) AS BIGINT) AS n_occ, MIN(term) AS first_term FROM stems GROUP BY stem
+""")
+def q_stemmed_terms_documents(spark, sf):
+    """Stems of the vocabulary; each distinct word is stemmed once."""
+    tok = C.lda_tokenize(FX.table(spark, sf, "documents"), text_col="text")
+    vocab = tok.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return (C.normal_forms(vocab, stem=True).groupBy(F.col("norm").alias("stem"))
+            .agg(F.count("*").alias("n_terms"), F.sum("n").alias("n_occ"), F.min("term").alias("first_term")))
+
+
 @_reg("lda_tokens_documents", f"""
 WITH t AS (SELECT doc_id, {S.lda_tokens('text', STOPS)} AS tokens FROM documents)
 SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n_tokens, array_to_string(tokens, ' ') AS token_text
