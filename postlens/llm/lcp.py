@@ -13,13 +13,15 @@ hexadecimal, and the likeness of two is their share of equal minima.  The empty
 text has the empty fingerprint, like itself only.
 
 Null text counts as empty.  Documents follow one another by id, null ids last,
-rows of one id by text; a document alone is its own successor.  Extra columns
+rows of one id by their text's hash; a document alone is its own successor.  Extra columns
 are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from postlens.session import written
 
 from .common import plain_text
 from .shingles import mix64
@@ -122,66 +124,91 @@ def likeness(a: str, b: str) -> float:
     return sum(a[i:i + 4] == b[i:i + 4] for i in range(0, len(a), 4)) / REGISTERS
 
 
-def with_successors(docs: DataFrame, bucket_rows: int = 2048) -> DataFrame:
-    """``docs`` (doc_id, text) dealt by ranges of ids and sorted by (bucket, copy,
-    doc_id, text); the first row of a bucket is also in the bucket before, as a
-    copy after all others (that of the first in the last)."""
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    buckets = min(max(1, n // bucket_rows), 1 << 16)
-    width = 1 if low is None else (high - low) // buckets + 1
-    bucket = F.coalesce(F.expr(f"(doc_id - {low or 0}) div {width}"), F.lit(1 << 40))
-    rows = docs.withColumn("bucket", bucket)
-    # One row a bucket: at most 65,537 of them.
-    heads = sorted(map(tuple, rows.groupBy("bucket").agg(F.min("doc_id").alias("head")).collect()))
-    if not heads:
-        return rows.withColumn("copy", F.lit(False))
-    before = [(h, heads[i - 1][0]) for i, (_, h) in enumerate(heads)]
-    before = docs.sparkSession.createDataFrame(before, "head long, before long")
-    rows = rows.join(F.broadcast(before), F.col("doc_id").eqNullSafe(F.col("head")), "left")
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("copy"))
-    places = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("bucket"), F.lit(True).alias("copy"))))
-    rows = rows.withColumn("place", F.explode(places)).select("place.bucket", "place.copy", "doc_id", "text")
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "copy", F.col("doc_id").asc_nulls_last(), "text")
+SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+          "near_edited double, near_next double")
+
+
+def compared(pairs: list, more: dict | None = None):
+    """Record batch of ``SCHEMA`` for (doc_id, text, next text), then the columns ``more``
+    (name -> type), all null."""
+    import hashlib
+
+    import pyarrow as pa
+
+    ids, texts, others = zip(*pairs, strict=True)
+    edited = [t[:len(t) - len(t) // 2] + o[:len(t) // 2] for t, o in zip(texts, others, strict=True)]
+    whole = list(dict.fromkeys([*texts, *others, *edited]))
+    of = dict(zip(whole, fingerprints(whole), strict=True))
+    own, new, near = ([of[t] for t in x] for x in (texts, edited, others))
+    more = more or {}
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
+         pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]), pa.array(own), pa.array(new),
+         pa.array([likeness(a, b) for a, b in zip(own, new, strict=True)]), pa.array([likeness(a, b) for a, b in zip(own, near, strict=True)]),
+         *[pa.nulls(len(ids), kind) for kind in more.values()]],
+        [*[x.split()[0] for x in SCHEMA.split(", ")], *more])
+
+
+def _pairs_of(rows, flush: int = 400_000):
+    """Lists of pairs (doc_id, text, next text) of some ``flush`` characters."""
+    pairs, size = [], 0
+    for i, t, other in rows:
+        pairs.append((i, t, other))
+        size += 2 * len(t)
+        if size > flush:
+            yield pairs
+            pairs, size = [], 0
+    if pairs:
+        yield pairs
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next): each text against itself with its last half replaced by the start
-    of the next document, and against that document."""
-    rows = with_successors(docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text().alias("text")))
-    schema = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-              "near_edited double, near_next double")
-
-    def run(batches):
-        import hashlib
-
+    of the next document, and against that document.
+
+    Rows are dealt by ranges of Spark's own counted bounds over (id, text's hash, place),
+    so neither outlying ids nor a null or repeated id gather in one task.  A range compares its rows
+    with one another and hands out its first and last one; the last is compared with
+    the first of the next range that holds rows."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text().alias("text"))
+    rows = rows.withColumn("name", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    order = [F.col("doc_id").asc_nulls_last(), F.col("name"), F.col("place")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(order[0], order[1], "text").select("doc_id", "text", F.spark_partition_id().alias("part"))
+
+    def within(batches):
         import pyarrow as pa
 
-        def out(pairs):
-            ids, texts, others = zip(*pairs, strict=True)
-            edited = [t[:len(t) - len(t) // 2] + o[:len(t) // 2] for t, o in zip(texts, others, strict=True)]
-            whole = list(dict.fromkeys([*texts, *others, *edited]))
-            of = dict(zip(whole, fingerprints(whole), strict=True))
-            own, new, near = ([of[t] for t in x] for x in (texts, edited, others))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
-                 pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]), pa.array(own), pa.array(new),
-                 pa.array([likeness(a, b) for a, b in zip(own, new, strict=True)]), pa.array([likeness(a, b) for a, b in zip(own, near, strict=True)])],
-                [x.split()[0] for x in schema.split(", ")])
-        last, pairs, size, closed = None, [], 0, None
+        edges = {"part": pa.int32(), "edge": pa.string(), "text": pa.string()}
+        names = [*[x.split()[0] for x in SCHEMA.split(", ")], *edges]
+        kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), *edges.values()]
+        ends: dict = {}
+
+        def following():
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    for i, t, part in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                        if "tail" in ends:
+                            yield ends["tail"][0], ends["tail"][1], t
+                        else:
+                            ends["head"] = (i, t, part)
+                        ends["tail"] = (i, t, part)
+        for pairs in _pairs_of(following()):
+            yield compared(pairs, edges)
+        if ends:
+            cells = [[r[0] for r in ends.values()], *[[None] * len(ends)] * 6, [r[2] for r in ends.values()], list(ends), [r[1] for r in ends.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names)
+
+    def across(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for bucket, copy, i, t in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
-                    if last is not None and last[0] == bucket and closed != bucket:
-                        pairs.append((last[1], last[2], t))
-                        size += 2 * len(last[2])
-                    if copy:
-                        closed = bucket  # further copies of a repeated id
-                        continue
-                    last = (bucket, i, t)
-                    if size > 400_000:
-                        yield out(pairs)
-                        pairs, size = [], 0
-        if pairs:
-            yield out(pairs)
-    return rows.mapInArrow(run, schema)
+            for at in range(0, batch.num_rows, 64):
+                for pairs in _pairs_of(zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True)):
+                    yield compared(pairs)
+    found = written(rows.mapInArrow(within, SCHEMA + ", part int, edge string, text string"))
+    heads = found.filter("edge = 'head'").select(F.col("part").alias("next"), F.col("text").alias("other"))
+    # One number a range.
+    follows = F.coalesce(F.lead("next").over(W.orderBy("next")), F.min("next").over(W.partitionBy()))
+    follows = heads.select("next").select(F.col("next").alias("part"), follows.alias("next"))
+    tails = found.filter("edge = 'tail'").select("part", "doc_id", "text").join(follows, "part").join(heads, "next")
+    columns = [x.split()[0] for x in SCHEMA.split(", ")]
+    return found.filter("edge IS NULL").select(columns).union(tails.select("doc_id", "text", "other").mapInArrow(across, SCHEMA))
