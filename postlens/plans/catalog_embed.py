@@ -18,6 +18,7 @@ from ..operators import clean as C
 from ..operators import compare as CP
 from ..operators import density as DN
 from ..operators import embed_topics as E
+from ..operators import layout as LY
 from ..operators import suspicion as SU
 from ..operators import users as U
 from ..operators import vectors as VX
@@ -29,7 +30,7 @@ from .common import rounded
 QUERIES = {}
 SQL = {}
 ROWS_ONLY = {"density_clusters_embeddings", "density_inlier_counts", "embed_topics_ctfidf", "embed_doc_topic_probs", "embed_user_scores", "reduce_topics_label",
-             "topic_map_2d", "embed_run_summary"}
+             "topic_map_2d", "embed_run_summary", "neighbour_map_embeddings", "neighbour_preservation_embeddings"}
 STOPS = T.stopword_set()
 
 
@@ -218,6 +219,26 @@ def q_topic_map_2d(spark, sf):
     return rounded(p.select("doc_id", xy[0].alias("x"), xy[1].alias("y"), M.first_argmax("probs").alias("dominant_topic")))
 
 
+def _given_vectors(spark, sf):
+    return FX.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+
+
+@_reg("neighbour_map_embeddings")
+def q_neighbour_map_embeddings(spark, sf):
+    """Two coordinates of every vector that keep its neighbours near, with its label."""
+    e = _given_vectors(spark, sf)
+    xy = LY.neighbour_layout(e).select("doc_id", F.col("layout")[0].alias("x"), F.col("layout")[1].alias("y"))
+    return rounded(xy.join(e.select("doc_id", "label"), "doc_id"))
+
+
+@_reg("neighbour_preservation_embeddings")
+def q_neighbour_preservation_embeddings(spark, sf):
+    """M6: share of the 15 nearest vectors kept by the neighbour map and by PCA, two coordinates each."""
+    e = _given_vectors(spark, sf)
+    maps = {"neighbours": LY.neighbour_layout(e), "pca": E.reduce_dims(e, k=2).withColumnRenamed("reduced", "layout")}
+    return rounded(LY.preservation(e, maps), 4)
+
+
 @_reg("embed_run_summary")
 def q_embed_run_summary(spark, sf):
     """Documents, users, topics found (without -1), outliers, suspicious users."""
