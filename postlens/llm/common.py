@@ -28,3 +28,21 @@ def plain_text(col: str = "text") -> Column:
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints, so shared by all executors."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores before it until ``docs`` has no such column."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def counted_anew(docs: DataFrame, changed: Column) -> DataFrame:
+    """``docs`` with ``n_chars`` of the texts that ``changed`` marks; without that column as they are."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))

@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import WORD, cut_lineage, plain_text
+from .common import WORD, counted_anew, cut_lineage, plain_text, unused
 
 #: Stream buckets of a source, so that no window holds a whole source.
 _BUCKETS = 1024
@@ -132,11 +132,12 @@ def mixed_documents(docs: DataFrame, block: int = 64, share: float = 1.5, weight
     words of blocks drawn again follow the text after a line break, and
     ``n_chars`` is counted anew.  Rows that share a doc_id get what any of them drew."""
     _, _, cut = _plan(docs, block, 1024, share, weights, most, 1.0, seed)
-    again = (cut.filter("times > 1 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("mix_id"))
-             .agg(F.array_sort(F.collect_set(F.struct("from_word", "words"))).alias("mix_more")))
+    own, drawn, split = unused(docs, "mix_id", "mix_more", "mix_words")
+    again = (cut.filter("times > 1 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(own))
+             .agg(F.array_sort(F.collect_set(F.struct("from_word", "words"))).alias(drawn)))
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
-    more = F.transform("mix_more", lambda p: F.array_join(F.slice(F.col("mix_words"), (p["from_word"] + 1).cast("int"), p["words"].cast("int")), " "))
-    out = docs.join(again, F.col("doc_id") == F.col("mix_id"), "left").withColumn("mix_words", F.when(F.col("mix_more").isNotNull(), words))
-    text = F.when(F.col("mix_more").isNotNull(), F.concat(F.col("text"), F.lit("\n"), F.array_join(more, "\n"))).otherwise(F.col("text"))
-    out = out.withColumn("text", text).drop("mix_id", "mix_more", "mix_words")
-    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    more = F.transform(drawn, lambda p: F.array_join(F.slice(F.col(split), (p["from_word"] + 1).cast("int"), p["words"].cast("int")), " "))
+    out = docs.join(again, F.col("doc_id") == F.col(own), "left").withColumn(split, F.when(F.col(drawn).isNotNull(), words))
+    text = F.when(F.col(drawn).isNotNull(), F.concat(F.col("text"), F.lit("\n"), F.array_join(more, "\n"))).otherwise(F.col("text"))
+    out = out.withColumn("text", text).drop(own, drawn, split)
+    return counted_anew(out, F.col("text").isNotNull()).select(*docs.columns)

@@ -30,7 +30,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, unused
 from .components import components
 from .shingles import WordHashes, shingle_set
 
@@ -255,7 +255,8 @@ def representatives(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     """One row of each group of near-duplicates, with its columns: that of the
     smallest doc_id.  Rows that repeat a doc_id count as one; of differing ones
     the greatest text stays.  Rows with a null doc_id stay as they are."""
-    kept = near_duplicates(docs, k, percent).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
-    best = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").groupBy("doc_id").agg(F.max(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_r"))
-    best = best.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_r.{c}").alias(c) for c in docs.columns])
+    own, best_row = unused(docs, "_id", "_r")
+    kept = near_duplicates(docs, k, percent).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(own)).distinct()
+    best = docs.join(kept, F.col("doc_id") == F.col(own), "left_semi").groupBy("doc_id").agg(F.max(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias(best_row))
+    best = best.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"{best_row}.{c}").alias(c) for c in docs.columns])
     return best.unionByName(docs.filter("doc_id IS NULL"))

@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import cut_lineage, plain_text
+from .common import counted_anew, cut_lineage, plain_text, unused
 from .seeds import contexts, shared_seeds
 from .shingles import WordHashes, windows
 
@@ -144,7 +144,8 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, window: int = W
     counted anew.  A document of nothing else goes; texts without repeats stay
     as they are."""
     spans = merged_spans(repeats(docs, min_words, window).select("doc_id", "start", "stop"))
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("_spans")).withColumnRenamed("doc_id", "_id")
+    own, at = unused(docs, "_id", "_spans")
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias(at)).withColumnRenamed("doc_id", own)
 
     def cut(texts, spans):
         import re
@@ -168,7 +169,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, window: int = W
     import pandas as pd
 
     cut.__annotations__ = {"texts": pd.Series, "spans": pd.Series, "return": pd.Series}
-    out = docs.join(spans, F.col("doc_id") == F.col("_id"), "left")
-    out = out.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.pandas_udf(cut, "string")("text", "_spans")))
-    out = out.filter("_spans IS NULL OR text <> ''")
-    return out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    out = docs.join(spans, F.col("doc_id") == F.col(own), "left")
+    out = out.withColumn("text", F.when(F.col(at).isNull(), F.col("text")).otherwise(F.pandas_udf(cut, "string")("text", at)))
+    out = out.filter(F.col(at).isNull() | (F.col("text") != ""))
+    return counted_anew(out, F.col(at).isNotNull()).select(*docs.columns)

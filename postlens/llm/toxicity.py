@@ -26,6 +26,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import unused
+
 _BITS = 22
 _STRIP = ".,;:!?\"'()[]{}<>|*_-…«»„“”‘’"
 #: Standard errors by which a kept feature's frequencies differ.
@@ -84,8 +86,8 @@ def _sample(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelle
         return [], [], 0.0
     order = F.xxhash64(F.lit("toxicity"), "doc_id")
     positive = marks.filter("toxic = 1").select("doc_id").orderBy(order, "doc_id").limit(max_positive).withColumn("p", F.lit(1))
-    rest = docs.select("doc_id").filter(~held_out() & F.col("doc_id").isNotNull()).orderBy(F.xxhash64(F.lit("unlabelled"), "doc_id"), "doc_id").limit(max_unlabelled)
-    chosen = positive.unionByName(rest.distinct().withColumn("p", F.lit(0)))
+    rest = docs.select("doc_id").filter(~held_out() & F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64(F.lit("unlabelled"), "doc_id"), "doc_id").limit(max_unlabelled)
+    chosen = positive.unionByName(rest.withColumn("p", F.lit(0)))
 
     def run(batches):
         import pyarrow as pa
@@ -94,7 +96,9 @@ def _sample(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelle
         for b in batches:
             ids = [np.array(features.of(t), np.int32).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["p", "ids"])
-    got = docs.join(F.broadcast(chosen), "doc_id").select("p", "text").mapInArrow(run, "p int, ids binary").toArrow()
+    # One text an id (the greatest), so that repeated rows do not pass the bounds.
+    drawn = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "p").agg(F.max("text").alias("text"))
+    got = drawn.select("p", "text").mapInArrow(run, "p int, ids binary").toArrow()
     mark = got.column(0).to_numpy()
     ids = [np.frombuffer(x, np.int32) for x in got.column(1).to_pylist()]
     del got
@@ -195,4 +199,5 @@ def scores(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with their columns."""
     score = scorer(train(docs, labels, **bounds))
-    return docs.withColumn("_toxicity", score(F.col("text"))).filter("_toxicity < 0.5").select(*docs.columns)
+    (name,) = unused(docs, "_toxicity")
+    return docs.withColumn(name, score(F.col("text"))).filter(F.col(name) < 0.5).select(*docs.columns)
