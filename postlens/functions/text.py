@@ -44,16 +44,19 @@ HTML_STEPS = [
 HTML_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
                  ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
 
-# Emoji code points removed by T8 (fixed values: the pictographic blocks,
-# dingbats, misc symbols/technical, arrows, keycap / variation / joiner /
-# tag characters and the few BMP symbols with emoji presentation).
-EMOJI_CLASS = (
-    r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2300}-\x{23FF}\x{2B00}-\x{2BFF}"
-    r"\x{E0020}-\x{E007F}\x{FE0E}\x{FE0F}\x{200D}\x{20E3}\x{3030}\x{303D}"
-    r"\x{3297}\x{3299}\x{00A9}\x{00AE}\x{203C}\x{2049}\x{2122}\x{2139}"
-    r"\x{2194}-\x{2199}\x{21A9}\x{21AA}\x{24C2}\x{25AA}\x{25AB}\x{25B6}"
-    r"\x{25C0}\x{25FB}-\x{25FE}\x{2934}\x{2935}]"
-)
+# Emoji code points (fixed values: the pictographic blocks, misc symbols and dingbats,
+# misc technical, arrows and the few BMP symbols with emoji presentation).
+EMOJI_RANGES = [
+    (0x1F000, 0x1FAFF), (0x2600, 0x27BF), (0x2300, 0x23FF), (0x2B00, 0x2BFF), (0x3030, 0x3030),
+    (0x303D, 0x303D), (0x3297, 0x3297), (0x3299, 0x3299), (0x00A9, 0x00A9), (0x00AE, 0x00AE),
+    (0x203C, 0x203C), (0x2049, 0x2049), (0x2122, 0x2122), (0x2139, 0x2139), (0x2194, 0x2199),
+    (0x21A9, 0x21AA), (0x24C2, 0x24C2), (0x25AA, 0x25AB), (0x25B6, 0x25B6), (0x25C0, 0x25C0),
+    (0x25FB, 0x25FE), (0x2934, 0x2935),
+]
+_RANGES = "".join(f"\\x{{{lo:04X}}}" + (f"-\\x{{{hi:04X}}}" if hi > lo else "") for lo, hi in EMOJI_RANGES)
+EMOJI_BASE = f"[{_RANGES}]"
+# Removed by T8 as well: tag, presentation, joiner and keycap characters.
+EMOJI_CLASS = f"[{_RANGES}" + r"\x{E0020}-\x{E007F}\x{FE0E}\x{FE0F}\x{200D}\x{20E3}]"
 
 # --- fixed values: English stop words (198 entries, NLTK english list) ----
 ENGLISH_STOPWORDS = (

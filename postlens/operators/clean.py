@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as T
 from ..functions.stem import stems
 from ..session import written
+from .replace import free_name, name_emoji
+from .words import segment_tokens
 
 
 @dataclass(frozen=True)
@@ -111,7 +113,9 @@ def clean_chain(df: DataFrame, col: str, opts: CleanOptions = CleanOptions()) ->
     if opts.emoji == "remove":
         x = T.remove_emoji(x)
     elif opts.emoji == "demojize":
-        x = demojize(x)
+        named = free_name(df, "_named")
+        df = name_emoji(df.withColumn(named, x), named)
+        x = F.col(named)
     if opts.hashtags == "extract":
         extra["extracted_hashtags"] = T.extract_hashtags(x, keep_symbol=True)
     elif opts.hashtags == "remove":
@@ -132,12 +136,18 @@ def clean_chain(df: DataFrame, col: str, opts: CleanOptions = CleanOptions()) ->
     out = df
     for k, v in extra.items():
         out = out.withColumn(k, v)
-    return out.withColumn(f"cleaned_{col}", x)
+    out = out.withColumn(f"cleaned_{col}", x)
+    return out.drop(named) if opts.emoji == "demojize" else out
 
 
 def multilingual_tokens(df: DataFrame, col: str, lang_col: str,
-                        opts: MultilingualOptions = MultilingualOptions()) -> DataFrame:
-    """T21 multilingual variant -> ``tokens``; stop-word list chosen per row by language."""
+                        opts: MultilingualOptions = MultilingualOptions(),
+                        dictionary: DataFrame | None = None) -> DataFrame:
+    """T21 multilingual variant -> ``tokens``; stop-word list chosen per row by language.
+
+    Texts of ``opts.cjk_langs`` become the words of ``dictionary`` (``(word, freq)``, see
+    ``words.segment_tokens``), or character bigrams without one.
+    """
     x: Column = F.coalesce(F.col(col).cast("string"), F.lit(""))
     if opts.lowercase:
         x = T.lower(x)
@@ -151,6 +161,10 @@ def multilingual_tokens(df: DataFrame, col: str, lang_col: str,
         x = T.remove_hashtags(x)
     if opts.emoji == "remove":
         x = T.remove_emoji(x)
+    elif opts.emoji == "demojize":
+        named = free_name(df, "_named")
+        df = name_emoji(df.withColumn(named, x), named)
+        x = F.col(named)
     if opts.remove_special_chars:
         x = T.remove_special_chars(x, keep_punct=False)
     if opts.remove_punctuation:
@@ -161,7 +175,12 @@ def multilingual_tokens(df: DataFrame, col: str, lang_col: str,
     df = df.withColumn("_clean", x)
     x = F.col("_clean")
     ws = T.tokenize_ws(T.split_contractions_text(x))
-    toks = F.when(lang.isin(list(opts.cjk_langs)), T.cjk_bigrams(T.tokenize_ws(x))).otherwise(ws)
+    cjk = lang.isin(list(opts.cjk_langs))
+    if dictionary is None:
+        toks = F.when(cjk, T.cjk_bigrams(T.tokenize_ws(x))).otherwise(ws)
+    else:
+        df = segment_tokens(df.withColumn("tokens", F.when(cjk, T.tokenize_ws(x)).otherwise(ws)), dictionary, where=cjk)
+        toks = F.col("tokens")
     if opts.remove_stopwords:
         custom = [w.strip() for w in opts.custom_stopwords.split(",") if w.strip()]
         expr = None
@@ -171,7 +190,8 @@ def multilingual_tokens(df: DataFrame, col: str, lang_col: str,
         default = T.drop_stopwords(toks, custom)
         toks = expr.otherwise(default) if expr is not None else default
     toks = T.min_length(toks, opts.min_token_length)
-    return fence(df.withColumn("tokens", toks).drop("_clean"), "tokens")
+    out = df.withColumn("tokens", toks).drop("_clean")
+    return fence(out.drop(named) if opts.emoji == "demojize" else out, "tokens")
 
 
 def normal_forms(vocab: DataFrame, lemmas: DataFrame | None = None, stem: bool = False, col: str = "term") -> DataFrame:
@@ -221,8 +241,9 @@ def observed_counts(df: DataFrame, name: str):
 def _demojize_series(s: pd.Series) -> pd.Series:
     import re
     import unicodedata
-    pat = re.compile("[" + "".join(_EMOJI_PY_RANGES) + "]")
     skip = "\u200d\ufe0e\ufe0f"
+    ranges = "".join(f"{re.escape(chr(lo))}-{re.escape(chr(hi))}" for lo, hi in T.EMOJI_RANGES)
+    pat = re.compile(f"[{ranges}\U000E0020-\U000E007F\u20E3{skip}]")
 
     def one(t):
         if t is None:
@@ -233,18 +254,9 @@ def _demojize_series(s: pd.Series) -> pd.Series:
 
 
 def demojize(c) -> Column:
-    """Emoji -> ``:name:`` (Unicode character names, lower-case, '_' for
-    spaces).  A small Arrow-batched helper: only rows holding a character
-    from the emoji class reach Python."""
+    """T9 as a column: single emoji -> ``:name:`` (Unicode character names, lower-case, '_'
+    for spaces), by a small Arrow-batched helper.  ``replace.name_emoji`` names whole
+    sequences without Python; the cleaning chains use that."""
     udf = F.pandas_udf(_demojize_series, "string")
     x = F.col(c) if isinstance(c, str) else c
     return F.when(x.rlike(T.EMOJI_CLASS_JAVA), udf(x)).otherwise(x)
-
-
-# Python-side spelling of the same emoji ranges (fixed values, see text.EMOJI_CLASS).
-_EMOJI_PY_RANGES = [
-    "\U0001F000-\U0001FAFF", "\u2600-\u27BF", "\u2300-\u23FF", "\u2B00-\u2BFF",
-    "\U000E0020-\U000E007F", "\uFE0E\uFE0F\u200D\u20E3\u3030\u303D\u3297\u3299",
-    "\u00A9\u00AE\u203C\u2049\u2122\u2139\u2194-\u2199\u21A9\u21AA\u24C2",
-    "\u25AA\u25AB\u25B6\u25C0\u25FB-\u25FE\u2934\u2935",
-]

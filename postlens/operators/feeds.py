@@ -93,12 +93,12 @@ def distribution_feed(scatter: DataFrame, qs=(0.0, 0.25, 0.5, 0.75, 1.0)) -> Dat
 
 
 def topic_similarity_matrix(user_vec: DataFrame) -> DataFrame:
-    """Cosine similarity of topic columns over users, all (i, j)."""
-    lg = _long(user_vec)
-    a = lg.select("user_id", F.col("topic_id").alias("i"), F.col("p").alias("pi"))
-    b = lg.select("user_id", F.col("topic_id").alias("j"), F.col("p").alias("pj"))
-    g = a.join(b, "user_id").groupBy("i", "j").agg(F.sum(F.col("pi") * F.col("pj")).alias("dot"))
-    n = lg.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("n"))
+    """Cosine similarity of topic columns over users, all (i, j), in one
+    aggregate: a user's products are formed in its own row, and nothing is joined on users."""
+    pairs = user_vec.select(F.posexplode("probs").alias("i", "pi"), "probs") \
+                    .select("i", "pi", F.posexplode("probs").alias("j", "pj"))
+    g = pairs.groupBy("i", "j").agg(F.sum(F.col("pi") * F.col("pj")).alias("dot"))      # k * k sums a task are shuffled
+    n = g.filter("i = j").select(F.col("i").alias("topic_id"), F.sqrt("dot").alias("n"))
     ni = n.select(F.col("topic_id").alias("i"), F.col("n").alias("ni"))
     nj = n.select(F.col("topic_id").alias("j"), F.col("n").alias("nj"))
     sim = F.when((F.col("ni") > 0) & (F.col("nj") > 0), F.col("dot") / (F.col("ni") * F.col("nj"))).otherwise(0.0)

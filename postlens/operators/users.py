@@ -17,9 +17,9 @@ from ..functions import metrics as M
 from ..functions.timebins import time_bin
 
 
-def doc_topics_long(doc_topics: DataFrame) -> DataFrame:
-    """``(doc_id, probs[])`` -> ``(doc_id, topic_id, prob)``."""
-    return doc_topics.select("doc_id", F.posexplode("probs").alias("topic_id", "prob"))
+def doc_topics_long(doc_topics: DataFrame, *keep: str) -> DataFrame:
+    """``(doc_id, probs[])`` -> ``(doc_id, topic_id, prob)``, with the columns ``keep``."""
+    return doc_topics.select("doc_id", *keep, F.posexplode("probs").alias("topic_id", "prob"))
 
 
 def _dense(entries_col: str, k: int):
@@ -34,7 +34,7 @@ def user_topics(doc_topics: DataFrame, docs: DataFrame, k: int,
 
     Returns ``keys + (n_docs, probs ARRAY<DOUBLE>)``.
     """
-    j = doc_topics_long(doc_topics).join(docs.select("doc_id", *keys), "doc_id")
+    j = doc_topics_long(doc_topics.join(docs.select("doc_id", *keys), "doc_id"), *keys)   # one row a document until joined
     per_topic = j.groupBy(*keys, "topic_id").agg(F.sum("prob").alias("s"), F.count("*").alias("n"))
     vec = per_topic.groupBy(*keys).agg(
         F.max("n").alias("n_docs"),

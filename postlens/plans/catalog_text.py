@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from html.entities import html5
+
+from pyspark.sql import Window, functions as F
 
 from ..functions import stem as ST
 from ..functions import text as T
 from ..operators import clean as C
+from ..operators import replace as R
 from ..operators import vocab as V
+from ..operators import words as W
 from ..sources import adapters as A
 from ..sources import fixtures as FX
 from . import sqltext as S
@@ -100,6 +104,69 @@ def q_html_text_pages(spark, sf):
     return FX.table(spark, sf, "pages").select("page_id", T.strip_html("html").alias("page_text"))
 
 
+def _tagless(col):
+    """SQL: ``html_text`` before its references are decoded."""
+    x = col
+    for pat, rep in T.HTML_STEPS:
+        x = f"regexp_replace({x}, {S.q(pat)}, {S.q(rep)}, 'g')"
+    return x
+
+
+# Named references by their longest prefix, decimal ones by code.
+@_reg("html_decoded_pages", f"""
+WITH names(name, chars) AS (VALUES {', '.join(f"({S.q(n)}, {S.q(c)})" for n, c in sorted(html5.items()))}),
+x AS (SELECT page_id, string_split({_tagless('html')}, '&') AS ps FROM pages),
+e AS (SELECT page_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM x),
+pre AS (SELECT page_id, i, n, substr(piece, 1, n) AS name FROM e, range(2, 33) t(n) WHERE i > 1 AND n <= length(piece)),
+hit AS (SELECT page_id, i, MAX(n) AS n, MAX_BY(chars, n) AS chars FROM pre JOIN names USING (name) GROUP BY page_id, i)
+SELECT page_id, string_agg(CASE WHEN i = 1 THEN piece WHEN n IS NOT NULL THEN chars || substr(piece, n + 1)
+  WHEN regexp_matches(piece, '^#[0-9]+') THEN chr(CAST(regexp_extract(piece, '^#([0-9]+)', 1) AS INTEGER)) || regexp_replace(piece, '^#[0-9]+;?', '')
+  ELSE '&' || piece END, '' ORDER BY i) AS page_text
+FROM e LEFT JOIN hit USING (page_id, i) GROUP BY page_id
+""")
+def q_html_decoded_pages(spark, sf):
+    """T3 with all references of HTML 5."""
+    pages = FX.table(spark, sf, "pages").select("page_id", F.col("html").alias("page_text"))
+    return R.html_text(pages, "page_text")
+
+
+@_reg("emoji_named_pages")
+def q_emoji_named_pages(spark, sf):
+    """T9 on decoded pages (their signs come from references); ``test_words.py`` checks names."""
+    return R.name_emoji(q_html_decoded_pages(spark, sf), "page_text")
+
+
+@_reg("segmented_words_conversations")
+def q_segmented_words_conversations(spark, sf):
+    """Conversations without their spaces, cut into words by the counts of the documents'
+    words (the tables hold no Chinese text); ``test_words.py`` compares a plain version."""
+    terms = FX.table(spark, sf, "documents").select(F.explode(T.tokenize_words(T.lower("text"))).alias("word"))
+    dictionary = terms.groupBy("word").agg(F.count("*").alias("freq"))
+    turns = FX.table(spark, sf, "conversations").select("conv_id", "turn", W.unspaced("text").alias("tokens"))
+    cut = W.segment_tokens(turns, dictionary, pieces=".+", run=".")
+    return cut.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@_reg("stopword_table_documents", f"""
+WITH t AS (SELECT doc_id, lang, regexp_extract_all(lower(text), {S.q('(' + T.WORD + '{2,})')}, 1) AS toks FROM documents),
+e AS (SELECT lang, unnest(toks) AS word FROM t),
+c AS (SELECT lang, word, COUNT(*) AS n FROM e GROUP BY lang, word),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM c)
+SELECT lang, word, n FROM r WHERE r > 50
+""")
+def q_stopword_table_documents(spark, sf):
+    """T16 by a table: each language's 50 most frequent words are its stop words."""
+    tok = FX.table(spark, sf, "documents").select("doc_id", "lang", T.tokenize_words(T.lower("text")).alias("tokens"))
+    counts = tok.select("lang", F.explode("tokens").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    stops = counts.withColumn("r", rank).filter("r <= 50").select("lang", "word")
+    kept = W.drop_stopwords_by_lang(tok, stops, "lang")
+    return kept.select("lang", F.explode("tokens").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+
+
+ROWS_ONLY = {"emoji_named_pages", "segmented_words_conversations"}
+
+
 @_reg("hashtags_documents", f"""
 WITH t AS (SELECT doc_id, regexp_extract_all(text, {S.q('#(' + T.WORD + '+)')}, 1) AS tags FROM documents)
 SELECT doc_id, CAST(generate_subscripts(tags, 1) - 1 AS INTEGER) AS pos, unnest(tags) AS hashtag FROM t
