@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, table_path
 from ..sources import files as FS
 from ..sources import fixtures as FX
 from ..streaming import ingest as ST
@@ -56,9 +56,9 @@ FROM t WHERE len(tokens) >= 3
 def q_stream_tokens_documents(spark, sf):
     """Structured Streaming over the documents file: incremental tokenisation
     (availableNow trigger), written per micro-batch and read back."""
+    # The table is one file or a folder of files; only a pattern may name either to a stream.
     schema = FX.table(spark, sf, "documents").schema
-    src = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
-                .option("maxFilesPerTrigger", 1).parquet(sf))
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(table_path(sf, "document[s]"))
     from ..operators import clean as C
     stream = C.lda_tokenize(src, text_col="text").select(
         "doc_id", F.size("tokens").cast("long").alias("n_tokens"), T.join_tokens("tokens").alias("token_text"))
