@@ -13,7 +13,7 @@ from ..operators import clean as C
 from ..operators import coherence as CO
 from ..operators import compare as CP
 from ..operators import suspicion as SU
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from ..sources import fixtures as FX
 from . import sqlpipe as SP
 from .common import events_probs_cte, rounded, scores_sql
@@ -142,17 +142,18 @@ def doc_tokens(spark, sf):
 def word_tables(tok):
     """(words_a: top 20 per lang, words_b: top 10 per source number mod 4)."""
     ex = tok.select("lang", "source", F.explode("tokens").alias("term"))
-    ca = ex.groupBy("lang", "term").agg(F.count("*").alias("c"))
+    ex = written(ex.groupBy("lang", "source", "term").agg(F.count("*").alias("n")))    # both tables from one pass over the texts
+    ca = ex.groupBy("lang", "term").agg(F.sum("n").alias("c"))
     ra = ca.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("c").desc(), "term")))
     ra = ra.filter(F.col("rank") <= 20)
     ids = ra.select("lang").distinct().withColumn("topic_id", (F.dense_rank().over(Window.orderBy("lang")) - 1).cast("int"))
     wa = ra.join(ids, "lang").select("topic_id", F.col("term").alias("word"), F.col("rank").cast("int"))
     g = (F.substring("source", 4, 10).cast("int") % 4).alias("g")
-    cb = ex.select(g, "term").groupBy("g", "term").agg(F.count("*").alias("c"))
+    cb = ex.select(g, "term", "n").groupBy("g", "term").agg(F.sum("n").alias("c"))
     rb = cb.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.col("c").desc(), "term")))
     wb = rb.filter(F.col("rank") <= 10).select(F.col("g").cast("int").alias("topic_id"), F.col("term").alias("word"),
                                                F.col("rank").cast("int"))
-    return wa, wb
+    return written(wa), written(wb)
 
 
 JACCARD_SQL = f"""
@@ -221,7 +222,7 @@ SELECT ROUND(lda, 6) AS lda_coherence_mean, ROUND(bert, 6) AS bert_coherence_mea
 FROM c
 """)
 def q_compare_coherence_verdicts(spark, sf):
-    tok = doc_tokens(spark, sf)
+    tok = written(doc_tokens(spark, sf))
     wa, wb = word_tables(tok)
     pos = tok.select("doc_id", F.posexplode("tokens").alias("pos", "term"))
     dl = tok.select("doc_id", F.size("tokens").alias("L"))
