@@ -155,3 +155,18 @@ def test_hot_user_is_dealt_over_blocks(spark):
     assert {r.user_id: (r["all"], r.pairs) for r in met.collect()} == {u: (m * m, m * m) for u, m in n.items()}
     whole = sorted(map(tuple, DD.similar_set_pairs(sets, 0.8).select("user_id", "post_a", "post_b", "weight").collect()))
     assert whole and whole == sorted(map(tuple, DD.similar_set_pairs(sets, 0.8, budget=20).select("user_id", "post_a", "post_b", "weight").collect()))
+
+
+def test_pairs_that_only_share_tokens_are_not_written(spark):
+    """Sets that share their rarest token and little else make no candidate rows."""
+    rng = random.Random(5)
+    rows = [("u", i, ["rare", *(f"w{rng.randint(0, 5000)}" for _ in range(60))]) for i in range(60)]
+    rows += [("u", 100 + i, ["rare", *(f"c{j}" for j in range(40)), f"own{i}"]) for i in range(5)] + [(None, 200 + i, rows[0][2]) for i in range(2)]
+    sets = DD.token_sets(spark.createDataFrame(rows, "user_id string, post_id long, tokens array<string>"))
+    got = {(r.post_a, r.post_b) for r in DD.similar_set_pairs(sets, 0.8).collect()}
+    own = [(p, set(t)) for u, p, t in rows if u]
+    assert {tuple(sorted(x)) for x in got} == {(p, q) for (p, a), (q, b) in itertools.combinations(own, 2) if len(a & b) / len(a | b) >= 0.8}
+    few = DD.prefixes(sets.filter("user_id IS NOT NULL"), 0.8)
+    assert few.count() == sum(n - (4 * n + 4) // 5 + 1 for n in (len(t) for _, t in own))
+    plan = DD.similar_set_pairs(sets, 0.8)._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Join Inner" in x and "bit_count" in x for x in plan.split("\n"))       # tested inside the join
