@@ -65,9 +65,28 @@ def class_terms(docs: DataFrame, assignment: DataFrame, key: str = "doc_id",
                 text_col: str = "processed_text", stopwords=None) -> DataFrame:
     """Per-document term counts with the document's class: ``(key, topic_id, term, tf)``."""
     stops = sorted(set(stopwords if stopwords is not None else T.ENGLISH_STOPWORDS))
-    toks = fence(docs.select(key, T.drop_stopwords(T.tokenize_words(F.lower(F.col(text_col)), 2), stops).alias("t")), "t")
-    ex = toks.select(key, F.explode("t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    return ex.join(assignment.select(key, "topic_id"), key)
+    named = docs.filter(F.col(key).isNotNull())
+    toks = fence(named.select(key, T.drop_stopwords(T.tokenize_words(F.lower(F.col(text_col)), 2), stops).alias("t")), "t").filter(F.size("t") > 0)
+    # Counted row by row: no task holds the terms of more than a document.  Only the
+    # terms of rows that share a key are added up.
+    again = cut_lineage(named.groupBy(key).count().filter("count > 1").select(key))
+    classes = assignment.groupBy(key, "topic_id").agg(F.count("*").alias("_copies"))
+    if again.isEmpty():
+        ex = _counted(toks.join(classes, key), [key, "topic_id", "_copies"])
+    else:
+        ex = _counted(toks.join(again, key, "left_anti").join(classes, key), [key, "topic_id", "_copies"])
+        more = _counted(toks.join(again, key, "left_semi"), [key]).groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+        ex = ex.unionByName(more.join(classes, key))
+    return ex.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(key, "topic_id", "term", "tf")
+
+
+def _counted(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``(*keep, term, tf)`` of each row: the runs of its sorted tokens ``t``."""
+    rows = once(rows.select(*keep, "t"), _s=F.array_sort("t")).drop("t")
+    first = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
+    rows = once(rows, _at=first)
+    runs = F.transform("_at", lambda p, k: F.struct(F.get("_s", p).alias("term"), (F.coalesce(F.get("_at", k + 1), F.size("_s")) - p).cast("long").alias("tf")))
+    return rows.select(*keep, F.inline(runs))
 
 
 def class_tfidf(dterms: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -141,13 +160,13 @@ def topic_similarity(ctfidf: DataFrame) -> DataFrame:
 def reduce_topics(dterms: DataFrame, nr_topics: int, key: str = "doc_id") -> DataFrame:
     """Merge the most similar pair of (non-outlier) topics until
     ``nr_topics`` remain (the count includes -1 when present); the smaller
-    topic joins the larger.  Returns the re-labelled ``dterms``.
+    topic joins the larger.  Returns the re-labelled ``dterms``, which is read three
+    times: give a written table.
 
     The merges work on the table of (topic, term, tf) counts; the documents are read once
     for it and once more for the labels at the end.  The driver sees the sizes of the
     topics and one pair a merge.
     """
-    dterms = cut_lineage(dterms)
     sizes = dict(dterms.groupBy("topic_id").agg(F.countDistinct(key)).collect())   # <= k values
     counts = cut_lineage(dterms.groupBy("topic_id", "term").agg(F.sum("tf").alias("tf")))
     now = {t: t for t in sizes}

@@ -50,3 +50,19 @@ def test_sums_are_not_made_for_each_entry(spark):
     assert np.isclose(sum(v * v for r in hashed.collect() for v in r["values"]), 1.0)
     assert _lambdas_with_aggregates(hashed) == 0
     assert "aggregate(" not in soft._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+
+
+def test_class_terms_are_counted_row_by_row(spark):
+    from collections import Counter
+
+    from postlens.operators.embed_topics import class_terms
+
+    rows = [(1, "red red blue"), (2, "blue green blue"), (3, ""), (None, "red"), (4, None), (5, "green")]
+    assigned = [(1, 0), (2, 1), (3, 1), (4, 0), (5, 0), (None, 0)]
+    for more, again in (([], []), ([(1, "red pink"), (5, "green")], [(1, 0), (5, 1)])):
+        docs = spark.createDataFrame(rows + more, "doc_id long, processed_text string")
+        got = class_terms(docs, spark.createDataFrame(assigned + again, "doc_id long, topic_id int"), stopwords=["pink"])
+        want = Counter((i, w) for i, t in rows + more if i is not None for w in (t or "").split() if w != "pink")
+        assert Counter(map(tuple, got.collect())) == Counter((i, c, w, n) for (i, w), n in want.items() for j, c in assigned + again if i == j)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert bool(more) == any("Aggregate" in x and "term" in x for x in plan.split("\n"))
