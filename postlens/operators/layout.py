@@ -60,17 +60,25 @@ def _orthonormal(z: DataFrame, dims: int) -> DataFrame:
     return z.withColumn("y", F.array(*new))
 
 
-def neighbour_layout(vectors: DataFrame, key: str = "doc_id", col: str = "embedding", dims: int = 2, k: int = 15, steps: int = 12) -> DataFrame:
-    """``(key, layout ARRAY<DOUBLE>)``, one row a distinct key and vector."""
+def neighbours(vectors: DataFrame, key: str = "doc_id", col: str = "embedding", k: int = 15) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows' points, the distinct ones, and the ``k`` nearest of each: what a map of the
+    vectors and its measure both need."""
     rows = points(vectors, key, col)
     nodes = written(rows.groupBy("node").agg(F.first("x").alias("x"), F.first("weight").alias("weight")))
+    return rows, nodes, written(nearest(nodes, k))
+
+
+def neighbour_layout(vectors: DataFrame, key: str = "doc_id", col: str = "embedding", dims: int = 2, k: int = 15, steps: int = 12, found=None) -> DataFrame:
+    """``(key, layout ARRAY<DOUBLE>)``, one row a distinct key and vector;
+    ``found`` as of ``neighbours``."""
+    rows, nodes, near = found or neighbours(vectors, key, col, k)
     count, size = nodes.agg(F.count("*"), F.min(F.size("x"))).first()
     keys = vectors.select(F.col(key).cast("long").alias(key)).filter(F.col(key).isNotNull()).distinct()
     if count < 2:                                 # no directions to tell apart
         placed = rows.select(F.col("key").alias("_key"), F.array_repeat(F.lit(0.0), dims).alias("layout")).distinct()
         return keys.join(placed, F.col(key) == F.col("_key"), "left").select(key, "layout")
     used = min(dims, size)
-    e = edges(written(nearest(nodes, k)))
+    e = edges(near)
     roots = e.select(F.col("a").alias("node"), "root").distinct()
     fitted = PCA(k=used, inputCol="v", outputCol="r").fit(nodes.select(array_to_vector("x").alias("v")))
     start = fitted.transform(nodes.select("node", array_to_vector("x").alias("v"))).select("node", vector_to_array("r").alias("y"))
@@ -91,18 +99,17 @@ def neighbour_layout(vectors: DataFrame, key: str = "doc_id", col: str = "embedd
     return keys.join(named, F.col(key) == F.col("_key"), "left").select(key, "layout")
 
 
-def preservation(vectors: DataFrame, maps: dict[str, DataFrame], key: str = "doc_id", col: str = "embedding", k: int = 15, layout: str = "layout") -> DataFrame:
+def preservation(vectors: DataFrame, maps: dict[str, DataFrame], key: str = "doc_id", col: str = "embedding", k: int = 15, layout: str = "layout",
+                 found=None) -> DataFrame:
     """``(map, points, share)``: of each point's ``k`` nearest in the vectors, the share that is
-    among its ``k`` nearest in each map (equal vectors are one point)."""
-    def listed(df, c):
-        rows = points(df, key, c)
-        nodes = written(rows.groupBy("node").agg(F.first("x").alias("x"), F.first("weight").alias("weight")))
-        return nearest(nodes, k).select("node", F.transform("near", lambda n: n["other"]).alias("others"))
-    rows = points(vectors, key, col)
-    true = written(listed(rows.select(F.col("node").alias(key), F.col("x").alias(col)).distinct(), col))
+    among its ``k`` nearest in each map (equal vectors are one point); ``found`` as of
+    ``neighbours``."""
+    def others(near):
+        return near.select("node", F.transform("near", lambda n: n["other"]).alias("others"))
+    true = others((found or neighbours(vectors, key, col, k))[2])
     out = None
     for name, df in maps.items():
-        own = listed(df.join(true.select(F.col("node").alias(key)), key, "left_semi"), layout).withColumnRenamed("others", "mapped")
+        own = others(neighbours(df.join(true.select(F.col("node").alias(key)), key, "left_semi"), key, layout, k)[2]).withColumnRenamed("others", "mapped")
         share = F.size(F.array_intersect("others", "mapped")) / F.size("others")
         one = true.filter(F.size("others") > 0).join(own, "node", "left").agg(F.count("*").alias("points"), F.avg(F.coalesce(share, F.lit(0.0))).alias("share"))
         one = one.select(F.lit(name).alias("map"), "points", "share")

@@ -234,8 +234,9 @@ def q_neighbour_map_embeddings(spark, sf):
 def q_neighbour_preservation_embeddings(spark, sf):
     """M6: share of the 15 nearest vectors kept by the neighbour map and by PCA, two coordinates each."""
     e = _given_vectors(spark, sf)
-    maps = {"neighbours": LY.neighbour_layout(e), "pca": E.reduce_dims(e, k=2).withColumnRenamed("reduced", "layout")}
-    return rounded(LY.preservation(e, maps), 4)
+    found = LY.neighbours(e)
+    maps = {"neighbours": LY.neighbour_layout(e, found=found), "pca": E.reduce_dims(e, k=2).withColumnRenamed("reduced", "layout")}
+    return rounded(LY.preservation(e, maps, found=found), 4)
 
 
 @_reg("embed_run_summary")

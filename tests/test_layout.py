@@ -55,3 +55,20 @@ def test_edge_rows(spark):
     assert LY.neighbour_layout(spark.createDataFrame([], X)).collect() == []
     thin = LY.neighbour_layout(spark.createDataFrame([(i, [float(i)]) for i in range(9)], X), k=3, steps=2)
     assert thin.filter(F.size("layout") == 2).count() == 9
+
+
+def test_neighbours_are_searched_once_for_map_and_measure(spark, monkeypatch):
+    import random
+
+    from postlens.operators import layout as LY
+
+    rng = random.Random(4)
+    rows = [(i, [rng.random() for _ in range(4)]) for i in range(60)]
+    v = spark.createDataFrame([*rows, (60, rows[0][1]), (61, None)], "doc_id long, embedding array<double>")
+    calls, real = [], LY.nearest
+    monkeypatch.setattr(LY, "nearest", lambda *a, **k: calls.append(1) or real(*a, **k))
+    found = LY.neighbours(v, k=5)
+    xy = LY.neighbour_layout(v, k=5, steps=2, found=found)
+    one = LY.preservation(v, {"map": xy}, k=5, found=found).collect()
+    assert len(calls) == 2          # the vectors' and the map's
+    assert one == LY.preservation(v, {"map": xy}, k=5).collect() and one[0].points == 60
