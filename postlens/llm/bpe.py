@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .common import plain_text
-from .units import Encoder, encode_units, load_tokenizer, piece_table, split_units
+from .units import Encoder, blocks, encode_units, fine_parts, load_tokenizer, parts_finely, piece_table, split_units
 
 HOT_CHARS = 48
 #: Distinct words of a block held in a worker before they are handed on.
@@ -31,17 +31,26 @@ _FLUSH = 500_000
 def word_table(texts: DataFrame, path: str) -> DataFrame:
     """(word, n, ids): distinct words that a block of ``texts.text`` repeats,
     with the count over those blocks and the ids."""
+    fine = parts_finely(load_tokenizer(path))
+
     def count(batches):
         import pyarrow as pa
         from collections import Counter
 
-        def out(seen):
+        def out(units):
+            seen = units
+            if fine:
+                seen = Counter()
+                while units:
+                    w, n = units.popitem()
+                    for x in fine_parts(w):
+                        seen[x] += n
             again = [(w, n) for w, n in seen.items() if n > 1 and len(w) <= HOT_CHARS]
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in again], pa.string()), pa.array([n for _, n in again], pa.int64())], ["word", "n"])
         seen = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                seen.update(split_units(t))
+                seen.update(split_units(t, fine))
                 if len(seen) > _FLUSH:
                     yield out(seen)
                     seen = Counter()
@@ -61,10 +70,10 @@ def word_table(texts: DataFrame, path: str) -> DataFrame:
     return words.mapInArrow(encode, "word string, n long, ids binary")
 
 
-def hot_dictionary(words: DataFrame, size: int) -> dict[str, bytes]:
-    """The ``size`` most frequent words with their ids, on the driver."""
-    top = words.orderBy(F.desc("n"), "word").limit(size).select("word", "ids").toArrow()
-    return dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True))
+def hot_dictionary(words: DataFrame, size: int):
+    """Arrow table (word, ids) of the ``size`` most frequent words, on the driver: no
+    object a word, there or in the workers."""
+    return words.orderBy(F.desc("n"), "word").limit(size).select("word", "ids").toArrow().combine_chunks()
 
 
 def encode_decode(docs: DataFrame, path: str, hot_words: int = 1 << 19, digests: bool = False) -> DataFrame:
@@ -89,8 +98,8 @@ def encode_decode(docs: DataFrame, path: str, hot_words: int = 1 << 19, digests:
         enc, table = Encoder(path, hot.value), pieces.value
         for b in batches:
             n, first, second = [], [], []
-            for at in range(0, b.num_rows, 256):
-                for ids in enc.ids(b.column(1).slice(at, 256).to_pylist()):
+            for _, texts in blocks(b):
+                for ids in enc.ids(texts):
                     n.append(len(ids) // 4)
                     shown = b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
                     first.append(hashlib.sha256(ids).hexdigest() if digests else ids)

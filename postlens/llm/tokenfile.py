@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .common import cut_lineage, plain_text
-from .units import Encoder
+from .units import Encoder, blocks
 
 #: Arrow's closing magic (fixed value).
 MAGIC = "ARROW1"
@@ -113,9 +113,8 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, lengt
             data = file_bytes(held, np.concatenate(parts), part, number, length, dtype)
             return pa.RecordBatch.from_arrays([pa.array([data[:-len(MAGIC)]], pa.binary())], ["value"])
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                block = b.slice(at, 256)
-                for d, raw in zip(block.column(0).to_pylist(), enc.ids(block.column(1).to_pylist()), strict=True):
+            for docs, texts in blocks(b):
+                for d, raw in zip(docs, enc.ids(texts), strict=True):
                     held.append((d, tokens))
                     parts += [np.frombuffer(raw, "<u4").astype(dtype), end]
                     tokens += len(raw) // 4 + 1
