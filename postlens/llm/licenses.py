@@ -2,12 +2,12 @@
 only on the rows' path).
 
 A multinomial logistic regression with an L1 penalty over word 1- and 2-grams
-tells licence families apart, and from unknown text.  It is trained on the
-driver in numpy: on windows of the families' templates with words dropped and
-foreign words put in, and on the paragraphs of at most ``sample`` documents
-(drawn by a hash of the id) as unknown text, but those that contain a template's
-words.  Half of the unknown paragraphs and windows calibrate the probability
-from which a family is named, so that none of that unknown text gets one.
+tells licence families apart, and from unknown text.  It is fitted by Spark on
+windows of the families' templates with words dropped and foreign words put in
+(made on the driver), and on the lines of all texts as unknown text, but those that
+contain a template's words or a family's name.  The fit follows one half of the
+different unknown lines; the other half sets the probability from which a family is
+named, so that none of that unknown text gets one.
 
 A prediction is confirmed by comparison with the family's templates: the share of
 2-grams in common, of the shorter of paragraph and template.
@@ -16,7 +16,7 @@ Every line of every whole text is a paragraph, and so is every block of lines up
 blank line, for notices wrapped over lines; a block is named only if none of its lines is.
 A paragraph is unknown without looking further if each word and 2-gram that it shares
 with a template or a notice frame is one that ordinary text has as well (more than one in a
-thousand sampled paragraphs).  ``other`` is a notice of a family that is not listed.
+thousand lines).  ``other`` is a notice of a family that is not listed.
 
 Results are the paragraphs with a family.  Null and empty texts have none; repeated rows
 give their rows again; null ids and clashing extra columns do not matter.
@@ -26,9 +26,12 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .common import cut_lineage
+
 WORD = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 
 #: Usual notices of each family (fixed values).
@@ -123,6 +126,8 @@ TEMPLATES = {
     ],
 }
 UNKNOWN, OTHER = "unknown", "other"
+#: Different lines of a task of the fit.
+_LINES = 20_000
 #: Usual names of each family (fixed values); they stand alone or in frames.
 NAMES = {
     "apache": ["Apache", "Apache 2.0", "Apache License", "Apache-2.0"],
@@ -155,85 +160,110 @@ def _grams(words: list[str]) -> set[str]:
     return {*words, *map(" ".join, zip(words, words[1:], strict=False))}
 
 
-def _overlap(words: list[str], template: list[str]) -> float:
-    a, b = (set(zip(x, x[1:], strict=False)) for x in (words, template))
-    return len(a & b) / max(min(len(a), len(b)), 1)
+def _line_words(text):
+    return F.regexp_extract_all(F.replace(F.lower(text), F.lit("licence"), F.lit("license")), F.lit(WORD), F.lit(0))
+
+
+def _pairs_of(w: str):
+    return F.array_distinct(F.zip_with(F.expr(f"slice({w}, 1, greatest(size({w}) - 1, 0))"), F.expr(f"slice({w}, 2, greatest(size({w}) - 1, 0))"),
+                                       lambda a, b: F.concat_ws(" ", a, b)))
+
+
+def _literals(grams):
+    return F.array(*map(F.lit, sorted(grams)))
+
 
+def _any(conditions):
+    return reduce(lambda a, b: a | b, conditions)
 
-def train(paragraphs: list[str], seed: int = 5, variants: int = 40, penalty: float = 1e-4, steps: int = 300):
-    """(classes, grams, weights, bias, bar, anchors) from the templates and unknown paragraphs."""
+
+def line_vectors(docs: DataFrame, grams: list[str], templates: list[list[str]]) -> DataFrame:
+    """(found, n): the ``grams`` of each line of every text that holds a word and shares less than
+    0.3 of its pairs with each template; equal ones are one row."""
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
+    lines = lines.select(F.inline(F.array(F.struct(_line_words("line").alias("words"))))).filter("size(words) > 0")
+    lines = lines.select(F.inline(F.array(F.struct(F.col("words"), _pairs_of("words").alias("pairs")))))
+    single, double = [g for g in grams if " " not in g], [g for g in grams if " " in g]
+    found = F.struct(F.filter(F.array_distinct("words"), lambda w: w.isin(single)).alias("words"), F.filter("pairs", lambda p: p.isin(double)).alias("pairs"), F.size("pairs").alias("size"))
+    lines = lines.select(F.inline(F.array(found)))
+
+    def near(t: list[str]):
+        return F.size(F.filter("pairs", lambda p: p.isin(t))) >= 0.3 * F.greatest(F.least(F.col("size"), F.lit(len(t))), F.lit(1))
+    own = [t for t in ([*_grams(x) - set(x)] for x in templates) if t]
+    lines = lines.filter(F.when(F.size("pairs") > 0, ~_any(map(near, own))).otherwise(True))
+    return lines.groupBy(F.array_sort(F.concat("words", "pairs")).alias("found")).agg(F.count("*").alias("n"))
+
+
+def train(docs: DataFrame, seed: int = 5, variants: int = 40, penalty: float = 1e-4, steps: int = 100):
+    """(classes, grams, weights, bias, bar, anchors) from the templates and the lines of all texts."""
     import numpy as np
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizerModel
+    from pyspark.ml.functions import vector_to_array
 
-    rng = np.random.default_rng(seed)
+    spark, rng = docs.sparkSession, np.random.default_rng(seed)
     classes = [UNKNOWN, *TEMPLATES, OTHER]
     known = [(_words(t), classes.index(c)) for c, ts in TEMPLATES.items() for t in ts]
-    unknown = [w for w in map(_words, paragraphs) if w and max(_overlap(w, t) for t, _ in known) < 0.3]
-    foreign = sorted({w for p in unknown for w in p}) or ["a"]
+    frames = [_words(f.replace("{}", " ")) for f in FRAMES]
+    named = [(_words(f.replace("{}", n)), classes.index(c)) for c, names in NAMES.items() for n in names for f in ["{}", *FRAMES]]
+    grams = sorted({g for w in [*(w for w, _ in known), *(w for w, _ in named), *frames] for g in _grams(w)})
+    vectors = cut_lineage(line_vectors(docs, grams, [w for w, _ in known]))
+
+    # Words and pairs that hardly any line has, by the counts of all lines.
+    total, different = vectors.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    counts = {r.g: r.n for r in vectors.select(F.explode("found").alias("g"), "n").groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    usual = {g for g, n in counts.items() if n >= 1e-3 * total}     # "mit" alone is a German word
+    rare = set(grams) - usual
+    anchors = [g for g in rare if " " not in g or not rare & set(g.split())]
+    # A line with a family's whole name is no unknown text, unless the name is usual in it.
+    names = [x for x in ([*_grams(w) - set(w)] or w for w in (_words(n) for ns in NAMES.values() for n in ns)) if rare & set(x)]
+    unknown = vectors.filter(~_any([F.size(F.array_except(_literals(x), "found")) == 0 for x in names])) if names else vectors
+
+    # Foreign words: those of the table by the number of lines that hold them, and "?", which no gram has.
+    words = ["?", *(g for g in grams if " " not in g)]
+    often = np.array([0, *(counts.get(g, 0) for g in words[1:])], float)
+    often[0] = max(often.sum(), 1)
+    often /= often.sum()
     rows, marks = [], []
-    for words, c in known:
+    for w, c in known:
         for v in range(variants):
-            n = len(words) if v % 2 == 0 else max(4, int(rng.integers(len(words) // 2, len(words) + 1)))
-            at = int(rng.integers(0, len(words) - min(n, len(words)) + 1))
-            part = [w for w in words[at:at + n] if v < 2 or rng.random() > 0.05]
-            extra = list(rng.choice(foreign, int(rng.integers(0, 12)))) if v % 3 == 2 else []
+            n = len(w) if v % 2 == 0 else max(4, int(rng.integers(len(w) // 2, len(w) + 1)))
+            at = int(rng.integers(0, len(w) - min(n, len(w)) + 1))
+            part = [x for x in w[at:at + n] if v < 2 or rng.random() > 0.05]
+            extra = list(rng.choice(words, int(rng.integers(0, 12)), p=often)) if v % 3 == 2 else []
             rows.append(extra[:len(extra) // 2] + part + extra[len(extra) // 2:])
             marks.append(c)
-    frames = [_words(f.replace("{}", " ")) for f in FRAMES]
     for v in range(variants * 2):       # names that no template has
-        rows.append(_words(FRAMES[v % len(FRAMES)].replace("{}", " ".join(rng.choice(foreign, int(rng.integers(1, 4)))))))
+        rows.append(_words(FRAMES[v % len(FRAMES)].replace("{}", " foreign " * int(rng.integers(1, 4)))))
         marks.append(len(classes) - 1)
-    named = [(_words(f.replace("{}", n)), classes.index(c)) for c, names in NAMES.items() for n in names for f in ["{}", *FRAMES]]
-    usual = {g for w in unknown for g in _grams(w)}     # "mit" alone is a German word
     named = [(w, c) for w, c in named if not _grams(w) <= usual]
-    rows += [w for w, _ in named for _ in range(2)]     # one to fit, one to calibrate
-    marks += [c for _, c in named for _ in range(2)]
-    made = len(rows)
-    rows += unknown
-    marks += [0] * len(unknown)
-    grams = sorted({g for w in [*(w for w, _ in known), *(w for w, _ in named), *frames] for g in _grams(w)})
-    place = {g: i for i, g in enumerate(grams)}
-    x = np.zeros((len(rows), len(grams)), np.float32)
-    for i, w in enumerate(rows):
-        x[i, [place[g] for g in _grams(w) if g in place]] = 1
-    y = np.eye(len(classes), dtype=np.float32)[marks]
-    fit = np.arange(len(rows)) % 2 == 0
-    weigh = (1 / np.maximum(y[fit].sum(axis=0), 1))[np.array(marks)[fit]][:, None]
-    w, b, total = np.zeros((len(grams), len(classes))), np.zeros(len(classes)), np.zeros((len(grams), len(classes)))
-
-    def soft(z):
-        e = np.exp(z - z.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True)
-    xf, yf = np.ascontiguousarray(x[fit]), y[fit]
-    xt = np.ascontiguousarray(xf.T)
-    for _ in range(steps):
-        d = (soft(xf @ w.astype(np.float32) + b) - yf) * weigh / len(classes)
-        g = (xt @ d.astype(np.float32)).astype(float)
-        total += g * g
-        rate = 0.5 / np.sqrt(total + 1e-8)
-        w = np.sign(w - rate * g) * np.maximum(np.abs(w - rate * g) - rate * penalty, 0)  # L1
-        b -= 2.0 * d.sum(axis=0)
-    held = soft(x[~fit] @ w + b)
-    wrong = held[(np.array(marks)[~fit] == 0)][:, 1:].max(axis=1, initial=0)
-    bar = float(min(0.99, max(0.5, wrong.max(initial=0) * 1.02)))
-    # Words and pairs that hardly any unknown paragraph has.
-    share = x[made:].mean(axis=0) if unknown else np.zeros(len(grams))
-    rare = {g for g in grams if share[place[g]] < 1e-3}
-    anchors = [g for g in rare if " " not in g or not rare & set(g.split())]
-    keep = np.abs(w).sum(axis=1) > 0
-    return classes, [g for g, k in zip(grams, keep, strict=True) if k], w[keep], b, bar, sorted(set(anchors))
+    rows += [w for w, _ in named]
+    marks += [c for _, c in named]
+    place = set(grams)
+    size = np.bincount(marks, minlength=len(classes))
+    made = spark.createDataFrame([(sorted(_grams(w) & place), float(c), 1000.0 / int(size[c])) for w, c in zip(rows, marks, strict=True)],
+                                 "found array<string>, label double, weight double")
+    # Half of the unknown lines fit the model, equal ones on one side; the other half sets the bar.
+    unknown = unknown.withColumn("half", F.pmod(F.xxhash64("found"), F.lit(2)))
+    mine = unknown.filter("half = 0")
+    lines = mine.agg(F.sum("n")).first()[0] or 1
+    made = made.union(mine.select("found", F.lit(0.0), F.col("n") * (1000.0 / lines)))
+    vectorize = CountVectorizerModel.from_vocabulary(grams, inputCol="found", outputCol="features", binary=True)
+    made = made.coalesce(1 + different // _LINES)       # each step goes over all of them
+    fit = LogisticRegression(family="multinomial", regParam=penalty, elasticNetParam=1.0, standardization=False, weightCol="weight", maxIter=steps).fit(vectorize.transform(made))
+    power = F.array_max(F.slice(vector_to_array("probability"), 2, len(classes) - 1))
+    wrong = fit.transform(vectorize.transform(unknown.filter("half = 1"))).agg(F.max(power)).first()[0] or 0.0
+    bar = float(min(0.99, max(0.5, wrong * 1.02)))
+    weights = fit.coefficientMatrix.toArray().T
+    keep = np.abs(weights).sum(axis=1) > 0
+    return classes, [g for g, k in zip(grams, keep, strict=True) if k], weights[keep], fit.interceptVector.toArray(), bar, sorted(set(anchors))
 
 
-def scan(docs: DataFrame, sample: int = 400, match: float = 0.5, max_rows: int | None = None) -> DataFrame:
+def scan(docs: DataFrame, match: float = 0.5) -> DataFrame:
     """(doc_id, paragraph, lines, family, probability, template_match, confirmed) of each
-    paragraph that gets a family: its first line (from 0) and number of lines.
-
-    The unknown text is that of ``sample`` ids, of at most ``max_rows`` rows (by default four
-    an id, for ids that repeat)."""
-    max_rows = 4 * sample if max_rows is None else max_rows
+    paragraph that gets a family: its first line (from 0) and number of lines."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    drawn = docs.select("doc_id").distinct().orderBy(F.xxhash64(F.lit("licence"), "doc_id"), "doc_id").limit(sample)
-    texts = [r.text for r in docs.join(F.broadcast(drawn), "doc_id", "left_semi").orderBy("doc_id", "text").limit(max_rows).collect()]
-    classes, grams, weights, bias, bar, anchors = train([p for t in texts for p in t.split("\n")])
+    classes, grams, weights, bias, bar, anchors = train(docs)
 
     table = F.from_json(F.lit(json.dumps({g: w for g, w in zip(grams, weights.round(6).tolist(), strict=True)})), "map<string,array<double>>")
     pairs = {c: [sorted(set(map(" ".join, zip(w, w[1:], strict=False)))) for w in map(_words, [*t, *NAMES.get(c, [])])]
@@ -244,12 +274,7 @@ def scan(docs: DataFrame, sample: int = 400, match: float = 0.5, max_rows: int |
     blocks = F.split("text", r"(?<=\n)[ \t\r\f]*\n")
     first = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(
         F.element_at(acc, -1) + F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))) + 1)))
-    def words(text):
-        return F.regexp_extract_all(F.replace(F.lower(text), F.lit("licence"), F.lit("license")), F.lit(WORD), F.lit(0))
-
-    def pairs_of(w):
-        return F.array_distinct(F.zip_with(F.expr(f"slice({w}, 1, greatest(size({w}) - 1, 0))"), F.expr(f"slice({w}, 2, greatest(size({w}) - 1, 0))"),
-                                           lambda a, b: F.concat_ws(" ", a, b)))
+    words, pairs_of = _line_words, _pairs_of
 
     def rare(w, p):
         return F.arrays_overlap(w, F.array(*map(F.lit, [a for a in anchors if " " not in a]))) \
