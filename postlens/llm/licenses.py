@@ -6,8 +6,9 @@ tells licence families apart, and from unknown text.  It is fitted by Spark on
 windows of the families' templates with words dropped and foreign words put in
 (made on the driver), and on the lines of all texts as unknown text, but those that
 contain a template's words or a family's name.  The fit follows one half of the
-different unknown lines; the other half sets the probability from which a family is
-named, so that none of that unknown text gets one.
+different unknown lines; those of the other half that hold a rare word or pair (see below) set
+the probability from which a family is named, so that at most one in a thousand of that half gets
+one (but 0.99 at most, and 0.5 at least).
 
 A prediction is confirmed by comparison with the family's templates: the share of
 2-grams in common, of the shorter of paragraph and template.
@@ -252,8 +253,14 @@ def train(docs: DataFrame, seed: int = 5, variants: int = 40, penalty: float = 1
     made = made.coalesce(1 + different // _LINES)       # each step goes over all of them
     fit = LogisticRegression(family="multinomial", regParam=penalty, elasticNetParam=1.0, standardization=False, weightCol="weight", maxIter=steps).fit(vectorize.transform(made))
     power = F.array_max(F.slice(vector_to_array("probability"), 2, len(classes) - 1))
-    wrong = fit.transform(vectorize.transform(unknown.filter("half = 1"))).agg(F.max(power)).first()[0] or 0.0
-    bar = float(min(0.99, max(0.5, wrong * 1.02)))
+    held = unknown.filter("half = 1").filter(F.arrays_overlap("found", _literals(anchors)) if anchors else F.lit(False))    # no other line can be named
+    steps = fit.transform(vectorize.transform(held)).select(F.floor(power * 10000).alias("p"), "n").filter("p >= 5000").groupBy("p").agg(F.sum("n").alias("n")).collect()
+    bar, left = 0.5, (unknown.filter("half = 1").agg(F.sum("n")).first()[0] or 0) / 1000
+    for r in sorted(steps, key=lambda r: -r.p):
+        left -= r.n
+        if left < 0:
+            bar = min(0.99, (r.p + 1) / 10000)
+            break
     weights = fit.coefficientMatrix.toArray().T
     keep = np.abs(weights).sum(axis=1) > 0
     return classes, [g for g, k in zip(grams, keep, strict=True) if k], weights[keep], fit.interceptVector.toArray(), bar, sorted(set(anchors))
